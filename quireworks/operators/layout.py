@@ -13,13 +13,14 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from quireworks.functions import text as tx
 from quireworks.functions.lexicon import SECTION_KEYWORDS
 
 DEFAULT_HEADER_SIZE = 9.0
 FIRST_SECTION = "introduction"
-PAGES_PER_BUCKET = 1024
+BUCKET_BITS = 10  # 1024 pages
 
 
 def median_font_size(spans: DataFrame) -> DataFrame:
@@ -38,42 +39,35 @@ def median_font_size(spans: DataFrame) -> DataFrame:
 def text_blocks(spans: DataFrame) -> DataFrame:
     """One row per non-empty text block: its lines, text, largest size, boldness and place.
 
-    Spans join without a gap inside a line, trimmed lines join with one space.
+    Spans join without a gap inside a line, trimmed lines join with one space. Spreading
+    by page once serves both aggregates here and the windows per page that follow. Null
+    keys are dropped up front: joins would add that test to some uses of this table but
+    not to others, and Spark could not share the shuffle between them.
     """
-    span = F.struct("line_no", "span_no", "text")
-    blocks = (
-        spans.where("block_type = 0")
+    lines = (
+        spans.where("block_type = 0 and doc_id is not null and page is not null")
         .repartition("doc_id", "page")
-        .groupBy("doc_id", "page", "block_no")
+        .groupBy("doc_id", "page", "block_no", "line_no")
         .agg(
-            F.sort_array(F.collect_list(span)).alias("spans"),
+            tx.ordered_join(F.collect_list(F.struct("span_no", "text")), "").alias("line"),
             F.max("size").alias("max_size"),
             F.bool_or(F.contains(F.lower("font"), F.lit("bold"))).alias("is_bold"),
             F.min("y0").alias("y0"),
             F.min("x0").alias("x0"),
         )
     )
-    # One pass over the ordered spans: a change of line_no puts a line break between two spans.
-    raw = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("text"), F.lit(None).cast("int").alias("line")),
-        lambda acc, s: F.struct(
-            F.concat(
-                acc["text"],
-                F.when(acc["line"] != s["line_no"], F.lit("\n")).otherwise(F.lit("")),
-                # a line break inside a span is not a line of the block
-                F.translate(F.coalesce(s["text"], F.lit("")), "\n", "\u0001"),
-            ).alias("text"),
-            s["line_no"].cast("int").alias("line"),
-        ),
-        lambda acc: acc["text"],
-    )
-    lines = F.transform(F.split(raw, "\n"), lambda x: F.translate(x, "\u0001", "\n"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
     return (
-        blocks.withColumn("lines", lines)
-        .withColumn("text", tx.strip(F.array_join(F.transform("lines", tx.strip), " ")))
+        lines.groupBy("doc_id", "page", "block_no")
+        .agg(
+            ordered.alias("lines"),
+            tx.strip(F.array_join(F.transform(ordered, tx.strip), " ")).alias("text"),
+            F.max("max_size").alias("max_size"),
+            F.bool_or("is_bold").alias("is_bold"),
+            F.min("y0").alias("y0"),
+            F.min("x0").alias("x0"),
+        )
         .where("text <> ''")
-        .select("doc_id", "page", "block_no", "y0", "x0", "max_size", "is_bold", "lines", "text")
     )
 
 
@@ -114,9 +108,9 @@ def match_section(title: Column, mode: str = "strict") -> Column:
     could be roman, so ``introduction`` loses its first letter and finds nothing.
     """
     if mode == "strict":
-        numbering = (rf"^\p{{Nd}}+(?:\.\p{{Nd}}+)*\.?[{tx.SPACE}]*", rf"^[ivxlcdm]+(?:[.)][{tx.SPACE}]*|[{tx.SPACE}]+)")
+        numbering = (rf"^\p{{Nd}}+(?:\.\p{{Nd}}+)*\.?{tx.SPACE}*", rf"^[ivxlcdm]+(?:[.)]{tx.SPACE}*|{tx.SPACE}+)")
     elif mode == "compat":
-        numbering = (rf"^\p{{Nd}}+\.?[{tx.SPACE}]*", rf"^[ivxlcdm]+\.?[{tx.SPACE}]*")
+        numbering = (rf"^\p{{Nd}}+\.?{tx.SPACE}*", rf"^[ivxlcdm]+\.?{tx.SPACE}*")
     else:
         raise ValueError(f"unknown mode: {mode}")
     c = tx.strip(F.lower(title))
@@ -141,42 +135,47 @@ def page_carry(blocks: DataFrame) -> DataFrame:
 
     A running scan over pages in two levels, pages within a bucket of pages and
     buckets within a document, so no task walks through all pages of a huge document.
+    Both levels read the same shuffled page rows.
     """
-    def last_open(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
+    def latest(value: str, at: str) -> Column:
+        return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(at)))
+
+    def before(*keys: str, by: str) -> WindowSpec:
+        return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
 
     pages = (
         blocks.groupBy("doc_id", "page")
-        .agg(
-            F.count("*").alias("n_blocks"),
-            F.max_by("boundary", F.when(F.col("boundary").isNotNull(), F.col("page_seq"))).alias("closing"),
-        )
-        .withColumn("bucket", F.floor(F.col("page") / PAGES_PER_BUCKET))
-    )
-    buckets = (
-        pages.withColumn("at", F.col("page"))
-        .groupBy("doc_id", "bucket")
-        .agg(F.sum("n_blocks").alias("n_blocks"), last_open("closing").alias("closing"))
+        .agg(F.count("*").alias("n_blocks"), latest("boundary", "page_seq").alias("closing"))
+        .withColumn("bucket", F.coalesce(F.shiftright("page", BUCKET_BITS), F.lit(0)))
+        .repartition("doc_id", "bucket")
     )
-
-    def before(*keys: str, by: str) -> Window:
-        return Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-
     over_buckets = before("doc_id", by="bucket")
-    buckets = buckets.select(
-        "doc_id",
-        "bucket",
-        F.coalesce(F.sum("n_blocks").over(over_buckets), F.lit(0)).alias("bucket_offset"),
-        F.last("closing", ignorenulls=True).over(over_buckets).alias("bucket_open"),
+    buckets = (
+        pages.groupBy("doc_id", "bucket")
+        .agg(F.sum("n_blocks").alias("n_blocks"), latest("closing", "page").alias("closing"))
+        .select(
+            "doc_id",
+            "bucket",
+            F.coalesce(F.sum("n_blocks").over(over_buckets), F.lit(0)).alias("bucket_offset"),
+            F.last("closing", ignorenulls=True).over(over_buckets).alias("bucket_open"),
+        )
     )
     over_pages = before("doc_id", "bucket", by="page")
-    return pages.join(buckets, ["doc_id", "bucket"]).select(
-        "doc_id",
-        "page",
-        (F.col("bucket_offset") + F.coalesce(F.sum("n_blocks").over(over_pages), F.lit(0))).alias("page_offset"),
-        F.coalesce(
-            F.last("closing", ignorenulls=True).over(over_pages), "bucket_open", F.lit(FIRST_SECTION)
-        ).alias("open_section"),
+    return (
+        pages.select(
+            "doc_id",
+            "bucket",
+            "page",
+            F.coalesce(F.sum("n_blocks").over(over_pages), F.lit(0)).alias("page_offset"),
+            F.last("closing", ignorenulls=True).over(over_pages).alias("page_open"),
+        )
+        .join(buckets, ["doc_id", "bucket"])
+        .select(
+            "doc_id",
+            "page",
+            (F.col("bucket_offset") + F.col("page_offset")).alias("page_offset"),
+            F.coalesce("page_open", "bucket_open", F.lit(FIRST_SECTION)).alias("open_section"),
+        )
     )
 
 
@@ -268,8 +267,11 @@ def with_full_text(documents: DataFrame) -> DataFrame:
 
 def section_rows(documents: DataFrame) -> DataFrame:
     """Long form of :func:`document_sections`: (doc_id, section, section_order, text)."""
-    return documents.select("doc_id", F.posexplode("sections").alias("section_order", "s")).select(
-        "doc_id", F.col("s.section").alias("section"), "section_order", F.col("s.text").alias("text")
+    # outer, then filtered: an inner explode would make Spark build the array once more to test it
+    return (
+        documents.select("doc_id", F.posexplode_outer("sections").alias("section_order", "s"))
+        .where("s is not null")
+        .select("doc_id", F.col("s.section").alias("section"), "section_order", F.col("s.text").alias("text"))
     )
 
 
@@ -313,7 +315,7 @@ def blocks_from_html(pages: DataFrame) -> DataFrame:
         F.col("page_id").alias("doc_id"), F.posexplode(F.split(marked, "\u0002")).alias("block_no", "piece")
     ).where("block_no > 0")
     body = F.split(F.split_part("piece", F.lit("\u0003"), F.lit(2)), "\u0004")[0]
-    body = tx.strip(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), f"[{tx.SPACE}]+", " "))
+    body = tx.strip(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), f"{tx.SPACE}+", " "))
     return found.select(
         "doc_id",
         F.lit(0).alias("page"),

@@ -32,25 +32,47 @@ def keep_count(n: Column, ratio: float) -> Column:
 
 
 def _candidates(texts: DataFrame, abbreviations: Sequence[str]) -> DataFrame:
-    """Add ``cand`` (array of pos, sentence, words) and ``ranked``.
+    """Add ``cand`` (array of pos, sentence, words), ``n_cand`` and ``ranked``.
 
     Texts with fewer than three sentences, or none of good quality, pass through whole:
-    all their sentences are candidates and keep their order.
+    all their sentences are candidates and keep their order. A text marked ``is_short``
+    is one candidate as it stands.
     """
-    with_all = texts.withColumn("_sents", tx.sentences(F.col("text"), abbreviations)).withColumn(
-        "_all",
-        F.transform(
-            "_sents",
-            lambda s, i: F.struct(i.alias("pos"), s.alias("sentence"), tx.word_count(s).alias("words")),
-        ),
-    )
+    sentences = tx.sentences(F.col("text"), abbreviations)
+    if "is_short" in texts.columns:
+        sentences = F.when(F.col("is_short"), F.array("text")).otherwise(sentences)
     good = F.filter("_all", lambda x: F.length(x["sentence"]).between(31, 499) & (x["words"] >= 5))
     return (
-        with_all.withColumn("_good", good)
+        texts.withColumn("_sentences", sentences)
+        .withColumn(
+            "_all",
+            F.transform(
+                "_sentences",
+                lambda s, i: F.struct(i.alias("pos"), s.alias("sentence"), tx.word_count(s).alias("words")),
+            ),
+        )
+        .withColumn("_good", good)
         .withColumn("ranked", (F.size("_all") >= 3) & (F.size("_good") > 0))
         .withColumn("cand", F.when(F.col("ranked"), F.col("_good")).otherwise(F.col("_all")))
         .withColumn("n_cand", F.size("cand"))
-        .drop("_sents", "_all", "_good")
+        .drop("text", "_sentences", "_all", "_good")
+    )
+
+
+def _with_term_frequencies(sentences: DataFrame) -> DataFrame:
+    """Add ``terms``, an array of (term, tf), to ranked sentences.
+
+    In the sorted words a term reaches up to where the next one starts. Each step is a
+    column of its own, so that it is computed once and not once per element.
+    """
+    after = F.concat(F.slice("_start", F.lit(2), F.size("_start")), F.array((F.size("_words") + 1).cast("bigint")))
+    return (
+        sentences.withColumn("_words", F.when(F.col("ranked"), F.sort_array(tx.tokens(F.col("sentence")))))
+        .withColumn("_distinct", F.array_distinct("_words"))
+        .withColumn("_start", F.transform("_distinct", lambda t: F.array_position("_words", t)))
+        .withColumn("_tf", F.zip_with("_start", after, lambda a, b: b - a))
+        .withColumn("terms", F.arrays_zip(F.col("_distinct").alias("term"), F.col("_tf").alias("tf")))
+        .drop("_words", "_distinct", "_start", "_tf")
     )
 
 
@@ -64,45 +86,48 @@ def score_sentences(
     It is null where the text passes through unranked.
 
     The mean's squared length is the mean of the dot products with it, so it needs no
-    vector of its own. The sentence travels on the row of its first token, so no join
+    vector of its own. The sentence travels on the row of its first term, so no join
     has to bring it back. Pass ``spread_by=None`` if the texts already lie by document.
     """
-    texts = texts.select(*keys, "text")
+    keys = list(keys)
+    extra = ["is_short"] if "is_short" in texts.columns else []
+    texts = texts.select(*keys, *extra, "text")
+    # explode_outer: an inner explode would make Spark test the array, and so build it, once more beforehand
     rows = (
         _candidates(texts.repartition(spread_by) if spread_by else texts, abbreviations)
-        .select(*keys, "ranked", "n_cand", F.explode("cand").alias("c"))
-        .select(*keys, "ranked", "n_cand", "c.pos", "c.sentence", "c.words")
+        .select(*keys, *extra, "ranked", "n_cand", F.explode_outer("cand").alias("c"))
+        .where("c.pos is not null")
+        .select(*keys, *extra, "ranked", "n_cand", "c.pos", "c.sentence", "c.words")
     )
-    words = F.when(F.col("ranked"), tx.tokens(F.col("sentence")))
-    token_rows = rows.select(
-        *keys, "pos", "ranked", "n_cand", "sentence", "words", F.posexplode_outer(words).alias("i", "term")
-    ).withColumn("sentence", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("sentence")))
-    tf = token_rows.groupBy(*keys, "pos", "term").agg(
-        F.count("term").alias("tf"),
-        F.max("sentence").alias("sentence"),
-        F.max("words").alias("words"),
-        F.max("ranked").alias("ranked"),
-        F.max("n_cand").alias("n_cand"),
+    token_rows = (
+        _with_term_frequencies(rows)
+        .select(*keys, *extra, "pos", "ranked", "n_cand", "sentence", "words", F.posexplode_outer("terms").alias("i", "t"))
+        .withColumn("first", F.coalesce("i", F.lit(0)) == 0)
+        .withColumn("sentence", F.when(F.col("first"), F.col("sentence")))
+        .withColumns({"term": F.col("t.term"), "tf": F.col("t.tf")})
+        .drop("i", "t", "first")
     )
     same_term = Window.partitionBy(*keys, "term")
     idf = F.log((F.col("n_cand") + 1.0) / (F.col("df") + 1.0)) + 1.0
     weighted = (
-        tf.withColumn("df", F.count("*").over(same_term))
+        token_rows.withColumn("df", F.count("*").over(same_term))
         .withColumn("w", F.when(F.col("term").isNotNull(), F.col("tf") * idf).otherwise(F.lit(0.0)))
         .withColumn("centre", F.sum("w").over(same_term) / F.col("n_cand"))
     )
+    constant = [*extra, "ranked", "n_cand", "words", "sentence"]
     per_sentence = weighted.groupBy(*keys, "pos").agg(
-        F.max("sentence").alias("sentence"),
-        F.max("words").alias("words"),
-        F.max("ranked").alias("ranked"),
-        F.max("n_cand").alias("n_cand"),
+        *(F.max(c).alias(c) for c in constant),
         F.sum(F.col("w") * F.col("centre")).alias("dot"),
         F.sum(F.col("w") * F.col("w")).alias("sq"),
     )
     centre_sq = F.sum("dot").over(Window.partitionBy(*keys)) / F.col("n_cand")
-    length = F.sqrt(F.col("sq") * centre_sq)
+    length = F.sqrt(F.col("sq") * F.col("centre_sq"))
     cosine = F.when(length > 0, F.col("dot") / length).otherwise(F.lit(0.0))
-    return per_sentence.withColumn("score", F.when(F.col("ranked"), F.round(cosine, 9))).drop("dot", "sq")
+    return (
+        per_sentence.withColumn("centre_sq", centre_sq)
+        .withColumn("score", F.when(F.col("ranked"), F.round(cosine, 9)))
+        .drop("dot", "sq", "centre_sq")
+    )
 
 
 def select_top(scored: DataFrame, ratio: float, keys: Sequence[str] = GROUP) -> DataFrame:
@@ -117,7 +142,12 @@ def select_top(scored: DataFrame, ratio: float, keys: Sequence[str] = GROUP) ->
 
 def within_budget(selected: DataFrame, budget: Column, keys: Sequence[str] = GROUP) -> DataFrame:
     """Keep sentences, best first, while their words fit the budget; the best one always stays."""
-    so_far = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    # the order of select_top, so that its sort serves both windows
+    so_far = (
+        Window.partitionBy(*keys)
+        .orderBy(F.desc_nulls_last("score"), "pos")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
         selected.withColumn("_total", F.sum("words").over(so_far))
         .where((F.col("_total") <= budget) | (F.col("rank") == 1))
@@ -148,7 +178,7 @@ def summarize_sections(
     """(doc_id, section, section_order, summary, is_short) of every non-empty section.
 
     Sections under 50 cleaned words come back cleaned as they are and get no keywords;
-    they never enter the ranking. The rest is ranked, cut to its word budget and tidied.
+    they are not ranked. The rest is ranked, cut to its word budget and tidied.
     """
     keys = ["doc_id", "section", "section_order"]
     texts = sections.where(F.col("text") != "").select(*keys, "text")
@@ -157,13 +187,11 @@ def summarize_sections(
     cleaned = texts.withColumn("text", tx.clean_text(F.col("text"))).withColumn(
         "is_short", tx.word_count(F.col("text")) < SHORT_TEXT_WORDS
     )
-    # spread_by=None: both branches read the same shuffled texts, nothing moves again
-    scored = score_sentences(cleaned.where(~F.col("is_short")), keys, abbreviations, spread_by=None)
-    picked = within_budget(select_top(scored, SECTION_RATIO, keys), section_budget(F.col("section")), keys)
-    ranked = in_source_order(picked, keys).select(
-        *keys, tx.clean_summary(F.col("summary")).alias("summary"), F.lit(False).alias("is_short")
-    )
-    return ranked.unionByName(cleaned.where("is_short").select(*keys, F.col("text").alias("summary"), "is_short"))
+    top = select_top(score_sentences(cleaned, keys, abbreviations, spread_by=None), SECTION_RATIO, keys)
+    picked = within_budget(top, section_budget(F.col("section")), keys)
+    joined = in_source_order(picked, [*keys, "is_short"])
+    tidied = F.when(F.col("is_short"), F.col("summary")).otherwise(tx.clean_summary(F.col("summary")))
+    return joined.withColumn("summary", tidied)
 
 
 def roll_up(section_summaries: DataFrame) -> DataFrame:
