@@ -125,7 +125,7 @@ def _sections(source: str) -> str:
 
 _ENTITY_MATCHES = " UNION ALL ".join(
     f"SELECT doc_id, {quoted(kind)} AS type, {i} AS pattern_no, unnest(regexp_extract_all(t, {quoted(pattern)})) AS raw FROM plain"
-    for i, (kind, pattern) in enumerate(ENTITY_PATTERNS)
+    for i, (kind, pattern, _) in enumerate(ENTITY_PATTERNS)
 )
 
 # Every block names what it reads; ``build`` adds what is needed, in order.

@@ -130,8 +130,8 @@ def entity_rank_topn(spark, sf_dir):
     ),
 )
 def entity_fill(spark, sf_dir):
-    mapped = planted.planted_texts(spark, sf_dir).select("doc_id", entities.entity_map(F.col("text")).alias("m"))
-    return mapped.select("doc_id", F.explode("m").alias("type", "found")).select(
+    found = entities.with_entities(planted.planted_texts(spark, sf_dir))
+    return found.select("doc_id", F.explode(entities.entity_map()).alias("type", "found")).select(
         "doc_id", "type", F.array_join("found", ",").alias("names")
     )
 

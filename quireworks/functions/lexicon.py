@@ -25,35 +25,36 @@ SECTION_KEYWORDS: dict[str, tuple[str, ...]] = {
 }
 
 # Entity types with their patterns; each pattern is matched on its own.
-ENTITY_PATTERNS: tuple[tuple[str, str], ...] = (
-    ("models", r"(?i)\b(GPT-?[0-9.]+[a-z]*|GPT|ChatGPT)\b"),
-    ("models", r"\b(BERT|RoBERTa|ALBERT|DistilBERT|DeBERTa|SciBERT)\b"),
-    ("models", r"\b(T5|FLAN-T5|mT5)\b"),
-    ("models", r"(?i)\b(LLaMA|Llama-?[0-9]*)\b"),
-    ("models", r"\b(Claude|Gemini|Mistral|Mixtral)\b"),
-    ("models", r"(?i)\b(ResNet|VGG|Inception|DenseNet|EfficientNet)[-\s]?[0-9]*"),
-    ("models", r"(?i)\b(YOLO|YOLOv[0-9]+)\b"),
-    ("models", r"(?i)\b(ViT|Vision Transformer|Swin Transformer)\b"),
-    ("models", r"(?i)\b(CLIP|DALL-?E|Stable Diffusion)\b"),
-    ("models", r"\b(Transformer|LSTM|GRU|BiLSTM)\b"),
-    ("datasets", r"(?i)\b(ImageNet[-\s]?[0-9]*k?)\b"),
-    ("datasets", r"(?i)\b(COCO|MS-?COCO)\b"),
-    ("datasets", r"(?i)\b(CIFAR-?(?:10|100))\b"),
-    ("datasets", r"(?i)\b(MNIST|Fashion-?MNIST)\b"),
-    ("datasets", r"(?i)\b(SQuAD[0-9.]*)\b"),
-    ("datasets", r"\b(GLUE|SuperGLUE)\b"),
-    ("datasets", r"(?i)\b(WikiText[-\s]?[0-9]*)\b"),
-    ("datasets", r"(?i)\b(Common Crawl|C4)\b"),
-    ("datasets", r"(?i)\b(ADE20K|Cityscapes|Pascal VOC)\b"),
-    ("metrics", r"(?i)\b(accuracy|precision|recall|F1[-\s]?score)\b"),
-    ("metrics", r"(?i)\b(BLEU[-\s]?[0-9]*|ROUGE[-\s]?[LN0-9]*)\b"),
-    ("metrics", r"\b(mAP|IoU|mIoU)\b"),
-    ("metrics", r"(?i)\b(perplexity|cross-entropy)\b"),
-    ("metrics", r"(?i)\b(AUC|ROC|AUC-ROC)\b"),
-    ("metrics", r"\b(METEOR|CIDEr|SPICE)\b"),
-    ("frameworks", r"(?i)\b(PyTorch|TensorFlow|JAX|Keras)\b"),
-    ("frameworks", r"(?i)\b(Hugging ?Face|HuggingFace)\b"),
-    ("frameworks", r"(?i)\b(scikit-learn|sklearn)\b"),
+# The words after a pattern save time: without one of them, in any case, it cannot match.
+ENTITY_PATTERNS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    ("models", r"(?i)\b(GPT-?[0-9.]+[a-z]*|GPT|ChatGPT)\b", ("gpt",)),
+    ("models", r"\b(BERT|RoBERTa|ALBERT|DistilBERT|DeBERTa|SciBERT)\b", ("bert",)),
+    ("models", r"\b(T5|FLAN-T5|mT5)\b", ("t5",)),
+    ("models", r"(?i)\b(LLaMA|Llama-?[0-9]*)\b", ("llama",)),
+    ("models", r"\b(Claude|Gemini|Mistral|Mixtral)\b", ("claude", "gemini", "mistral", "mixtral")),
+    ("models", r"(?i)\b(ResNet|VGG|Inception|DenseNet|EfficientNet)[-\s]?[0-9]*", ("resnet", "vgg", "inception", "densenet", "efficientnet")),
+    ("models", r"(?i)\b(YOLO|YOLOv[0-9]+)\b", ("yolo",)),
+    ("models", r"(?i)\b(ViT|Vision Transformer|Swin Transformer)\b", ("vit", "transformer")),
+    ("models", r"(?i)\b(CLIP|DALL-?E|Stable Diffusion)\b", ("clip", "dall", "diffusion")),
+    ("models", r"\b(Transformer|LSTM|GRU|BiLSTM)\b", ("transformer", "lstm", "gru")),
+    ("datasets", r"(?i)\b(ImageNet[-\s]?[0-9]*k?)\b", ("imagenet",)),
+    ("datasets", r"(?i)\b(COCO|MS-?COCO)\b", ("coco",)),
+    ("datasets", r"(?i)\b(CIFAR-?(?:10|100))\b", ("cifar",)),
+    ("datasets", r"(?i)\b(MNIST|Fashion-?MNIST)\b", ("mnist",)),
+    ("datasets", r"(?i)\b(SQuAD[0-9.]*)\b", ("squad",)),
+    ("datasets", r"\b(GLUE|SuperGLUE)\b", ("glue",)),
+    ("datasets", r"(?i)\b(WikiText[-\s]?[0-9]*)\b", ("wikitext",)),
+    ("datasets", r"(?i)\b(Common Crawl|C4)\b", ("common crawl", "c4")),
+    ("datasets", r"(?i)\b(ADE20K|Cityscapes|Pascal VOC)\b", ("ade20k", "cityscapes", "pascal voc")),
+    ("metrics", r"(?i)\b(accuracy|precision|recall|F1[-\s]?score)\b", ("accuracy", "precision", "recall", "f1")),
+    ("metrics", r"(?i)\b(BLEU[-\s]?[0-9]*|ROUGE[-\s]?[LN0-9]*)\b", ("bleu", "rouge")),
+    ("metrics", r"\b(mAP|IoU|mIoU)\b", ("map", "iou")),
+    ("metrics", r"(?i)\b(perplexity|cross-entropy)\b", ("perplexity", "cross-entropy")),
+    ("metrics", r"(?i)\b(AUC|ROC|AUC-ROC)\b", ("auc", "roc")),
+    ("metrics", r"\b(METEOR|CIDEr|SPICE)\b", ("meteor", "cider", "spice")),
+    ("frameworks", r"(?i)\b(PyTorch|TensorFlow|JAX|Keras)\b", ("pytorch", "tensorflow", "jax", "keras")),
+    ("frameworks", r"(?i)\b(Hugging ?Face|HuggingFace)\b", ("hugging",)),
+    ("frameworks", r"(?i)\b(scikit-learn|sklearn)\b", ("scikit-learn", "sklearn")),
 )
 
 # Entity types that every document reports, in output order.

@@ -31,8 +31,8 @@ def process_batch(spans: DataFrame, done: DataFrame | None, mode: str = "strict"
     if done is not None:
         fresh = fresh.join(done.select("doc_id"), "doc_id", "left_anti")
     docs = layout.with_full_text(layout.document_sections(layout.blocks_with_sections(fresh, mode)))
-    return docs.withColumn("entities", entities.entity_struct(F.col("full_text"))).select(
-        "doc_id", "sections", "sections_found", "entities"
+    return entities.with_entities(docs, "full_text").select(
+        "doc_id", "sections", "sections_found", entities.entity_names().alias("entities")
     )
 
 
