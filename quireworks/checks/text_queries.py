@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quireworks.checks import planted, sql
@@ -254,6 +255,40 @@ def centroid_cosine(spark, sf_dir):
     return scored.select("vec_id", F.round("score", 6).alias("score"))
 
 
+_VOWELS = "aeiou"
+
+
+def _vowel_encoder():
+    """A stand-in for a sentence encoder: how often each vowel occurs."""
+    @F.pandas_udf("array<float>")
+    def encoder(sentence: pd.Series) -> pd.Series:
+        return pd.DataFrame({v: sentence.str.count(v) for v in _VOWELS}).astype("float32").apply(list, axis=1)
+
+    return encoder
+
+
+_COUNTS = ", ".join(f"(length(sentence) - length(replace(sentence, '{v}', '')))::DOUBLE" for v in _VOWELS)
+
+
+@query(
+    "encoder_scores",
+    build(
+        f"""SELECT v.doc_id, v.pos, round(round(coalesce(CASE WHEN isnan(c) THEN 0 ELSE c END, 0), 9), 6) AS score FROM (
+            SELECT v.doc_id, v.pos, list_cosine_similarity(v.e, m.centre) AS c
+            FROM (SELECT doc_id, pos, [{_COUNTS}] AS e FROM candidates) v
+            JOIN (SELECT doc_id, [{', '.join(f'avg(e[{i + 1}])' for i in range(len(_VOWELS)))}] AS centre
+                  FROM (SELECT doc_id, [{_COUNTS}] AS e FROM candidates) GROUP BY doc_id) m ON m.doc_id = v.doc_id) v""",
+        "candidates",
+        texts=_WHOLE,
+    ),
+)
+def encoder_scores(spark, sf_dir):
+    """Sentences ranked by the vectors of a plugged-in encoder."""
+    rows = summarize.sentence_rows(whole_texts(spark, sf_dir)).select("doc_id", "section", "pos", "sentence")
+    scored = summarize.score_by_vectors(summarize.encode(rows, _vowel_encoder()(F.col("sentence"))))
+    return scored.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.round("score", 6).alias("score"))
+
+
 _TURN_PAIRS = """SELECT a.conv_id, a.turn, a.text AS cand, b.text AS ref FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
 _OVERLAP = f"""
     WITH pairs AS ({_TURN_PAIRS}),

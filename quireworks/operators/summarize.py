@@ -59,6 +59,21 @@ def _candidates(texts: DataFrame, abbreviations: Sequence[str]) -> DataFrame:
     )
 
 
+def sentence_rows(
+    texts: DataFrame, keys: Sequence[str] = GROUP, abbreviations: Sequence[str] = (), spread_by: str | None = "doc_id"
+) -> DataFrame:
+    """(keys, ranked, n_cand, pos, sentence, words): the candidate sentences, one per row."""
+    extra = ["is_short"] if "is_short" in texts.columns else []
+    texts = texts.select(*keys, *extra, "text")
+    # explode_outer: an inner explode would make Spark test the array, and so build it, once more beforehand
+    return (
+        _candidates(texts.repartition(spread_by) if spread_by else texts, abbreviations)
+        .select(*keys, *extra, "ranked", "n_cand", F.explode_outer("cand").alias("c"))
+        .where("c.pos is not null")
+        .select(*keys, *extra, "ranked", "n_cand", "c.pos", "c.sentence", "c.words")
+    )
+
+
 def _with_term_frequencies(sentences: DataFrame) -> DataFrame:
     """Add ``terms``, an array of (term, tf), to ranked sentences.
 
@@ -90,15 +105,8 @@ def score_sentences(
     has to bring it back. Pass ``spread_by=None`` if the texts already lie by document.
     """
     keys = list(keys)
-    extra = ["is_short"] if "is_short" in texts.columns else []
-    texts = texts.select(*keys, *extra, "text")
-    # explode_outer: an inner explode would make Spark test the array, and so build it, once more beforehand
-    rows = (
-        _candidates(texts.repartition(spread_by) if spread_by else texts, abbreviations)
-        .select(*keys, *extra, "ranked", "n_cand", F.explode_outer("cand").alias("c"))
-        .where("c.pos is not null")
-        .select(*keys, *extra, "ranked", "n_cand", "c.pos", "c.sentence", "c.words")
-    )
+    rows = sentence_rows(texts, keys, abbreviations, spread_by)
+    extra = ["is_short"] if "is_short" in rows.columns else []
     token_rows = (
         _with_term_frequencies(rows)
         .select(*keys, *extra, "pos", "ranked", "n_cand", "sentence", "words", F.posexplode_outer("terms").alias("i", "t"))
@@ -130,6 +138,36 @@ def score_sentences(
     )
 
 
+def score_by_vectors(sentences: DataFrame, vector: str = "vector", keys: Sequence[str] = GROUP) -> DataFrame:
+    """Replace ``vector`` by ``score``, its cosine to the mean vector of the sentence's text.
+
+    For vectors that an encoder supplied, see :func:`encode`. A text's vectors are
+    gathered in one row, as its sentences were before.
+    """
+    others = [c for c in sentences.columns if c not in (*keys, vector)]
+    gathered = sentences.groupBy(*keys).agg(
+        F.collect_list(F.struct(*others, F.col(vector).cast("array<double>").alias(vector))).alias("_rows")
+    )
+    total = F.aggregate(
+        F.slice("_rows", F.lit(2), F.size("_rows")),
+        F.get("_rows", F.lit(0))[vector],
+        lambda acc, r: F.zip_with(acc, r[vector], lambda x, y: x + y),
+    )
+    return (
+        gathered.withColumn("_total", total)
+        .select(*keys, "_total", F.explode("_rows").alias("r"))
+        .select(*keys, *(F.col(f"r.{c}").alias(c) for c in others), F.round(vec.cosine(F.col(f"r.{vector}"), F.col("_total")), 9).alias("score"))
+    )
+
+
+def encode(sentences: DataFrame, encoder: Column, vector: str = "vector") -> DataFrame:
+    """Add vectors from a sentence encoder: a ``pandas_udf`` from text to ``array<float>`` applied to ``sentence``.
+
+    The encoder runs on Arrow batches inside the tasks, so a model can be loaded once per worker.
+    """
+    return sentences.withColumn(vector, encoder)
+
+
 def select_top(scored: DataFrame, ratio: float, keys: Sequence[str] = GROUP) -> DataFrame:
     """Keep the best max(3, floor(n * ratio)) sentences per text and add ``rank``.
 

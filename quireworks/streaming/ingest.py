@@ -20,16 +20,37 @@ def read_span_stream(spark: SparkSession, path: str, files_per_batch: int = 1000
 
 
 def one_delivery(spans: DataFrame) -> DataFrame:
-    """Keep one file per document. A document comes whole in one file, so rows are not compared."""
-    chosen = spans.groupBy("doc_id").agg(F.min("file").alias("file"))
-    return spans.join(chosen, ["doc_id", "file"], "left_semi").drop("file")
+    """Keep one file per document. A document comes whole in one file, so rows are not compared.
+
+    Only documents that came more than once are looked up, and those are few.
+    """
+    repeated = (
+        spans.groupBy("doc_id")
+        .agg(F.min("file").alias("_first"), F.max("file").alias("_last"))
+        .where("_first <> _last")
+        .select("doc_id", "_first")
+    )
+    return (
+        spans.join(repeated, "doc_id", "left").where("_first is null or file = _first").drop("_first", "file")
+    )
+
+
+def not_done(spans: DataFrame, done: DataFrame) -> DataFrame:
+    """Spans of documents that are not in ``done`` yet.
+
+    ``done`` grows with every batch, so it is first reduced to the documents of this
+    batch: the batch's short list of ids goes to the long list, which is only scanned.
+    """
+    batch_ids = spans.select("doc_id").distinct()
+    seen = done.select("doc_id").join(batch_ids, "doc_id", "left_semi").distinct()
+    return spans.join(seen, "doc_id", "left_anti")
 
 
 def process_batch(spans: DataFrame, done: DataFrame | None, mode: str = "strict") -> DataFrame:
     """Sections and entities of the documents that are not in ``done`` yet."""
     fresh = one_delivery(spans)
     if done is not None:
-        fresh = fresh.join(done.select("doc_id"), "doc_id", "left_anti")
+        fresh = not_done(fresh, done)
     docs = layout.with_full_text(layout.document_sections(layout.blocks_with_sections(fresh, mode)))
     return entities.with_entities(docs, "full_text").select(
         "doc_id", "sections", "sections_found", entities.entity_names().alias("entities")
