@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from quireworks.checks import planted
 from quireworks.checks.registry import query
 from quireworks.checks.sql import build, match_section, strip
-from quireworks.operators import keywords, layout, summarize
+from quireworks.functions import text as tx
+from quireworks.operators import keywords, layout, maintenance, summarize
 from quireworks.plans import record
 from quireworks.sources import readers, writers
-from quireworks.staging import fresh_path
+from quireworks.staging import fresh_path, stage
 from quireworks.streaming import activity, ingest
 
 
@@ -163,7 +164,7 @@ def overall_summary(spark, sf_dir):
     ),
 )
 def keyword_topk_section(spark, sf_dir):
-    top = keywords.top_keywords(_sections(spark, sf_dir), ["doc_id", "section"], 5)
+    top = keywords.top_keywords(stage(_sections(spark, sf_dir), "sections"), ["doc_id", "section"], 5)
     return _long(top.select("doc_id", "section", "term", F.round("score", 6).alias("score"), "rank"), "rank")
 
 
@@ -176,7 +177,8 @@ def keyword_topk_section(spark, sf_dir):
     ),
 )
 def keyword_count_by_section(spark, sf_dir):
-    return keywords.count_by_section(keywords.top_keywords(_sections(spark, sf_dir), ["doc_id", "section"], 5))
+    sections = stage(_sections(spark, sf_dir), "sections")
+    return keywords.count_by_section(keywords.top_keywords(sections, ["doc_id", "section"], 5))
 
 
 _META = "SELECT doc_id, substr(text, 1, 80) AS title, [lang, source] AS authors, '2024-01-01' AS published, lang AS primary_category FROM documents"
@@ -287,11 +289,80 @@ def json_export(spark, sf_dir):
     )
 
 
+@query(
+    "saved_summary_list",
+    build(
+        """SELECT d.doc_id::VARCHAR AS summary_id, substr(d.text, 1, 80) AS title, d.lang || ',' || d.source AS authors, t.n_sections AS sections
+        FROM documents d JOIN doc_texts t USING (doc_id)""",
+        "doc_texts",
+    ),
+)
+def saved_summary_list(spark, sf_dir):
+    """Saved records, partitioned by category, read with the full schema and listed."""
+    docs = layout.with_full_text(layout.document_sections(_blocks(spark, sf_dir))).select("doc_id", "sections_found")
+    saved = metadata(spark, sf_dir).join(docs, "doc_id").withColumn("arxiv_id", F.col("doc_id").cast("string"))
+    path = fresh_path(spark, "saved-summaries")
+    writers.write_records(saved.drop("doc_id"), path, partition_by="primary_category")
+    listed = readers.list_summaries(readers.read_saved_summaries(spark, path, one_per_file=False))
+    return listed.select(
+        "summary_id", "title", F.array_join("authors", ",").alias("authors"), F.col("sections").cast("bigint").alias("sections")
+    )
+
+
+@query(
+    "markdown_brief",
+    f"""SELECT doc_id, '# ' || substr(text, 1, 80){_N} || '**Authors:** ' || lang || ', ' || source{_N}
+        || CASE WHEN text <> '' THEN '## Summary'{_N} || text{_N} ELSE '' END
+        || CASE WHEN lang <> 'en' THEN '## Keywords'{_N} || source{_N} ELSE '' END AS markdown FROM documents""",
+)
+def markdown_brief(spark, sf_dir):
+    docs = planted.documents(spark, sf_dir).select(
+        "doc_id", F.substring("text", 1, 80).alias("title"), F.array("lang", "source").alias("authors"), F.col("text").alias("overall_summary"),
+        F.when(F.col("lang") == "en", F.array().cast("array<string>")).otherwise(F.array("source")).alias("overall_keywords"),
+    )
+    return docs.select("doc_id", writers.markdown("brief").alias("markdown"))
+
+
+@query(
+    "upload_defaults",
+    """SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE 'paper.' || doc_id END AS title, CASE WHEN lang = 'de' THEN lang ELSE '' END AS authors,
+        CASE WHEN lang = 'en' THEN doc_id::VARCHAR ELSE 'uploaded' END AS arxiv_id, '2024-05-06' AS published,
+        CASE WHEN lang = 'fr' THEN lang ELSE 'Unknown' END AS primary_category FROM documents""",
+)
+def upload_defaults(spark, sf_dir):
+    lang = F.col("lang")
+    docs = planted.documents(spark, sf_dir).select(
+        "doc_id",
+        F.when(lang == "en", F.col("source")).alias("title"),
+        F.when(lang == "de", F.array(lang)).alias("authors"),
+        F.when(lang == "en", F.col("doc_id").cast("string")).alias("arxiv_id"),
+        F.lit(None).cast("string").alias("published"),
+        F.when(lang == "fr", lang).alias("primary_category"),
+        F.concat(F.lit("/up/paper."), F.col("doc_id"), F.lit(".pdf")).alias("pdf_path"),
+    )
+    filled = readers.with_paper_defaults(docs, F.lit("2024-05-06").cast("date")).drop("pdf_path")
+    return filled.withColumn("authors", F.array_join("authors", ","))
+
+
+@query(
+    "published_dates",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS published FROM orders",
+)
+def published_dates(spark, sf_dir):
+    """Dates as the two kinds of papers give them, and one form that is no date."""
+    at = F.col("o_orderdate")
+    given = (
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")))
+        .when(F.col("o_orderstatus") == "O", F.date_format(at, "yyyy-MM-dd"))
+        .otherwise(F.lit("unknown"))
+    )
+    orders = planted.table(spark, sf_dir, "orders").select("o_orderkey", tx.published_at(given).alias("at"))
+    return orders.select("o_orderkey", F.date_format("at", "yyyy-MM-dd").alias("published"))
+
+
 @query("versioned_rewrite", build("SELECT id, user_id FROM summaries WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", "summaries"))
 def versioned_rewrite(spark, sf_dir):
     """A table written, then rewritten without the rows of some users, then read in its newest version."""
-    from quireworks.operators import maintenance
-
     path = fresh_path(spark, "summaries")
     writers.write_version(planted.orders_as_summaries(spark, sf_dir), path)
     deleted = planted.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))

@@ -181,7 +181,10 @@ def page_carry(blocks: DataFrame) -> DataFrame:
 
 def carry_sections(blocks: DataFrame) -> DataFrame:
     """Add ``seq`` (place in the document) and ``section`` (last boundary at or before the block)."""
-    so_far = Window.partitionBy("doc_id", "page").orderBy("page_seq").rowsBetween(Window.unboundedPreceding, 0)
+    # the order of in_reading_order, so that its sort can serve this window too
+    so_far = (
+        Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "block_no").rowsBetween(Window.unboundedPreceding, 0)
+    )
     return (
         blocks.withColumn("page_section", F.last("boundary", ignorenulls=True).over(so_far))
         .join(page_carry(blocks), ["doc_id", "page"])

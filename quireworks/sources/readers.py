@@ -57,15 +57,17 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return found.load(path).drop("content")
 
 
-def read_saved_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Saved ``summary_<id>.json`` files with their id and all fields."""
-    return (
-        spark.read.schema(schemas.SUMMARY_FILE)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "summary_*.json")
-        .json(path)
-        .withColumn("id", F.regexp_extract(F.input_file_name(), r"summary_([^/]*)\.json$", 1))
-    )
+def read_saved_summaries(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Saved summaries with their id and all fields.
+
+    Either ``summary_<id>.json`` files with one summary each, or JSON lines as
+    ``write_records`` leaves them, where the paper id stands for the summary's.
+    """
+    reader = spark.read.schema(schemas.SUMMARY_FILE)
+    if not one_per_file:
+        return reader.json(path).withColumn("id", F.col("arxiv_id"))
+    files = reader.option("multiLine", True).option("pathGlobFilter", "summary_*.json").json(path)
+    return files.withColumn("id", F.regexp_extract(F.input_file_name(), r"summary_([^/]*)\.json$", 1))
 
 
 def list_summaries(saved: DataFrame) -> DataFrame:

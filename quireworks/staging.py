@@ -9,10 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="quireworks-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder from ``spark.checkpoint.dir``; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,13 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="quireworks-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+def application_dir(spark: SparkSession) -> str:
+    """Folder for everything this application stages."""
+    return f"{shared_dir(spark)}/quireworks/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quireworks/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_staged(spark: SparkSession) -> bool:
+    """Delete what this application staged. Call it when the results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

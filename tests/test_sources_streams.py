@@ -1,8 +1,11 @@
 import json
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 from test_layout import LONG, simple, spans_of
 
+from quireworks import staging
 from quireworks.operators import layout
 from quireworks.plans import record
 from quireworks.sources import readers, schemas, writers
@@ -139,3 +142,30 @@ def test_spans_schema_reads_back(spark, tmp_path):
     assert readers.read_spans(spark, str(tmp_path / "s")).count() == 18
     for ddl in (schemas.USERS, schemas.SUMMARIES, schemas.ACTIVITY, schemas.SUMMARY_FILE, schemas.PAPERS):
         assert spark.createDataFrame([], ddl).count() == 0
+
+
+class FakeConf:
+    def get(self, key, default):
+        return default
+
+
+class FakeSession:
+    conf = FakeConf()
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+
+
+def test_staged_tables_can_be_discarded(spark):
+    before = staging.stage(spark.range(5), "five")
+    assert before.count() == 5
+    folder = Path(staging.application_dir(spark).removeprefix("file:"))
+    assert list(folder.glob("five-*/_SUCCESS"))
+    assert staging.discard_staged(spark) and not folder.exists()
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    with pytest.raises(ValueError):
+        staging.shared_dir(FakeSession("yarn"))
+    local = staging.shared_dir(FakeSession("local[2]"))
+    assert Path(local).is_dir() and staging.shared_dir(FakeSession("local[2]")) == local
