@@ -64,7 +64,7 @@ def section_match_compat(spark, sf_dir):
 
 def _matched_lines(spark, sf_dir, mode):
     lines = planted.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return _long(lines.select("doc_id", "n", layout.match_section(F.col("line"), mode).alias("section")), "n")
+    return _long(layout.with_section_match(lines, "line", "section", mode).drop("line"), "n")
 
 
 @query("section_boundary", build("SELECT doc_id, seq, boundary FROM bounded WHERE boundary IS NOT NULL", "bounded"))

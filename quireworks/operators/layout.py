@@ -10,6 +10,7 @@ spans is spread over many tasks.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,12 +101,12 @@ def mark_headers(blocks: DataFrame, spans: DataFrame, max_header_length: int = 1
     )
 
 
-def match_section(title: Column, mode: str = "strict") -> Column:
-    """Section that a heading names, or null.
+def bare_heading(title: Column, mode: str = "strict") -> Column:
+    """A heading in lower case without its numbering.
 
     ``strict`` strips numbers such as ``3.1`` and roman numerals that end in a dot,
     bracket or space. ``compat`` strips one number level and any leading letters that
-    could be roman, so ``introduction`` loses its first letter and finds nothing.
+    could be roman, so ``introduction`` loses its first letter.
     """
     if mode == "strict":
         numbering = (rf"^\p{{Nd}}+(?:\.\p{{Nd}}+)*\.?{tx.SPACE}*", rf"^[ivxlcdm]+(?:[.)]{tx.SPACE}*|{tx.SPACE}+)")
@@ -116,18 +117,34 @@ def match_section(title: Column, mode: str = "strict") -> Column:
     c = tx.strip(F.lower(title))
     for pattern in numbering:
         c = F.regexp_replace(c, pattern, "")
-    c = tx.strip(c)
+    return tx.strip(c)
+
+
+def section_of(heading: Column) -> Column:
+    """Section that a bare heading names, or null. Keywords match at the start or as whole words.
+
+    Pass a column, not an expression: it is looked at many times. The plain search for a
+    keyword spares most headings the pattern.
+    """
     tests = []
     for section, keywords in SECTION_KEYWORDS.items():
         words = "|".join(re.escape(k) for k in keywords)
-        tests.append(F.when(c.rlike(rf"(?U)^(?:{words})|\b(?:{words})\b"), section))
+        held = reduce(lambda a, b: a | b, (F.contains(heading, F.lit(k)) for k in keywords))
+        tests.append(F.when(held & heading.rlike(rf"(?U)^(?:{words})|\b(?:{words})\b"), section))
     return F.coalesce(*tests)
 
 
+def with_section_match(df: DataFrame, title: str, out: str, mode: str = "strict", where: Column | None = None) -> DataFrame:
+    """Add the section that ``title`` names, where the condition holds."""
+    heading = bare_heading(F.col(title), mode)
+    heading = heading if where is None else F.when(where, heading)
+    return df.withColumn("_heading", heading).withColumn(out, section_of(F.col("_heading"))).drop("_heading")
+
+
 def mark_boundaries(blocks: DataFrame, mode: str = "strict", short_header_len: int = 80) -> DataFrame:
     """Add ``boundary``: the section a block opens. Only headings and short blocks are looked at."""
     candidate = F.col("is_header") | (F.length("text") < short_header_len)
-    return blocks.withColumn("boundary", F.when(candidate, match_section(F.col("text"), mode)))
+    return with_section_match(blocks, "text", "boundary", mode, candidate)
 
 
 def page_carry(blocks: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@ import random
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from quireworks.operators import layout
 from quireworks.sources import schemas
@@ -90,7 +89,8 @@ def test_header_flag(spark, size, font, length, expected):
 )
 def test_match_section(spark, title, strict, compat):
     df = spark.createDataFrame([(title,)], "t string")
-    row = df.select(layout.match_section(F.col("t")).alias("s"), layout.match_section(F.col("t"), "compat").alias("c")).first()
+    both = layout.with_section_match(layout.with_section_match(df, "t", "s"), "t", "c", "compat")
+    row = both.first()
     assert (row.s, row.c) == (strict, compat)
 
 
