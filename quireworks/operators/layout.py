@@ -18,6 +18,7 @@ from pyspark.sql.window import WindowSpec
 
 from quireworks.functions import text as tx
 from quireworks.functions.lexicon import SECTION_KEYWORDS
+from quireworks.functions.skew import salted_join
 
 DEFAULT_HEADER_SIZE = 9.0
 FIRST_SECTION = "introduction"
@@ -84,7 +85,7 @@ def page_header_sizes(spans: DataFrame) -> DataFrame:
     Keyed like the blocks, so adding it to them moves this small table and not the blocks.
     """
     sizes = median_font_size(spans).select("doc_id", "header_size")
-    return spans.select("doc_id", "page").distinct().join(sizes, "doc_id")
+    return salted_join(spans.select("doc_id", "page").distinct(), sizes, ["doc_id"], ["page"])
 
 
 def mark_headers(blocks: DataFrame, spans: DataFrame, max_header_length: int = 100) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quireworks.functions.skew import salted_join
+
 PATCHABLE = ("full_name", "bio", "avatar_url")
 
 
@@ -106,12 +108,13 @@ def split_batch(items: DataFrame, existing: DataFrame, path: str = "path") -> Da
 
     As in the batch outcome, ``success`` stays null for an invalid path.
     """
-    known = existing.select(F.col(path).alias("_known")).distinct()
+    known = existing.select(path).distinct().withColumn("_known", F.lit(True))
+    # salted by the whole item: items without a path, or with the same one, may be many
     return (
-        items.join(known, F.col(path) == F.col("_known"), "left")
-        .withColumn("success", F.when(F.col("_known").isNotNull(), F.lit(True)))
+        salted_join(items, known, [path], items.columns, "left")
+        .withColumn("success", F.col("_known"))
         .withColumn("error", F.when(F.col("_known").isNull(), F.lit("Invalid PDF path")))
-        .drop("_known")
+        .select(*items.columns, "success", "error")
     )
 
 

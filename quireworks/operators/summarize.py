@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quireworks.functions import text as tx
 from quireworks.functions import vectors as vec
+from quireworks.functions.skew import salted_join
 
 GROUP = ("doc_id", "section")
 SHORT_TEXT_WORDS = 50
@@ -257,7 +258,7 @@ def dense_centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 def cosine_to_centroid(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     """Add ``score``: cosine of each vector to the centroid of its group."""
     return (
-        vectors.join(dense_centroids(vectors, group, vector), group, "left")
+        salted_join(vectors, dense_centroids(vectors, group, vector), [group], [vector], "left")
         .withColumn("score", vec.cosine(F.col(vector), F.col("centroid")))
         .drop("centroid")
     )

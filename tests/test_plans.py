@@ -4,10 +4,12 @@ import re
 
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from quireworks.checks import planted, text_queries
+from quireworks.functions.skew import salted_join
 from quireworks.operators import keywords, layout, library, summarize
 
 QUERIES = contract.queries()
@@ -101,5 +103,40 @@ def test_counts_survive_one_dominant_key(spark):
     assert top.count() == 10_000
 
 
+def test_hot_key_of_a_join_is_split(spark):
+    """Half of the left rows share one key: the salted join returns the same rows, in split partitions."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        left = spark.range(0, 200_000, 1, 8).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 1000).alias("k"))
+        right = left.groupBy("k").agg(F.count("*").alias("n"))
+        joined = salted_join(left, right, ["k"], ["id"])
+        assert joined.columns == ["k", "id", "n"]
+        rows = {r["k"]: r["count"] for r in joined.where("n > 0").groupBy("k").count().collect()}
+        assert rows == {r["k"]: r["n"] for r in right.collect()}
+        df = joined.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("k")))
+        assert df.where("rank = 1").collect()
+        df.collect()
+        assert "SortMergeJoin(skew=true)" in plan_of(df)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_salted_left_join_keeps_rows_without_a_key(spark):
+    left = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, k string")
+    right = spark.createDataFrame([("a", 5)], "k string, v int")
+    assert sorted((r.id, r.v) for r in salted_join(left, right, ["k"], ["id"], "left").collect()) == [(1, 5), (2, None), (3, None)]
+
+
 def test_whole_texts_stay_whole(spark):
     assert text_queries.whole_texts(spark, SF_DIR).count() == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
