@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quireworks.llm import language, mixing, quality, topk, url_filter
+from quireworks.llm import bpe, language, mixing, quality, topk, url_filter
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_poisson_mix": mixing.op2_poisson_mix,
     "op3_language": language.op3_language,
     "op5_url_rules": url_filter.op5_url_rules,
