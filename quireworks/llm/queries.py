@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quireworks.llm import bpe, language, mixing, quality, topk, url_filter
+from quireworks.llm import bpe, language, mixing, pii, quality, topk, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_poisson_mix": mixing.op2_poisson_mix,
     "op3_language": language.op3_language,
+    "op4_pii": pii.op4_pii,
     "op5_url_rules": url_filter.op5_url_rules,
     "op6_quality": quality.op6_quality,
     "op8_topk": topk.op8_topk,
