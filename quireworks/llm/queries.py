@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireworks.llm import bpe, language, mixing, pii, quality, topk, url_filter
+from quireworks.llm import bpe, language, mixing, neardup, pii, quality, topk, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,9 +12,11 @@ QUERIES = {
     "op5_url_rules": url_filter.op5_url_rules,
     "op6_quality": quality.op6_quality,
     "op8_topk": topk.op8_topk,
+    "op9_near_duplicates": neardup.op9_near_duplicates,
 }
 ORACLES = {
     "op2_poisson_mix": mixing.SQL,
     "op5_url_rules": url_filter.SQL,
     "op8_topk": topk.SQL,
+    "op9_near_duplicates": neardup.SQL,
 }
