@@ -9,8 +9,8 @@ a bucket. Within a bucket nobody is paired with everybody:
    Pairs whose signatures agree often enough are confirmed on the full sets, and confirmed links are
    joined into components by alternating large-star and small-star.
 2. What is left are buckets whose members are in more than one component. Their members are compared
-   by signature in tiles of bounded size, only across components; only promising pairs leave a tile, and
-   these are confirmed as well.
+   by signature in tiles of bounded size, only across components and in their first common bucket.
+   Promising pairs leave a tile packed by blocks of members and are confirmed block by block.
 
 So every pair that shares a bucket has been compared, or is in one component already. A pair with
 similarity 0.75 shares no bucket with probability (1 - 0.75**4)**40 = 2.5e-7, a more similar one with
@@ -40,7 +40,7 @@ from quireworks.llm.common import mix, slices, table, text_bytes
 from quireworks.staging import stage
 
 WORDS, THRESHOLD = 5, 75
-BANDS, ROWS, HUBS, TILE = 40, 4, 3, 256
+BANDS, ROWS, TILE, BLOCK = 40, 4, 256, 64
 HASHES = BANDS * ROWS
 #: A pair at the threshold agrees on fewer of the minima with a probability of about 3e-7.
 AGREE = int(HASHES * (THRESHOLD / 100) - 5 * (HASHES * (THRESHOLD / 100) * (1 - THRESHOLD / 100)) ** 0.5)
@@ -134,18 +134,23 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
 
 
+def _band_keys(signature: np.ndarray) -> np.ndarray:
+    """The bucket of each band, one row per signature."""
+    x = signature.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)[None, :] + np.zeros((len(x), 1), np.uint64)
+    for r in range(ROWS):
+        key = mix(key * _ODD + x[:, :, r])
+    return key.view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)
     for batch in batches:
         ids = batch.column("rep").to_numpy()
         for start in range(0, len(ids), 2000):
             part = batch.slice(start, 2000)
-            x = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = salt[None, :] + np.zeros((len(x), 1), np.uint64)
-            for r in range(ROWS):
-                key = mix(key * _ODD + x[:, :, r])
+            key = _band_keys(np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32))
             rep = np.repeat(ids[start : start + 2000], BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rep)], ["bucket", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(rep)], ["bucket", "rep"])
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,23 +184,64 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tile(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Promising pairs of a tile, across components."""
-    rows = frame.drop_duplicates("rep").sort_values("rep")
-    ids, labels = rows["rep"].to_numpy(), rows["label"].to_numpy()
+    """Promising pairs of a tile, across components, as one row for each two blocks of members.
+
+    A pair that meets in several buckets is taken in that of its first common band only.
+    """
+    rows = frame.drop_duplicates("rep").sort_values(["block", "rep"])
+    ids, labels, blocks, side = (rows[c].to_numpy() for c in ("rep", "label", "block", "part"))
     x = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
-    side = rows["part"].to_numpy()
-    low, high = frame["lo"].iloc[0], frame["hi"].iloc[0]
-    a, b = [], []
+    band = int(np.flatnonzero(_band_keys(x[:1])[0] == frame["bucket"].iloc[0])[0])
+    apart = frame["lo"].iloc[0] != frame["hi"].iloc[0]
+    found: dict[tuple, list] = {}
     for i in range(len(ids)):
         other = labels != labels[i]
         other[: i + 1] = False
-        if low != high:
+        if apart:
             other &= side != side[i]
         j = np.flatnonzero(other)
-        j = j[(x[j] == x[i]).sum(axis=1) >= AGREE]
-        a += [ids[i]] * len(j)
-        b += ids[j].tolist()
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        same = x[j] == x[i]
+        good = same.sum(axis=1) >= AGREE
+        first = same[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        for k in j[good][first]:
+            found.setdefault((blocks[i], blocks[k]), []).append((ids[i], ids[k]))
+    return pd.DataFrame(
+        [(a, b, np.array(pairs, np.int64).tobytes()) for (a, b), pairs in found.items()], columns=["block_a", "block_b", "pairs"]
+    ).astype({"block_a": np.int64, "block_b": np.int64})
+
+
+def _pack_sets(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    sizes = np.array([len(s) // 8 for s in frame["shingles"]], np.int64)
+    return pd.DataFrame({"block": frame["block"][:1], "ids": [frame["rep"].to_numpy(np.int64).tobytes()], "sizes": [sizes.tobytes()], "sets": [b"".join(frame["shingles"])]})
+
+
+def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks of sets that are similar enough, exactly."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            pairs = np.frombuffer(row["pairs"], np.int64).reshape(-1, 2)
+            sides = []
+            for side, which in (("a", 0), ("b", 1)):
+                ids, sizes = np.frombuffer(row[f"ids_{side}"], np.int64), np.frombuffer(row[f"sizes_{side}"], np.int64)
+                sets = dict(zip(ids.tolist(), np.split(np.frombuffer(row[f"sets_{side}"], np.uint64), np.cumsum(sizes)[:-1])))
+                asked = np.unique(pairs[:, which])
+                sides.append((asked, [sets[i] for i in asked.tolist()]))
+            (ids_a, sets_a), (ids_b, sets_b) = sides
+            at_a, at_b = np.searchsorted(ids_a, pairs[:, 0]), np.searchsorted(ids_b, pairs[:, 1])
+            size_a, size_b = (np.array([len(s) for s in sets]) for sets in (sets_a, sets_b))
+            values = np.unique(np.concatenate(sets_a + sets_b))
+            if len(pairs) > 8 and len(values) * (len(sets_a) + len(sets_b)) <= 1 << 24:
+                dense = []
+                for sets in (sets_a, sets_b):
+                    m = np.zeros((len(sets), len(values)), np.float32)
+                    for i, one in enumerate(sets):
+                        m[i, np.searchsorted(values, one)] = 1
+                    dense.append(m)
+                both = (dense[0] @ dense[1].T)[at_a, at_b].astype(np.int64)
+            else:
+                both = np.array([len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True)) for i, j in zip(at_a, at_b)], np.int64)
+            good = 100 * both >= THRESHOLD * (size_a[at_a] + size_b[at_b] - both)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[good, 0]), pa.array(pairs[good, 1])], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,13 +269,11 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _checked(pairs: DataFrame, signed: DataFrame | None, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that pass the signatures (if given) and the full sets."""
-    if signed is not None:
-        pairs = pairs.join(signed.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a")), "a")
-        pairs = pairs.join(signed.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b")
-        pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement, "a bigint, b bigint")
-        pairs = stage(pairs, "pairs")
+def _checked(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that pass the signatures and the full sets."""
+    pairs = pairs.join(signed.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a")), "a")
+    pairs = pairs.join(signed.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b")
+    pairs = stage(pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement, "a bigint, b bigint"), "pairs")
     pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(_confirm, "a bigint, b bigint")
@@ -268,12 +312,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Pairs of three or fewer members were all compared with hubs.
     parts = F.ceil(F.col("size") / TILE).cast("int")
     loose = labelled.where("size > 3").join(mixed, "bucket", "left_semi").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # Members are packed in blocks of bounded size with others of their smallest bucket, for the exact check.
+    home = loose.groupBy("rep").agg(F.min(F.struct("bucket", "parts")).alias("home"))
+    slot = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("home.parts") * (TILE // BLOCK))
+    home = stage(home.select("rep", F.xxhash64("home.bucket", slot).alias("block")), "blocks")
+    packed = home.join(sets.withColumnRenamed("doc_id", "rep"), "rep").groupBy("block").applyInPandas(_pack_sets, "block bigint, ids binary, sizes binary, sets binary")
     tiles = loose.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).join(signed, "rep")
-    found = tiles.select("bucket", "lo", "hi", "part", "rep", "label", "signature").groupBy("bucket", "lo", "hi").applyInPandas(_tile, "a bigint, b bigint")
-    more = stage(found.distinct(), "promising")
+    tiles = tiles.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).join(signed, "rep").join(home, "rep")
+    tiles = tiles.select("bucket", "lo", "hi", "part", "rep", "label", "block", "signature")
+    more = stage(tiles.groupBy("bucket", "lo", "hi").applyInPandas(_tile, "block_a bigint, block_b bigint, pairs binary"), "promising")
     if not more.isEmpty():
-        extra = stage(_checked(more, None, sets), "confirmed")
+        sided = [packed.toDF(f"block_{x}", f"ids_{x}", f"sizes_{x}", f"sets_{x}") for x in "ab"]
+        blocks = more.join(sided[0], "block_a").join(sided[1], "block_b").drop("block_a", "block_b")
+        extra = stage(blocks.mapInArrow(_confirm_blocks, "a bigint, b bigint"), "confirmed")
         # The components found so far stand in for the links among their members.
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = stage(components(stars.unionByName(extra)), "components")

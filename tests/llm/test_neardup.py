@@ -1,6 +1,5 @@
 import random
 
-
 from quireworks.llm import neardup
 from quireworks.llm.common import table
 
@@ -81,6 +80,7 @@ def test_tiles_find_what_hubs_miss(spark, monkeypatch):
     for i in range(300, 330):
         rows.append((i, rows[rng.randrange(300)][1] + " tail"))
     monkeypatch.setattr(neardup, "TILE", 32)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     check(spark, rows)
 
 
