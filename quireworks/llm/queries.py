@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireworks.llm import bpe, language, mixing, neardup, pii, quality, topk, url_filter
+from quireworks.llm import bpe, fingerprint, language, mixing, neardup, pii, quality, topk, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_url_rules": url_filter.op5_url_rules,
     "op6_quality": quality.op6_quality,
+    "op7_fingerprints": fingerprint.op7_fingerprints,
     "op8_topk": topk.op8_topk,
     "op9_near_duplicates": neardup.op9_near_duplicates,
 }
