@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quireworks.llm import bpe, fingerprint, language, mixing, neardup, pii, quality, topk, url_filter
+import corpus_pipeline
+from quireworks.llm import bpe, fingerprint, language, mixing, neardup, pii, quality, repeats, topk, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_bpe": bpe.op1_bpe,
     "op2_poisson_mix": mixing.op2_poisson_mix,
     "op3_language": language.op3_language,
@@ -14,6 +16,7 @@ QUERIES = {
     "op7_fingerprints": fingerprint.op7_fingerprints,
     "op8_topk": topk.op8_topk,
     "op9_near_duplicates": neardup.op9_near_duplicates,
+    "op10_long_repeats": repeats.op10_long_repeats,
 }
 ORACLES = {
     "op2_poisson_mix": mixing.SQL,
