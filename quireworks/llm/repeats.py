@@ -118,14 +118,36 @@ def _unpack(data: bytes, *kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-_ENTRY = (("<u8", 1), ("<i8", 1), ("<i4", 1))
+#: What the rows that go to a bucket hold: anchors, or what a task has settled and only passes on.
+_ANCHORS, _SETTLED = 0, 1
+_ROW = "bucket int, kind int, packed binary"
+
+
+def _bucket_rows(bucket, kind: int, packed: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(bucket, pa.int32()), pa.array([kind] * len(packed), pa.int32()), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "packed"])
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each bucket, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    numbers, cut = np.unique(bucket[order], return_index=True)
+    yield from zip(numbers.tolist(), np.split(order, cut[1:]) if len(order) else [])
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=np.int64(0)).astype("<i8")
 
 
 def _send_anchors(buckets: int):
-    """Rows (bucket, entries) of (hash, doc or -1 if several have it, number of docs), and rows (doc_id, gram)."""
+    """Rows for buckets: per anchor (gram, doc or -1 if several of the task have it, number of docs); and,
+    settled, (doc, gram) of anchors that several documents of the task have.
+
+    A gram is the upper 48 bits of the hash: enough to ask whether it is repeated.
+    """
 
     def given_out(hashes: list, docs: list) -> Iterator[pa.RecordBatch]:
-        h, d = np.concatenate(hashes), np.concatenate(docs)
+        h, d = np.concatenate(hashes) >> np.uint64(16), np.concatenate(docs)
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
         fresh = np.ones(len(h), bool)
@@ -133,14 +155,18 @@ def _send_anchors(buckets: int):
         h, d = h[fresh], d[fresh]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(h)))
-        several = np.repeat(count > 1, count)
-        yield _anchor_rows([None] * int(several.sum()), [None] * int(several.sum()), d[several], h[several])
+        several = np.flatnonzero(np.repeat(count > 1, count))
+        for part in np.array_split(several, len(several) // 400_000 + 1):
+            if len(part):
+                spread = int(mix(h[part[:1]])[0] % np.uint64(buckets))
+                part = part[np.argsort(d[part], kind="stable")]
+                yield _bucket_rows([spread], _SETTLED, [_pack(_steps(d[part]), h[part])])
         one, doc = h[start], np.where(count > 1, -1, d[start])
-        bucket = (one % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        numbers, cut = np.unique(bucket[order], return_index=True)
-        packed = [_pack(one[i], doc[i], count[i].astype(np.int32)) for i in np.split(order, cut[1:])] if len(order) else []
-        yield _anchor_rows(numbers, packed, np.full(len(packed), -1), np.zeros(len(packed), np.uint64))
+        order = np.argsort(doc, kind="stable")
+        one, doc, count = one[order], doc[order], count[order]
+        rows = list(_by_bucket((one % np.uint64(buckets)).astype(np.int64)))
+        packed = [_pack(one[i].astype("<u8")[:, None].view(np.uint8)[:, :6], _steps(doc[i]), count[i].astype(np.int32)) for _, i in rows]
+        yield _bucket_rows([n for n, _ in rows], _ANCHORS, packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, docs, size = [], [], 0
@@ -162,87 +188,115 @@ def _send_anchors(buckets: int):
     return run
 
 
-_ANCHOR_ROW = "bucket int, entries binary, doc_id bigint, gram bigint"
-
-
-def _anchor_rows(bucket, entries, doc_id: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(bucket, pa.int32()), pa.array(entries, pa.binary()), pa.array(doc_id.astype(np.int64)), pa.array(gram.view(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "entries", "doc_id", "gram"])
-
-
 def _answer(hot: int):
     def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         """(doc_id, gram) of repeated anchors; a row without doc_id names one that more than ``hot`` documents have."""
-        parts = [_unpack(e, *_ENTRY) for e in frame["entries"]]
-        h, doc, count = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(h, kind="stable")
-        h, doc, count = h[order], doc[order], count[order]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        total, size = np.add.reduceat(count.astype(np.int64), start), np.diff(np.append(start, len(h)))
-        told = (np.repeat(total > 1, size)) & (doc >= 0)
-        common = h[start][total > hot].view(np.int64)
-        ids = pd.array(np.concatenate([doc[told], np.zeros(len(common), np.int64)]), "Int64")
-        ids[int(told.sum()) :] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "gram": np.concatenate([h[told].view(np.int64), common])})
+        docs, grams, common = [], [], np.zeros(0, np.int64)
+        for packed in frame["packed"][frame["kind"] == _SETTLED]:
+            steps, gram = _unpack(packed, ("<i8", 1), ("<i8", 1))
+            docs.append(np.cumsum(steps))
+            grams.append(gram)
+        asked = [_unpack(p, ("u1", 6), ("<i8", 1), ("<i4", 1)) for p in frame["packed"][frame["kind"] == _ANCHORS]]
+        if asked:
+            six, doc, count = np.concatenate([x[0] for x in asked]), np.concatenate([np.cumsum(x[1]) for x in asked]), np.concatenate([x[2] for x in asked])
+            h = np.zeros((len(six), 8), np.uint8)
+            h[:, :6] = six
+            h = h.view("<i8").ravel()
+            order = np.argsort(h, kind="stable")
+            h, doc, count = h[order], doc[order], count[order]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            total, size = np.add.reduceat(count.astype(np.int64), start), np.diff(np.append(start, len(h)))
+            told = (np.repeat(total > 1, size)) & (doc >= 0)
+            docs.append(doc[told])
+            grams.append(h[told])
+            common = h[start][total > hot]
+        doc, gram = np.concatenate(docs), np.concatenate(grams)
+        ids = pd.array(np.concatenate([doc, np.zeros(len(common), np.int64)]), "Int64")
+        ids[len(doc) :] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "gram": np.concatenate([gram, common])})
 
     return run
 
 
 _OCCURRENCE = (("<u8", 1), ("<u8", 1), ("<i8", 1), ("<i8", 1), ("u1", 1), ("u1", 1), ("u1", 2 * SIDE))
-_CONTEXT_ROW = "bucket int, entries binary, doc_id bigint, lo bigint, hi bigint, string bigint"
+_CONTEXT_ROW = f"{_ROW}, string bigint, doc_id bigint, lo bigint, hi bigint"
+_CHUNK = 50_000
+
 
+def _padded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for a bucket among rows of strings."""
+    nulls = [pa.nulls(batch.num_rows, pa.int64())] * 4
+    return pa.RecordBatch.from_arrays([*batch.columns, *nulls], [*batch.schema.names, "string", "doc_id", "lo", "hi"])
 
-def _rows(**columns) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    kinds = {"bucket": pa.int32(), "entries": pa.binary(), "doc_id": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "string": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], list(kinds))
+
+def _members(row: np.ndarray, hashes: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Whether the gram of each hash is in the list of its row."""
+    sizes, values = lists.value_lengths().fill_null(0).to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(lists)), sizes).astype(np.uint64)
+    return np.isin(mix((hashes >> np.uint64(16)) * _BASE + row.astype(np.uint64)), mix(values.view(np.uint64) * _BASE + of))
 
 
 def _send_contexts(buckets: int):
-    """From (doc_id, variant, packed, grams, hot): packed occurrences by bucket, covered stretches, and strings at hot anchors."""
+    """From (doc_id, variant, packed, grams, hot): occurrences and settled stretches for buckets, strings at hot anchors."""
 
     def given_out(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, c, doc, place, before, after, sides = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((place, doc, c, h))
-        h, c, doc, place, before, after, sides = (x[order] for x in (h, c, doc, place, before, after, sides))
+        h, c, doc, place, before, after = (x[order] for x in (h, c, doc, place, before, after))
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         first = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         later = doc > first
-        yield _rows(doc_id=doc[later], lo=(place - before)[later], hi=(place + GRAM + after)[later])
+        settled = _merged(doc[later], (place - before)[later], (place + GRAM + after)[later])
+        for lo in range(0, len(settled), 400_000):
+            part = settled.iloc[lo : lo + 400_000]
+            spread = int(mix(h[:1] + np.uint64(lo))[0] % np.uint64(buckets))
+            yield _padded(_bucket_rows([spread], _SETTLED, [_pack(*(part[x].to_numpy() for x in ("doc_id", "lo", "hi")))]))
         keep = np.flatnonzero(~later)
-        bucket = (h[keep] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        numbers, cut = np.unique(bucket[order], return_index=True)
-        parts = [keep[i] for i in np.split(order, cut[1:])] if len(order) else []
-        yield _rows(bucket=numbers, entries=[_pack(h[i], c[i], doc[i], place[i], before[i], after[i], sides[i]) for i in parts])
-
-    def strings(data: np.ndarray, places: np.ndarray, doc_id: int, lead: int) -> pa.RecordBatch:
-        """The long strings around hot anchors."""
+        rows = [(n, keep[i]) for n, i in _by_bucket((h[keep] % np.uint64(buckets)).astype(np.int64))]
+        packed = [_pack(h[i], c[i], doc[i], place[i], before[i], after[i], sides[order[i]]) for _, i in rows]
+        yield _padded(_bucket_rows([n for n, _ in rows], _ANCHORS, packed))
+
+    def strings(data: np.ndarray, places: np.ndarray, doc_id: int, lead: int) -> Iterator[pa.RecordBatch]:
+        """The long strings around hot anchors of a text."""
         starts = np.unique((places[:, None] + np.arange(-SIDE, 1)).ravel())
         starts = starts[(starts >= 0) & (starts + LONG <= len(data))]
-        at = [np.lib.stride_tricks.sliding_window_view(data, LONG)[part] for part in np.array_split(starts, len(starts) // 20_000 + 1)]
-        hashed = [mix((mix((x.astype(np.uint64) + np.uint64(1)) * _BASE) * _WEIGHTS[:LONG]).sum(axis=1, dtype=np.uint64)) for x in at]
-        return _rows(string=np.concatenate(hashed).view(np.int64), doc_id=np.full(len(starts), doc_id), lo=lead + starts, hi=lead + starts + LONG)
+        for lo in range(0, len(starts), _CHUNK):
+            part = starts[lo : lo + _CHUNK]
+            x = np.lib.stride_tricks.sliding_window_view(data, LONG)[part].astype(np.uint64)
+            hashed = mix((mix((x + np.uint64(1)) * _BASE) * _WEIGHTS[:LONG]).sum(axis=1, dtype=np.uint64))
+            size = len(part)
+            columns = [hashed.view(np.int64), np.full(size, doc_id), lead + part, lead + part + LONG]
+            nulls = [pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nulls, *map(pa.array, columns)], ["bucket", "kind", "packed", "string", "doc_id", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
-        for batch in batches:
-            for doc_id, variant, packed, grams, hot in zip(*(batch.column(c) for c in ("doc_id", "variant", "packed", "grams", "hot"))):
-                lead = variant.as_py() << VARIANT
-                data = np.frombuffer(zstandard.decompress(packed.as_py()), np.uint8)
-                places, hashes = anchors(data, np.array([0, len(data)]))
-                common = np.isin(hashes.view(np.int64), np.array(hot.as_py(), np.int64))
-                if common.any():
-                    yield strings(data, places[common], doc_id.as_py(), lead)
-                told = np.isin(hashes.view(np.int64), grams.values.to_numpy()) & ~common
-                places, hashes = places[told], hashes[told]
-                sides, before, after, c = contexts(data, np.zeros(len(places), np.int64), np.full(len(places), len(data)), places)
-                found.append((hashes, c, np.full(len(places), doc_id.as_py(), np.int64), lead + places, before, after, sides))
-                size += len(data) + 100 * len(places)
-                if size > GROUP:
-                    yield from given_out(found)
-                    found, size = [], 0
+        squeezed = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+                texts = [squeezed.decompress(t) for t in batch.column("packed").to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                ids = batch.column("doc_id").to_numpy()
+                lead = batch.column("variant").to_numpy().astype(np.int64) << VARIANT
+                for i, j in slices(offsets):
+                    places, hashes = anchors(data, offsets[i : j + 1])
+                    places = places + offsets[i]
+                    row = np.searchsorted(offsets, places, side="right") - 1
+                    common = _members(row, hashes, batch.column("hot"))
+                    for r in np.unique(row[common]):
+                        yield from strings(data[offsets[r] : offsets[r + 1]], places[common & (row == r)] - offsets[r], ids[r], lead[r])
+                    told = np.flatnonzero(_members(row, hashes, batch.column("grams")) & ~common)
+                    for lo in range(0, len(told), _CHUNK):
+                        k = told[lo : lo + _CHUNK]
+                        start = offsets[row[k]]
+                        sides, before, after, c = contexts(data, start, offsets[row[k] + 1], places[k])
+                        found.append((hashes[k], c, ids[row[k]], places[k] - start + lead[row[k]], before, after, sides))
+                    size += offsets[j] - offsets[i] + 100 * len(told)
+                    if size > GROUP and found:
+                        yield from given_out(found)
+                        found, size = [], 0
         if found:
             yield from given_out(found)
 
@@ -348,7 +402,10 @@ def covered(texts: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> tuple[n
 
 def _index_bucket(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Covered stretches (doc_id, lo, hi) from the occurrences of a bucket of anchors."""
-    parts = [_unpack(e, *_OCCURRENCE) for e in frame["entries"]]
+    settled = [_unpack(p, ("<i8", 1), ("<i8", 1), ("<i8", 1)) for p in frame["packed"][frame["kind"] == _SETTLED]]
+    parts = [_unpack(p, *_OCCURRENCE) for p in frame["packed"][frame["kind"] == _ANCHORS]]
+    if not parts:
+        return _merged(*(np.concatenate(x) for x in zip(*settled)))
     h, c, doc, place, before, after, sides = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((doc, c, h))
     h, c, doc, place, before, after = (x[order] for x in (h, c, doc, place, before, after))
@@ -358,7 +415,7 @@ def _index_bucket(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     start = np.flatnonzero(fresh)
     first = doc[start]
     later = doc > first[owner]
-    out = [(doc[later], (place - before)[later], (place + GRAM + after)[later])]
+    out = [*settled, (doc[later], (place - before)[later], (place + GRAM + after)[later])]
     alone = np.ones(len(start), bool)
     same = h[start][1:] == h[start][:-1]
     alone[1:] &= ~same
@@ -448,22 +505,22 @@ def repeated_stretches(docs: DataFrame, hot: int = HOT) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = min(_MAX_BUCKETS, 1 + size * 2 // BUCKET // 3)
-    sent = stage(docs.mapInArrow(_send_anchors(buckets), _ANCHOR_ROW), "anchors")
-    answers = sent.where("bucket IS NOT NULL").select("bucket", "entries").groupBy("bucket").applyInPandas(_answer(hot), "doc_id bigint, gram bigint")
-    answers = stage(answers, "answers")
-    told = answers.where("doc_id IS NOT NULL").unionByName(sent.where("bucket IS NULL").select("doc_id", "gram"))
-    common = answers.where("doc_id IS NULL").select("gram", F.lit(True).alias("is_hot"))
-    told = told.join(common, "gram", "left").groupBy("doc_id").agg(
-        F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("is_hot"), F.col("gram"))).alias("hot")
-    )
+    sent = docs.mapInArrow(_send_anchors(buckets), _ROW)
+    answers = stage(sent.groupBy("bucket").applyInPandas(_answer(hot), "doc_id bigint, gram bigint"), "answers")
+    told, common = answers.where("doc_id IS NOT NULL"), answers.where("doc_id IS NULL").select("gram", F.lit(True).alias("is_hot"))
+    some_hot = not common.isEmpty()
+    told = told.join(common, "gram", "left") if some_hot else told.withColumn("is_hot", F.lit(False))
+    told = told.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("is_hot"), F.col("gram"))).alias("hot"))
     packed = docs.mapInArrow(_compress, "doc_id bigint, variant int, packed binary").join(told, "doc_id")
-    seen = stage(packed.mapInArrow(_send_contexts(buckets), _CONTEXT_ROW), "contexts")
-    indexed = seen.where("bucket IS NOT NULL").select("bucket", "entries").groupBy("bucket").applyInPandas(_index_bucket, "doc_id bigint, lo bigint, hi bigint")
+    seen = packed.mapInArrow(_send_contexts(buckets), _CONTEXT_ROW)
+    seen = stage(seen, "contexts") if some_hot else seen
+    kept = seen.where("bucket IS NOT NULL").select("bucket", "kind", "packed")
+    indexed = kept.groupBy("bucket").applyInPandas(_index_bucket, "doc_id bigint, lo bigint, hi bigint")
+    if not some_hot:
+        return indexed
     strings = seen.where("string IS NOT NULL")
     least = strings.groupBy("string").agg(F.min("doc_id").alias("first"))
-    again = strings.join(least, "string").where("first < doc_id").select("doc_id", "lo", "hi")
-    within = seen.where("bucket IS NULL AND string IS NULL").select("doc_id", "lo", "hi")
-    return indexed.unionByName(again).unionByName(within)
+    return indexed.unionByName(strings.join(least, "string").where("first < doc_id").select("doc_id", "lo", "hi"))
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
