@@ -87,7 +87,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         width *= 2
     key = np.minimum(key[: len(key) - (REACH - width)], key[REACH - width :])
     ends = np.repeat(offsets[1:] - base, np.diff(offsets))[: len(key)]
-    places = np.unique((key[np.arange(len(key)) + LONG <= ends] & _PLACE).astype(np.int64))
+    places = (key[np.arange(len(key)) + LONG <= ends] & _PLACE).astype(np.int64)
+    places = places[np.concatenate([[True], places[1:] != places[:-1]])] if len(places) else places  # they never go back
     return places, hashes[places]
 
 
@@ -361,13 +362,20 @@ class RunIndex:
 
     @staticmethod
     def _shared(flat: np.ndarray, one: np.ndarray, other: np.ndarray, width: int) -> np.ndarray:
+        """Length of what the texts share from each place on; most differ early, so few are compared far."""
         out = np.zeros(len(one), np.int64)
         padded = np.concatenate([flat, np.zeros(width + 1, np.uint16)])
-        for lo in range(0, len(one), 50_000):
-            a, b = one[lo : lo + 50_000, None] + np.arange(width), other[lo : lo + 50_000, None] + np.arange(width)
-            x, y = padded[a], padded[np.maximum(b, 0)]
-            differ = (x != y) | (x == 0) | (other[lo : lo + 50_000, None] < 0)
-            out[lo : lo + 50_000] = differ.argmax(axis=1)
+        left, at = np.flatnonzero(other >= 0), 0
+        while at < width and len(left):
+            further, step = [], min(12 if at == 0 else width, width - at)
+            for lo in range(0, len(left), 50_000):
+                part = left[lo : lo + 50_000]
+                x, y = (padded[c[part, None] + np.arange(at, at + step)] for c in (one, other))
+                differ = (x != y) | (x == 0)
+                ended = differ.any(axis=1)
+                out[part] = at + np.where(ended, differ.argmax(axis=1), step)
+                further.append(part[~ended])
+            left, at = np.concatenate(further), at + step
         return out
 
     def statistics(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
