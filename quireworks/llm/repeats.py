@@ -40,7 +40,7 @@ LONG, GRAM = 50, 20
 REACH, SIDE = LONG - GRAM + 1, LONG - GRAM
 HOT = 50_000
 #: Text bytes that a task takes together, bytes of packed anchors per bucket, bytes of a long text at a time.
-GROUP, BUCKET, PIECE = 64 << 20, 8 << 20, 1 << 22
+GROUP, BUCKET, PIECE = 64 << 20, 2 << 20, 1 << 22
 _MAX_BUCKETS = 200_000
 #: Different texts with one doc_id are told apart by this bit and those above it in their places.
 VARIANT = 36
