@@ -40,7 +40,7 @@ from quireworks.llm.common import mix, slices, table, text_bytes
 from quireworks.staging import stage
 
 WORDS, THRESHOLD = 5, 75
-BANDS, ROWS, TILE, BLOCK = 40, 4, 256, 64
+BANDS, ROWS, TILE, BLOCK = 40, 4, 256, 32
 HASHES = BANDS * ROWS
 #: A pair at the threshold agrees on fewer of the minima with a probability of about 3e-7.
 AGREE = int(HASHES * (THRESHOLD / 100) - 5 * (HASHES * (THRESHOLD / 100) * (1 - THRESHOLD / 100)) ** 0.5)
@@ -218,7 +218,8 @@ def _pack_sets(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of two blocks of sets that are similar enough, exactly."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = {name: column[k].as_buffer() for name, column in zip(batch.schema.names, batch.columns)}  # no copies
             pairs = np.frombuffer(row["pairs"], np.int64).reshape(-1, 2)
             sides = []
             for side, which in (("a", 0), ("b", 1)):
@@ -230,7 +231,7 @@ def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             at_a, at_b = np.searchsorted(ids_a, pairs[:, 0]), np.searchsorted(ids_b, pairs[:, 1])
             size_a, size_b = (np.array([len(s) for s in sets]) for sets in (sets_a, sets_b))
             values = np.unique(np.concatenate(sets_a + sets_b))
-            if len(pairs) > 8 and len(values) * (len(sets_a) + len(sets_b)) <= 1 << 24:
+            if len(pairs) > 8 and len(values) * (len(sets_a) + len(sets_b)) <= 1 << 21:
                 dense = []
                 for sets in (sets_a, sets_b):
                     m = np.zeros((len(sets), len(values)), np.float32)
