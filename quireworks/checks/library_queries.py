@@ -251,13 +251,13 @@ def weighted_text_search(spark, sf_dir):
     papers = planted.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array("p_brand", "p_type").alias("authors")
     )
-    return library.weighted_search(papers, ["red", "Widget", "economy"]).select("id", "score")
+    return library.weighted_search(papers, ["red", "the", "Widget", "economy"]).select("id", "score")
 
 
-@query("fetch_plan_anti", "SELECT c_custkey AS arxiv_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("fetch_plan_anti", "SELECT c_custkey AS arxiv_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def fetch_plan_anti(spark, sf_dir):
     papers = planted.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "arxiv_id")
-    existing = planted.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "arxiv_id")
+    existing = planted.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "arxiv_id")
     return maintenance.missing_from(papers, existing).select("arxiv_id", "c_name")
 
 

@@ -329,14 +329,14 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         ("method",),
         f"""
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS step_no, step FROM (
-        SELECT doc_id, pos, step, row_number() OVER (PARTITION BY doc_id, lower(substr(step, 1, 40)) ORDER BY pos) AS nth FROM (
-            SELECT doc_id, pos, CASE WHEN right(substr(s, 1, 120), 1) = '.' THEN substr(s, 1, 120) ELSE substr(s, 1, 120) || '...' END AS step
+        SELECT doc_id, pos, step, row_number() OVER (PARTITION BY doc_id, lower(step) ORDER BY pos) AS nth FROM (
+            SELECT doc_id, pos, CASE WHEN right(s, 1) = '.' THEN s ELSE s || '...' END AS step
             FROM method, unnest({sentences('text')}) WITH ORDINALITY AS u(s, pos)
-            WHERE pos <= 20 AND length(s) BETWEEN 31 AND 199
+            WHERE length(s) BETWEEN 31 AND 199
                 AND ({' OR '.join(f"contains(lower(s), {quoted(w)})" for w in STEP_INDICATORS + STEP_VERBS)})
                 AND length(text) >= 100 AND len({sentences('text')}) >= 3
         )
-    ) WHERE nth = 1 QUALIFY step_no <= 6""",
+    ) WHERE nth = 1""",
     ),
     "steps": (("step_list",), "SELECT * FROM step_list QUALIFY count(*) OVER (PARTITION BY doc_id) >= 2"),
     "flow_edges": (

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quireworks.functions import text as tx
+from quireworks.functions.lexicon import STOP_WORDS
 
 DEFAULT_CATEGORY = "cs.LG"
 PAPER_FIELDS = ("all", "topic", "title", "author", "abstract", "category")
@@ -159,11 +160,11 @@ def weighted_search(
     limit: int | None = None,
     key: str = "id",
 ) -> DataFrame:
-    """Papers scored by query words in title and authors, best first. No stemming.
+    """Papers scored by query words in title and authors, best first. No stemming; stop words do not count.
 
     Each paper is scored inside its row; only hits are sorted.
     """
-    wanted = sorted({t.lower() for t in terms})
+    wanted = sorted({t.lower() for t in terms} - set(STOP_WORDS))
 
     def hits(c: Column) -> Column:
         return F.size(F.filter(title_tokens(c), lambda t: t.isin(wanted)))

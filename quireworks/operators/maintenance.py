@@ -17,7 +17,7 @@ PATCHABLE = ("full_name", "bio", "avatar_url")
 
 def missing_from(papers: DataFrame, existing: DataFrame, key: str = "arxiv_id") -> DataFrame:
     """Papers whose file is not there yet."""
-    return papers.join(existing.select(key), key, "left_anti")
+    return papers.join(existing.select(key).distinct(), key, "left_anti")
 
 
 def summary_rows(new: DataFrame, now: Column) -> DataFrame:
@@ -55,20 +55,23 @@ def activity_rows(summaries: DataFrame, kind: str = "summarize") -> DataFrame:
 
 
 def patch(
-    base: DataFrame, patches: DataFrame, now: Column, key: str = "id", allowed: Sequence[str] = PATCHABLE
+    base: DataFrame, patches: DataFrame, now: Column, key: str = "id", allowed: Sequence[str] = PATCHABLE, order: str | None = None
 ) -> DataFrame:
     """Apply patches: allowed columns with a value replace the old one and set ``updated_at``.
 
     Other columns of a patch are ignored, and a patch without any allowed value changes
-    nothing. Text is trimmed. ``patches`` holds one row per key.
+    nothing. Text is trimmed. Of several patches for a key the last one holds, by the column
+    ``order`` (by its values, if none is given or it ties); the others have no effect.
     """
     fields = [c for c in patches.columns if c in allowed]
     if not fields:
         raise ValueError("no valid fields to update")
     texts = {f.name for f in patches.schema if f.dataType.typeName() == "string"}
     new = patches.select(
-        key, *((F.trim(F.col(c)) if c in texts else F.col(c)).alias(f"_new_{c}") for c in fields)
+        key, *([F.col(order).alias("_order")] if order else []), *((F.trim(F.col(c)) if c in texts else F.col(c)).alias(f"_new_{c}") for c in fields)
     ).where(F.coalesce(*(F.col(f"_new_{c}").cast("string") for c in fields)).isNotNull())
+    last = F.max(F.struct(*(["_order"] if order else []), *(f"_new_{c}" for c in fields))).alias("_last")
+    new = new.groupBy(key).agg(last).select(key, *(F.col(f"_last._new_{c}") for c in fields))
     changes = {c: F.coalesce(f"_new_{c}", c) for c in fields}
     changes["updated_at"] = F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))
     return base.join(new.withColumn("_hit", F.lit(True)), key, "left").withColumns(changes).select(*base.columns)
@@ -76,13 +79,12 @@ def patch(
 
 def owner_delete(table: DataFrame, requests: DataFrame, key: str = "id", owner: str = "user_id") -> DataFrame:
     """The table without rows whose deletion their owner asked for; other requests have no effect."""
-    allowed = requests.select(key, owner).join(table.select(key, owner), [key, owner], "left_semi")
-    return table.join(allowed.select(key), key, "left_anti")
+    return table.join(requests.select(key, owner).distinct(), [key, owner], "left_anti")
 
 
 def cascade_delete(child: DataFrame, deleted: DataFrame, key: str = "user_id") -> DataFrame:
     """The child table without rows of deleted parents."""
-    return child.join(deleted.select(key), key, "left_anti")
+    return child.join(deleted.select(key).distinct(), key, "left_anti")
 
 
 def validate_uploads(
@@ -128,7 +130,7 @@ def batch_outcome(items: DataFrame) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str = "user_id", parent_key: str = "id") -> DataFrame:
     """Child rows that name a parent which does not exist."""
-    return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
+    return child.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
 
 
 def duplicate_keys(table: DataFrame, *keys: str) -> DataFrame:

@@ -22,7 +22,6 @@ def build_session(app: str = "quireworks", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-        settings.setdefault("spark.sql.shuffle.partitions", "8")
         settings.setdefault("spark.ui.enabled", "false")
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -11,16 +11,9 @@ from quireworks.sources import schemas
 
 
 def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """A Parquet table.
-
-    With ``spread_by``, a table that comes in fewer pieces than the cluster has cores is
-    spread by that column, so that work done row by row uses all of them. A large table
-    has more pieces than that and is left alone.
-    """
+    """A Parquet table; with ``spread_by`` its rows are dealt out by that column."""
     df = spark.read.parquet(path)
-    if spread_by and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        return df.repartition(spark.sparkContext.defaultParallelism, spread_by)
-    return df
+    return df.repartition(spread_by) if spread_by else df
 
 
 def read_papers(

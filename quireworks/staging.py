@@ -7,26 +7,17 @@ executors, and keeps Parquet column pruning for the readers.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@cache
-def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="quireworks-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder from ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Folder from ``spark.checkpoint.dir``, which all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_dir(spark.sparkContext.applicationId)
+    return root.rstrip("/")
 
 
 def application_dir(spark: SparkSession) -> str:

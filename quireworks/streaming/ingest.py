@@ -1,4 +1,7 @@
-"""Continuous ingest of new documents: spans in, sections and entities out, each document once."""
+"""Continuous ingest of new documents: spans in, sections and entities out, each document once.
+
+Within a sink one stream at a time may run.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quireworks.operators import entities, layout
 from quireworks.sources import schemas
+from quireworks.staging import stage
 
 
 def read_span_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -19,53 +23,68 @@ def read_span_stream(spark: SparkSession, path: str, files_per_batch: int = 1000
     )
 
 
-def one_delivery(spans: DataFrame) -> DataFrame:
-    """Keep one file per document. A document comes whole in one file, so rows are not compared.
-
-    Only documents that came more than once are looked up, and those are few.
-    """
-    repeated = (
-        spans.groupBy("doc_id")
-        .agg(F.min("file").alias("_first"), F.max("file").alias("_last"))
-        .where("_first <> _last")
-        .select("doc_id", "_first")
-    )
-    return (
-        spans.join(repeated, "doc_id", "left").where("_first is null or file = _first").drop("_first", "file")
+def fingerprints(spans: DataFrame) -> DataFrame:
+    """(doc_id, content): one number for the distinct spans of each document, whatever files they came in."""
+    place = ["page", "block_no", "line_no", "span_no"]
+    row = F.xxhash64(*(c for c in spans.columns if c not in ("doc_id", "file")))
+    distinct = spans.groupBy("doc_id", *place).agg(F.min(row).alias("least"), F.max(row).alias("most"))
+    return distinct.groupBy("doc_id").agg(
+        F.bit_xor(F.xxhash64(*place, "least")).alias("content"),
+        F.max(F.col("least") != F.col("most")).alias("conflict"),
     )
 
 
-def not_done(spans: DataFrame, done: DataFrame) -> DataFrame:
-    """Spans of documents that are not in ``done`` yet.
+def sort_out(spans: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The spans of new documents, each once, and (doc_id, reason) of what cannot be taken in.
 
-    ``done`` grows with every batch, so it is first reduced to the documents of this
-    batch: the batch's short list of ids goes to the long list, which is only scanned.
+    A document may come in several files of a batch. It is refused if two files disagree on a span, or if
+    it was taken in before with other content; the same content again has no effect. ``done`` grows with
+    every batch, so it is first reduced to the documents of this batch.
     """
-    batch_ids = spans.select("doc_id").distinct()
-    seen = done.select("doc_id").join(batch_ids, "doc_id", "left_semi").distinct()
-    return spans.join(seen, "doc_id", "left_anti")
-
-
-def process_batch(spans: DataFrame, done: DataFrame | None, mode: str = "strict") -> DataFrame:
-    """Sections and entities of the documents that are not in ``done`` yet."""
-    fresh = one_delivery(spans)
-    if done is not None:
-        fresh = not_done(fresh, done)
-    docs = layout.with_full_text(layout.document_sections(layout.blocks_with_sections(fresh, mode)))
-    return entities.with_entities(docs, "full_text").select(
+    prints = stage(fingerprints(spans), "batch-documents")
+    earlier = done.select("doc_id", F.col("content").alias("known")).join(prints.select("doc_id"), "doc_id", "left_semi")
+    earlier = earlier.groupBy("doc_id").agg(F.max("known").alias("known"))
+    judged = prints.join(earlier, "doc_id", "left").withColumn(
+        "reason",
+        F.when(F.col("conflict"), "files of one document disagree").when(F.col("known") != F.col("content"), "already taken in with other content"),
+    )
+    judged = stage(judged, "batch-judged")
+    fresh = judged.where("reason IS NULL AND known IS NULL").select("doc_id", "content")
+    columns = [c for c in spans.columns if c != "file"]
+    taken = spans.join(fresh, "doc_id").select(*columns, "content").distinct()
+    return taken, judged.where("reason IS NOT NULL").select("doc_id", "reason")
+
+
+def process_batch(taken: DataFrame, mode: str = "strict") -> DataFrame:
+    """Sections and entities of the documents in ``taken`` (spans with ``content``)."""
+    docs = layout.with_full_text(layout.document_sections(layout.blocks_with_sections(taken.drop("content"), mode)))
+    found = entities.with_entities(docs, "full_text").select(
         "doc_id", "sections", "sections_found", entities.entity_names().alias("entities")
     )
+    # a document without any text block is taken in as well, with nothing found
+    return taken.select("doc_id", "content").distinct().join(found, "doc_id", "left")
 
 
 def ingest(stream: DataFrame, sink: str, checkpoint: str, mode: str = "strict") -> object:
-    """Start the ingest. Each batch writes its own folder, so a repeated batch replaces itself."""
+    """Start the ingest.
+
+    Each batch writes its own folder ``run=<id of the stream>/batch=<n>``; the id is kept in the
+    checkpoint, so a repeated batch replaces itself and another stream never meets its folders. What is
+    refused goes to ``<sink>-refused`` in the same way.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = None
-        if batch_id > 0:
-            earlier = spark.read.schema("doc_id BIGINT, batch BIGINT").parquet(sink)
-            done = earlier.where(F.col("batch") < batch_id)
-        process_batch(batch, done, mode).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        run = "id-" + spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        folder = f"run={run}/batch={batch_id}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        done = spark.createDataFrame([], "doc_id BIGINT, content BIGINT, run STRING, batch BIGINT")
+        if there:
+            done = spark.read.schema("doc_id BIGINT, content BIGINT, run STRING, batch BIGINT").parquet(sink)
+        others = done.where((F.col("run") != run) | (F.col("batch") != batch_id))
+        taken, refused = sort_out(stage(batch, "batch"), others)
+        process_batch(stage(taken, "batch-taken"), mode).write.mode("overwrite").parquet(f"{sink}/{folder}")
+        refused.write.mode("overwrite").parquet(f"{sink}-refused/{folder}")
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import duckdb
@@ -19,6 +20,8 @@ def spark():
     session = build_session(
         "tests", "local[8]", spark__driver__memory="8g", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="4"
     )
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

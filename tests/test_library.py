@@ -122,6 +122,9 @@ def test_patch_only_changes_what_it_names(spark):
     assert [(r.full_name, r.bio, r.updated_at) for r in rows] == [("new", "x", dt.datetime(2024, 2, 2)), ("b", None, at(1))]
     with pytest.raises(ValueError):
         maintenance.patch(base, patches.select("id", "email"), F.current_timestamp())
+    twice = spark.createDataFrame([(1, "late", 2), (1, "zzz", 1), (2, "only", 1)], "id int, full_name string, n int")
+    rows = maintenance.patch(base, twice, F.lit("2024-02-02").cast("timestamp"), order="n").orderBy("id").collect()
+    assert [r.full_name for r in rows] == ["late", "only"]
 
 
 def test_deletes(spark):

@@ -96,7 +96,8 @@ def test_paper_records(spark):
     assert rows[1].methodology_flowchart.startswith("graph TD")
     assert rows[1].num_words_summary <= rows[1].num_words_original
     assert rows[2].sections_found == ["introduction"] and rows[2].methodology_flowchart is None
-    assert rows[3].sections_found is None
+    assert rows[3].sections_found == ["introduction"] and rows[3].overall_summary == ""
+    assert rows[3].num_words_original == 0 and rows[3].entities.models == [] and rows[3].section_summaries == {}
 
 
 def test_stream_equals_batch_with_repeated_delivery(spark, tmp_path):
@@ -116,6 +117,31 @@ def test_stream_equals_batch_with_repeated_delivery(spark, tmp_path):
     assert run() == (batch, 2)
 
 
+def test_stream_keeps_all_pages_and_earlier_documents(spark, tmp_path):
+    spans = spans_of(spark, docs())
+    sink = str(tmp_path / "sink")
+
+    def run(name, *parts):
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"land-{name}"))
+        stream = ingest.read_span_stream(spark, str(tmp_path / f"land-{name}"))
+        ingest.ingest(stream, sink, str(tmp_path / f"state-{name}")).awaitTermination()
+        refused = spark.read.parquet(f"{sink}-refused").select("doc_id", "reason").collect()
+        return {r.doc_id: r.sections for r in spark.read.parquet(sink).collect()}, {tuple(r) for r in refused}
+
+    whole = {r.doc_id: r.sections for r in layout.document_sections(layout.blocks_with_sections(spans)).collect()}
+    first = spans.where("doc_id = 1")
+    # one document over two files that overlap
+    assert run("a", first.where("block_no < 3"), first.where("block_no >= 2")) == ({1: whole[1]}, set())
+    # another stream on the same sink, with a known document once as it was and once changed
+    assert run("b", spans.where("doc_id = 2"), first) == (whole, set())
+    changed = first.withColumn("text", F.concat("text", F.lit("!")))
+    assert run("c", changed) == (whole, {(1, "already taken in with other content")})
+    other = spans.where("doc_id = 2").withColumn("doc_id", F.lit(9).cast("bigint"))
+    found, refused = run("d", other, other.withColumn("size", F.col("size") + 1))
+    assert found == whole and (9, "files of one document disagree") in refused
+
+
 def test_window_counts_drop_late_rows(spark, tmp_path):
     land = str(tmp_path / "land")
     schema = "ts timestamp, event_type string"
@@ -164,8 +190,8 @@ def test_staged_tables_can_be_discarded(spark):
     assert staging.discard_staged(spark) and not folder.exists()
 
 
-def test_shared_folder_is_required_on_a_cluster():
+def test_shared_folder_is_required():
     with pytest.raises(ValueError):
         staging.shared_dir(FakeSession("yarn"))
-    local = staging.shared_dir(FakeSession("local[2]"))
-    assert Path(local).is_dir() and staging.shared_dir(FakeSession("local[2]")) == local
+    with pytest.raises(ValueError):
+        staging.shared_dir(FakeSession("local[2]"))
