@@ -4,7 +4,8 @@ The most frequent words of the corpus (counted over all of it) are merged once a
 minimal acyclic transducer: equal suffixes share states, and the numbers on the arcs of a word add up
 to its place in a table of id sequences. The arrays are written to one file, which every executor fetches
 once and maps into memory. A batch's distinct words walk the automaton together, one byte per step;
-words that are not in it are merged exactly, so the lexicon decides only the speed.
+words that are not in it are merged exactly, so the lexicon decides only the speed. No word goes across
+white space, so texts are taken apart at white space first and each distinct piece is split into words once.
 
 Text is prepared as the vocabulary file says: NFC, white space to one blank, lower case (letter by
 letter), split into words, digits and signs, bytes as printable characters, and an end mark on the last
@@ -22,9 +23,7 @@ import hashlib
 import heapq
 import json
 import os
-import tempfile
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,11 +37,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import table
+from quireworks.staging import fresh_path
 
 #: Words in the lexicon, and the longest that gets into it.
 WORDS, LONGEST = 32_768, 40
 _COUNTED = 200_000
+#: Pieces between white space that an encoder keeps with their ids.
+PIECES = 100_000
 _SPACES = regex.compile(r"\p{White_Space}+")
+#: What Python's ``split`` takes for white space and Unicode's property does not.
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
 @dataclass
@@ -116,6 +120,12 @@ class WordSplitter:
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.names = set(names)
 
+    def pieces(self, text: str) -> list[str]:
+        """The parts of a text between white space; their words one after the other are those of the text."""
+        if _SEPARATORS.search(text):
+            return [p for p in _SPACES.split(text) if p]
+        return text.split()
+
     def _words(self, text: str) -> list[str]:
         text = _SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
         return self.find(text)
@@ -200,14 +210,12 @@ def compile_lexicon(entries: dict[str, list[int]]) -> dict[str, np.ndarray]:
     }
 
 
-def save_lexicon(arrays: dict[str, np.ndarray], path: str) -> None:
-    """One file: a header line with names, types and sizes, then the arrays, each on a multiple of 16."""
-    head = json.dumps([[n, a.dtype.str, len(a)] for n, a in arrays.items()]).encode()
-    with open(path, "wb") as file:
-        file.write(head + b"\n")
-        for a in arrays.values():
-            file.write(b"\0" * (-file.tell() % 16))
-            file.write(a.tobytes())
+def lexicon_bytes(arrays: dict[str, np.ndarray]) -> bytes:
+    """A file's content: a header line with names, types and sizes, then the arrays, each on a multiple of 16."""
+    out = bytearray(json.dumps([[n, a.dtype.str, len(a)] for n, a in arrays.items()]).encode() + b"\n")
+    for a in arrays.values():
+        out += b"\0" * (-len(out) % 16) + a.tobytes()
+    return bytes(out)
 
 
 def map_lexicon(path: str) -> dict[str, np.ndarray]:
@@ -256,21 +264,24 @@ class Encoder:
         self.vocabulary, self.letters = vocabulary, byte_letters()
         self.split = WordSplitter(vocabulary)
         self.lexicon = map_lexicon(SparkFiles.get(file)) if file else None
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text; the distinct words of up to a few MB of text are looked up together."""
-        group: list[list] = []
+        """Ids of each text; the distinct pieces of up to a few MB of text are looked up together."""
+        group: list[list[str]] = []
         size = 0
         for text in texts:
-            group.append(self.split(text))
+            group.append(self.split.pieces(text))
             size += len(text)
             if size > 4_000_000:
                 yield from self._ids(group)
                 group, size = [], 0
         yield from self._ids(group)
 
-    def _ids(self, group: list[list]) -> Iterator[list[int]]:
-        distinct = list(set(chain.from_iterable(group)))
+    def _ids(self, group: list[list[str]]) -> Iterator[list[int]]:
+        fresh = [p for p in set(chain.from_iterable(group)) if p not in self.known]
+        parts = [self.split(p) for p in fresh]
+        distinct = list(set(chain.from_iterable(parts)))
         words = [w for w in distinct if isinstance(w, str)]
         known: dict = {w: [self.vocabulary.special[w[0]]] for w in distinct if not isinstance(w, str)}
         numbers = look_up(self.lexicon, words) if self.lexicon else np.full(len(words), -1)
@@ -279,8 +290,15 @@ class Encoder:
                 known[word] = merge_word(word, self.vocabulary, self.letters)
             else:
                 known[word] = self.lexicon["ids"][self.lexicon["start"][number] : self.lexicon["start"][number + 1]].tolist()
+        for piece, part in zip(fresh, parts):
+            self.known[piece] = list(chain.from_iterable(map(known.__getitem__, part)))
         for row in group:
-            yield list(chain.from_iterable(map(known.__getitem__, row)))
+            yield list(chain.from_iterable(map(self.known.__getitem__, row)))
+        if len(self.known) > PIECES:
+            self.known.clear()
+        for piece in fresh:  # long pieces hardly come again
+            if len(piece) > LONGEST:
+                self.known.pop(piece, None)
 
     def decode(self, ids) -> str:
         tokens = self.vocabulary.tokens
@@ -297,11 +315,16 @@ def _count(vocabulary: Vocabulary):
             return pa.RecordBatch.from_arrays([words, numbers], ["word", "n"])
 
         for batch in batches:
+            pieces: Counter = Counter()
             for text in batch.column("text").to_pylist():
                 if text:
-                    counted.update(w for w in split(text) if isinstance(w, str) and len(w) <= LONGEST)
-                    if len(counted) > _COUNTED:
-                        yield given_out()
+                    pieces.update(split.pieces(text))
+            for piece, n in pieces.items():
+                for word in split(piece):
+                    if isinstance(word, str) and len(word) <= LONGEST:
+                        counted[word] += n
+                if len(counted) > _COUNTED:
+                    yield given_out()
         yield given_out()
 
     return run
@@ -315,14 +338,16 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, words: int = WORDS)
 
 
 def send_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = WORDS) -> str:
-    """Compile the lexicon of ``docs`` and send it to the executors; returns its file name."""
+    """Compile the lexicon of ``docs``, write it to the shared folder and have the executors fetch it; returns its file name."""
     letters = byte_letters()
     entries = {w: merge_word(w, vocabulary, letters) for w in frequent_words(docs, vocabulary, words)}
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)  # Spark's file service hands it out from here
-    save_lexicon(compile_lexicon(entries), path)
-    docs.sparkSession.sparkContext.addFile(path)
-    return name
+    spark = docs.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, "lexicon") + ".bin")
+    file = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    file.write(lexicon_bytes(compile_lexicon(entries)))
+    file.close()
+    spark.sparkContext.addFile(path.toString())
+    return path.getName()
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -361,8 +386,9 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, lexicon: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, lexicon)
+        decimal = [str(i) for i in range(len(vocabulary.tokens))]
         for batch in batches:
-            rows = [(len(ids), sha(" ".join(map(str, ids))), sha(encoder.decode(ids))) for ids in encoder.encode(_texts(batch))]
+            rows = [(len(ids), sha(" ".join([decimal[i] for i in ids])), sha(encoder.decode(ids))) for ids in encoder.encode(_texts(batch))]
             n, ids_sha, text_sha = zip(*rows) if rows else ((), (), ())
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -8,6 +8,7 @@ from quireworks.llm import bpe
 
 TEXTS = [
     "The the THE running, isn't we'll 12345 co-op!!", "", "  \t\n ", "Straße ÉCOLE é ΣΑΣ Σ ΟΔΟΣ İ ﬁ ½ ²", "a<|endoftext|>B <|startoftext|> <|ENDOFTEXT|>",
+    "a\x1cb \x1d\x1e c\x1f\x1fd \x1f", "e \u0301 e\u0301\u2001\u0327", "<|endoftext|>x y<|endoftext|>",
     "x" * 3000, "ab" * 900 + "é" * 700, "日本語 한국어 ​﻿🙂🙂 \x00\x1c\x85　z", "퟿     a\xa0b", "'S 'T it'S don't''ve", "ᾼ ŉ ǰ Ǆ ẞ K Å",
 ]
 
@@ -36,7 +37,7 @@ def test_equal_to_the_library(spark, vocabulary):
 def test_lexicon_is_exact_minimal_and_mapped(tmp_path):
     words = {w: [i, i + 1] for i, w in enumerate(["sings", "rings", "sing", "ring", "é", "kings"])}
     arrays = bpe.compile_lexicon(words)
-    bpe.save_lexicon(arrays, str(tmp_path / "x.bin"))
+    (tmp_path / "x.bin").write_bytes(bpe.lexicon_bytes(arrays))
     mapped = bpe.map_lexicon(str(tmp_path / "x.bin"))
     asked = [*words, "s", "ringss", "", "king"]
     numbers = bpe.look_up(mapped, asked)
