@@ -43,7 +43,9 @@ from quireworks.staging import fresh_path
 WORDS, LONGEST = 32_768, 40
 _COUNTED = 200_000
 #: Pieces between white space that an encoder keeps with their ids.
-PIECES = 100_000
+PIECES = 200_000
+_BITS = 24
+_NONE = 1 << 62
 _SPACES = regex.compile(r"\p{White_Space}+")
 #: What Python's ``split`` takes for white space and Unicode's property does not.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -59,8 +61,19 @@ class Vocabulary:
     pattern: str
     suffix: str
     tokens: list[str] = field(default_factory=list)
+    #: Symbols as numbers: of each byte inside and at the end of a word; per pair its rank and what it becomes; the id of each number.
+    inner: list[int] = field(default_factory=list)
+    final: list[int] = field(default_factory=list)
+    pairs: dict[int, int] = field(default_factory=dict)
+    id_of: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        letters = byte_letters()
+        ends = [x + self.suffix for x in letters]
+        number = {x: i for i, x in enumerate(dict.fromkeys(chain(letters, ends, *self.ranks, (a + b for a, b in self.ranks))))}
+        self.inner, self.final = [number[x] for x in letters], [number[x] for x in ends]
+        self.pairs = {number[a] << _BITS | number[b]: rank << _BITS | number[a + b] for (a, b), rank in self.ranks.items()}
+        self.id_of = [self.ids.get(x, -1) for x in number]
         everything = {**self.ids, **self.special}
         self.tokens = [""] * (max(everything.values(), default=-1) + 1)
         for token, i in everything.items():
@@ -84,31 +97,50 @@ def byte_letters() -> list[str]:
     return [chr(hidden.get(b, b)) for b in range(256)]
 
 
-def merge_word(word: str, vocabulary: Vocabulary, letters: list[str]) -> list[int]:
-    """The ids of one word: the pair of lowest rank is merged, leftmost first, until none is left.
-
-    Neighbours are linked and pairs wait in a heap, so a word of n symbols takes n log n steps.
-    """
-    symbols = [letters[b] for b in word.encode()]
-    if not symbols:
+def merge_word(word: str, vocabulary: Vocabulary) -> list[int]:
+    """The ids of one word: the pair of lowest rank is merged, leftmost first, until none is left."""
+    raw = word.encode()
+    if not raw:
         return []
-    symbols[-1] += vocabulary.suffix
+    symbols = [vocabulary.inner[b] for b in raw]
+    symbols[-1] = vocabulary.final[raw[-1]]
+    merged = _merge_by_scan(symbols, vocabulary.pairs) if len(symbols) <= LONGEST else _merge_by_heap(symbols, vocabulary.pairs)
+    return [i for n in merged if (i := vocabulary.id_of[n]) >= 0]
+
+
+def _merge_by_scan(symbols: list[int], pairs: dict[int, int]) -> list[int]:
+    """Merges a short word: the ranks of its pairs stand in a list that is searched for the smallest."""
+    get = pairs.get
+    waiting = [get(a << _BITS | b, _NONE) for a, b in zip(symbols, symbols[1:])]
+    while waiting and (least := min(waiting)) < _NONE:
+        i = waiting.index(least)
+        symbols[i] = new = least & ((1 << _BITS) - 1)
+        del symbols[i + 1], waiting[i]
+        if i:
+            waiting[i - 1] = get(symbols[i - 1] << _BITS | new, _NONE)
+        if i < len(waiting):
+            waiting[i] = get(new << _BITS | symbols[i + 1], _NONE)
+    return symbols
+
+
+def _merge_by_heap(symbols: list[int], pairs: dict[int, int]) -> list[int]:
+    """Merges a word of any length: neighbours are linked and pairs wait in a heap, n log n steps for n symbols."""
     before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
-    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := vocabulary.ranks.get((a, b))) is not None]
+    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := pairs.get(a << _BITS | b)) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, left, right = heapq.heappop(heap)
+        least, i, left, right = heapq.heappop(heap)
         j = after[i]
         if symbols[i] != left or j < 0 or symbols[j] != right:
             continue
-        symbols[i], symbols[j] = left + right, None
+        symbols[i], symbols[j] = least & ((1 << _BITS) - 1), -1
         after[i] = after[j]
         if after[j] >= 0:
             before[after[j]] = i
         for a, b in ((before[i], i), (i, after[i])):
-            if a >= 0 and b >= 0 and (r := vocabulary.ranks.get((symbols[a], symbols[b]))) is not None:
+            if a >= 0 and b >= 0 and (r := pairs.get(symbols[a] << _BITS | symbols[b])) is not None:
                 heapq.heappush(heap, (r, a, symbols[a], symbols[b]))
-    return [vocabulary.ids[s] for s in symbols if s is not None and s in vocabulary.ids]
+    return [n for n in symbols if n >= 0]
 
 
 class WordSplitter:
@@ -127,12 +159,13 @@ class WordSplitter:
         return text.split()
 
     def _words(self, text: str) -> list[str]:
-        text = _SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        return self.find(text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.find(text.lower())  # white space parts words, one blank or several
 
     def __call__(self, text: str) -> list[str | tuple[str]]:
         """Words, with a special token as a tuple."""
-        if self.special is None or not any(name in text for name in self.names):
+        if self.special is None or not self.special.search(text):
             return self._words(text)
         out: list = []
         for piece in self.special.split(text):
@@ -226,7 +259,7 @@ def map_lexicon(path: str) -> dict[str, np.ndarray]:
     for name, kind, size in spec:
         at += -at % 16
         end = at + size * np.dtype(kind).itemsize
-        arrays[name] = whole[at:end].view(kind)
+        arrays[name] = whole[at:end].view(kind).view(np.ndarray)
         at = end
     return arrays
 
@@ -261,10 +294,10 @@ class Encoder:
     """Encodes and decodes on an executor; ``file`` is the name under which the lexicon was sent there."""
 
     def __init__(self, vocabulary: Vocabulary, file: str | None) -> None:
-        self.vocabulary, self.letters = vocabulary, byte_letters()
+        self.vocabulary = vocabulary
         self.split = WordSplitter(vocabulary)
         self.lexicon = map_lexicon(SparkFiles.get(file)) if file else None
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; the distinct pieces of up to a few MB of text are looked up together."""
@@ -273,7 +306,7 @@ class Encoder:
         for text in texts:
             group.append(self.split.pieces(text))
             size += len(text)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield from self._ids(group)
                 group, size = [], 0
         yield from self._ids(group)
@@ -287,18 +320,16 @@ class Encoder:
         numbers = look_up(self.lexicon, words) if self.lexicon else np.full(len(words), -1)
         for word, number in zip(words, numbers.tolist()):
             if number < 0:
-                known[word] = merge_word(word, self.vocabulary, self.letters)
+                known[word] = merge_word(word, self.vocabulary)
             else:
                 known[word] = self.lexicon["ids"][self.lexicon["start"][number] : self.lexicon["start"][number + 1]].tolist()
         for piece, part in zip(fresh, parts):
-            self.known[piece] = list(chain.from_iterable(map(known.__getitem__, part)))
+            self.known[piece] = tuple(chain.from_iterable(map(known.__getitem__, part)))
         for row in group:
             yield list(chain.from_iterable(map(self.known.__getitem__, row)))
-        if len(self.known) > PIECES:
-            self.known.clear()
-        for piece in fresh:  # long pieces hardly come again
-            if len(piece) > LONGEST:
-                self.known.pop(piece, None)
+        for piece in reversed(fresh):  # what is frequent comes early and is kept; long pieces hardly come again
+            if len(self.known) > PIECES or len(piece) > LONGEST:
+                del self.known[piece]
 
     def decode(self, ids) -> str:
         tokens = self.vocabulary.tokens
@@ -339,8 +370,7 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, words: int = WORDS)
 
 def send_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = WORDS) -> str:
     """Compile the lexicon of ``docs``, write it to the shared folder and have the executors fetch it; returns its file name."""
-    letters = byte_letters()
-    entries = {w: merge_word(w, vocabulary, letters) for w in frequent_words(docs, vocabulary, words)}
+    entries = {w: merge_word(w, vocabulary) for w in frequent_words(docs, vocabulary, words)}
     spark = docs.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, "lexicon") + ".bin")
     file = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)

@@ -50,6 +50,15 @@ def test_lexicon_is_exact_minimal_and_mapped(tmp_path):
     assert bpe.look_up(empty, ["a"]).tolist() == [-1] and len(empty["final"]) == 1 and np.sum(empty["final"]) == 0
 
 
+def test_both_ways_of_merging_are_equal(vocabulary):
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 3, 8, 40, 90):
+        for _ in range(200):
+            raw = rng.choice(list(b"aaaehinorst"), size)
+            symbols = [*(vocabulary.inner[b] for b in raw[:-1]), vocabulary.final[raw[-1]]]
+            assert bpe._merge_by_scan(list(symbols), vocabulary.pairs) == bpe._merge_by_heap(list(symbols), vocabulary.pairs)
+
+
 def test_query_on_whole_table(spark, sf_dir):
     from quireworks.llm.common import table
 
