@@ -69,6 +69,14 @@ def test_base_rules_on_random_text(spark, texts):
     check(spark, texts)
 
 
+def test_base_phones_with_many_separators(spark):
+    phones = ["+44 - 20 - 7946 - 0958", "+1 - (555) - 123 - 4567", "+33 - 1 - 42 - 68 - 53 - 00", "+1 ( 555 ) 123 - 4567", "+1     2     3     4     5     6     7     8     9"]
+    rows = check(spark, [f"call {p} now" for p in phones] + ["+1 " * 20_000, "+1" + " " * 60_000])
+    assert [r["n_phone"] for r in rows] == [1] * len(phones) + [0, 0]
+    docs = spark.createDataFrame([(i, f"call {p} now") for i, p in enumerate(phones)], "doc_id bigint, text string")
+    assert {r["text"] for r in pii.redact(docs, pii.fit(docs)).collect()} == {"call <PHONE> now"}
+
+
 def test_query_on_whole_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").collect()
     got = {r["doc_id"]: r for r in pii.op4_pii(spark, sf_dir).collect()}
