@@ -2,7 +2,9 @@
 
 Every window of ``WINDOW`` bytes has an entropy, counted in ``BINS`` classes. How rare a class is among
 all windows of the corpus ranks its windows; a window that is the rarest of at least ``POPULAR`` of the
-``SPAN`` successive windows around it is a feature. Features go by hash into chained Bloom filters (``BITS``
+``SPAN`` successive windows around it is a feature. A text without such a window (a short one, or one whose
+windows are all of one class) has the rarest window of each ``SPAN`` instead, so every text that is not
+empty has a feature. Features go by hash into chained Bloom filters (``BITS``
 bits, ``HASHES`` each, ``FEATURES`` per filter, then the next filter). Two fingerprints are compared by the
 overlap of bits beyond what chance gives, over the most that there could be: each filter of the shorter
 chain against its best partner, averaged.
@@ -106,8 +108,11 @@ def _sliding_min(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def feature_hashes(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
-    """The distinct feature hashes of each text, in order of place."""
+def feature_hashes(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray, fill: bool = False) -> list[np.ndarray]:
+    """The distinct feature hashes of each text, in order of place.
+
+    With ``fill``, a text without a popular window has the rarest window of each SPAN.
+    """
     base, rows = offsets[0], len(offsets) - 1
     data, starts = data[base : offsets[-1]], offsets - base
     popular = np.zeros(len(data), np.int64)
@@ -134,6 +139,8 @@ def feature_hashes(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> l
             chosen = np.array([(key[s + WINDOW - 1 : e].min()) & ((1 << 40) - 1)])
         else:
             chosen = np.flatnonzero(popular[s:e] >= POPULAR) + s
+            if fill and not len(chosen):
+                chosen = np.minimum.reduceat(key[s + WINDOW - 1 : e], np.arange(0, size - WINDOW + 1, SPAN)) & ((1 << 40) - 1)
         picked = windows[chosen - WINDOW + 1].astype(np.uint64)
         hashes = mix((mix(picked + np.uint64(1)) * _WEIGHTS).sum(axis=1, dtype=np.uint64))
         _, first = np.unique(hashes, return_index=True)
@@ -180,7 +187,7 @@ def _compare(rank: np.ndarray):
 
     def chains(texts: list[str]) -> list[np.ndarray]:
         data, offsets = text_bytes(pa.array(texts, pa.large_string()))
-        return [bloom_chain(h) for i, j in slices(offsets) for h in feature_hashes(data, offsets[i : j + 1], rank)]
+        return [bloom_chain(h) for i, j in slices(offsets) for h in feature_hashes(data, offsets[i : j + 1], rank, fill=True)]
 
     def finished(group: list[tuple]) -> pa.RecordBatch:
         """The rows of ``group`` but the last, which is the next document only."""

@@ -41,6 +41,28 @@ def test_features_do_not_depend_on_neighbours():
             assert len(set(one.tolist())) == len({d[k : k + 64].tobytes() for k in features(text, rank)})
 
 
+def test_every_text_has_a_feature():
+    rng = np.random.default_rng(5)
+    rank = rng.permutation(fp.BINS)
+    texts = [rng.choice(list(b"abcdefgh "), n).astype(np.uint8) for n in range(1, 260)]
+    texts += [np.resize(np.frombuffer(p, np.uint8), n) for p in (b"x", b"ab", b"abc", bytes(range(97, 97 + 26))) for n in (126, 127, 128, 200, 10_000)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    together = fp.feature_hashes(np.concatenate(texts), offsets, rank, fill=True)
+    plain = fp.feature_hashes(np.concatenate(texts), offsets, rank)
+    assert any(len(h) == 0 for h in plain)
+    for t, one, popular in zip(texts, together, plain):
+        assert len(one) and (not len(popular) or one.tolist() == popular.tolist())
+        assert one.tolist() == fp.feature_hashes(t, np.array([0, len(t)]), rank, fill=True)[0].tolist()
+
+
+def test_short_and_uniform_texts_are_told_apart(spark):
+    rows = [(1, "x" * 300), (2, "ab" * 5000), (3, "The quick brown fox jumps over the lazy dog. " * 3), (4, "q" * 130), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = fp.fingerprints(docs).orderBy("doc_id").collect()
+    assert [r["fingerprint"] != "" for r in got] == [True] * 4 + [False]
+    assert all(r["near_next"] < 0.5 for r in got)
+
+
 def test_likeness():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
