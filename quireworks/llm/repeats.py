@@ -141,7 +141,7 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 
 def _send_anchors(buckets: int):
-    """Rows for buckets: per anchor (gram, doc or -1 if several of the task have it, number of docs); and,
+    """Rows for buckets: per anchor (gram, doc or -1 if several of the task have it, number of docs, which tells; ids may be negative); and,
     settled, (doc, gram) of anchors that several documents of the task have.
 
     A gram is the upper 48 bits of the hash: enough to ask whether it is repeated.
@@ -207,7 +207,7 @@ def _answer(hot: int):
             h, doc, count = h[order], doc[order], count[order]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             total, size = np.add.reduceat(count.astype(np.int64), start), np.diff(np.append(start, len(h)))
-            told = (np.repeat(total > 1, size)) & (doc >= 0)
+            told = (np.repeat(total > 1, size)) & (count == 1)
             docs.append(doc[told])
             grams.append(h[told])
             common = h[start][total > hot]

@@ -53,6 +53,14 @@ def test_against_all_strings(spark, monkeypatch, seed, hot, group):
     assert found == brute(rows)
 
 
+def test_negative_ids(spark):
+    rows = [(None if i is None else i - 200, t) for i, t in texts(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = repeats.remove_repeats(docs).collect()
+    found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=str)
+    assert found == brute(rows)
+
+
 def test_index_statistics_against_sorting():
     rng = np.random.default_rng(0)
     lengths = np.array([80, 70, 80, 20, 80, 55])
