@@ -4,8 +4,9 @@ A text is a TF-IDF vector of hashed byte bigrams and trigrams of its lower-cased
 characters count as one blank), scaled to length 1. Each language has several centroids, found by
 spherical k-means over a bounded sample of its labelled documents; a text takes the language of the
 centroid with the largest cosine, and that cosine is its score. A text that is farther from every
-centroid than ``1 - min_score`` is rejected. ``min_score`` is a quarter of the smallest cosine by which any
-sampled document reaches its centroid, so text like the labelled documents stays.
+centroid than ``1 - min_score`` of that centroid's language is rejected. ``min_score`` is a quarter (``SHARE``)
+of the cosine that all but ``LOW`` of the language's labelled documents reach with its centroids, over all
+of them, so text like the labelled documents stays and a few odd ones do not decide.
 
 The fit is bounded by ``per_language`` documents of each language (smallest hash of the id among those
 of up to ``max_bytes``), whole texts; prediction reads whole texts of any length, in slices.
@@ -19,7 +20,7 @@ unless they have the name of a result column, which then is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from quireworks.llm.common import held_out, slices, table, text_bytes
 
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 12
 PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 400, 20_000, 64
+LOW, SHARE = 0.02, 0.25
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -45,7 +47,7 @@ class Centroids:
     idf: np.ndarray
     vectors: np.ndarray
     owner: np.ndarray
-    min_score: float
+    min_score: np.ndarray
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -97,7 +99,8 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(docs: DataFrame, k: int = CENTROIDS, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> Centroids:
     """Centroids from ``docs`` (doc_id, text, lang); rows without language or letters are not used."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= max_bytes))
+    everything = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labelled = everything.where(F.octet_length("text") <= max_bytes)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
     names = [r[0] for r in ids.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
@@ -106,7 +109,7 @@ def fit(docs: DataFrame, k: int = CENTROIDS, per_language: int = PER_LANGUAGE, m
     sample = labelled.join(ids.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi").select("lang", "text")
     rows = sorted((r["lang"], r["text"].lower()) for r in sample.collect())
     if not rows:
-        return Centroids((), np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), 0.0)
+        return Centroids((), np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(0))
     data, offsets = text_bytes(pa.array([text for _, text in rows]))
     x = np.concatenate([counts(data, offsets[i : j + 1]) for i, j in slices(offsets)])
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
@@ -114,8 +117,8 @@ def fit(docs: DataFrame, k: int = CENTROIDS, per_language: int = PER_LANGUAGE, m
     groups = [_cluster(x[langs == name], k) for name in names]
     owner = np.repeat(np.arange(len(names)), [len(g) for g in groups])
     vectors = np.concatenate(groups).astype(np.float32)
-    own = np.where(owner[None, :] == np.searchsorted(names, langs)[:, None], x @ vectors.T, -1).max(axis=1)
-    return Centroids(tuple(names), idf, vectors, owner, float(own.min()) / 4)
+    model = Centroids(tuple(names), idf, vectors, owner, np.zeros(len(names)))
+    return replace(model, min_score=SHARE * _low_cosines(everything, model))
 
 
 def _long_counts(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
@@ -127,24 +130,49 @@ def _long_counts(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) ->
     return total
 
 
+def _counted(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Counts of consecutive rows [i, j) of texts."""
+    data, offsets = text_bytes(pc.utf8_lower(text))
+    for i, j in slices(offsets, 1 << 18):
+        part = offsets[i : j + 1]
+        yield i, j, _long_counts(data, part) if j == i + 1 else counts(data, part)
+
+
+def _low_cosines(labelled: DataFrame, model: Centroids) -> np.ndarray:
+    """For each language, the cosine with its own centroids that all but LOW of its labelled documents reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {name: i for i, name in enumerate(model.names)}
+        for batch in batches:
+            lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            own = np.zeros(len(lang))
+            for i, j, x in _counted(batch.column("text")):
+                cosines = _weigh(x, model.idf) @ model.vectors.T
+                own[i:j] = np.where(model.owner[None, :] == lang[i:j, None], cosines, 0).max(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(own)], ["lang", "own"])
+
+    reached = labelled.select("lang", "text").mapInArrow(run, "lang bigint, own double").where("lang >= 0")
+    low = np.zeros(len(model.names))
+    for row in reached.groupBy("lang").agg(F.percentile_approx("own", LOW).alias("low")).collect():
+        low[row["lang"]] = row["low"]
+    return low
+
+
 def _identify(model: Centroids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.names, UNKNOWN], object)
+        names, needed = np.array([*model.names, UNKNOWN], object), np.append(model.min_score, 0.0)
         for batch in batches:
             text = pc.fill_null(batch.column(batch.schema.get_field_index("text")), "")
             known = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False) & bool(model.names)
-            data, offsets = text_bytes(pc.utf8_lower(text))
             best, score = np.full(len(text), len(model.names)), np.zeros(len(text))
-            for i, j in slices(offsets, 1 << 18):
-                part = offsets[i : j + 1]
-                x = _long_counts(data, part) if j == i + 1 else counts(data, part)
+            for i, j, x in _counted(text):
                 if len(model.names):
                     cosines = _weigh(x, model.idf) @ model.vectors.T
                     best[i:j] = model.owner[cosines.argmax(axis=1)]
                     score[i:j] = cosines.max(axis=1)
             best[~known], score[~known] = len(model.names), 0.0
             score = np.clip(score, 0.0, 1.0)
-            out = {"lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score), "rejected": pa.array(~known | (score < model.min_score))}
+            out = {"lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score), "rejected": pa.array(~known | (score < needed[best]))}
             for name, column in zip(batch.schema.names, batch.columns):
                 out.setdefault(name, column)
             yield pa.RecordBatch.from_pydict(out)

@@ -52,6 +52,16 @@ def test_language_on_edge_cases(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_odd_labelled_rows_do_not_switch_rejection_off(spark):
+    rows = [(i, TEXT[lang] * (1 + i % 5), lang) for i, lang in enumerate(["en", "de", "fr"] * 100)]
+    odd = [(1000, "7 q", "en"), (1001, "привет мир", "de"), (1002, "x", "fr")]
+    model = language.fit(spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string"), k=1)
+    asked = [(1, "日本語の文章です", "x"), (2, "zzzzzzzzzzzz", "x"), (3, "добрый день", "x"), (4, TEXT["de"], "x"), (5, TEXT["fr"], "x")]
+    found = language.identify(spark.createDataFrame(asked, "doc_id bigint, text string, lang string"), model).orderBy("doc_id").collect()
+    assert [r["rejected"] for r in found] == [True, True, True, False, False]
+    assert len(model.min_score) == 3 and min(model.min_score) > 0.15
+
+
 def test_language_accuracy_on_held_out(spark, sf_dir):
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = [r for r in language.op3_language(spark, sf_dir).collect() if r["held_out"]]
