@@ -8,8 +8,10 @@ centroid than ``1 - min_score`` of that centroid's language is rejected. ``min_s
 of the cosine that all but ``LOW`` of the language's labelled documents reach with its centroids, over all
 of them, so text like the labelled documents stays and a few odd ones do not decide.
 
-The fit is bounded by ``per_language`` documents of each language (smallest hash of the id among those
-of up to ``max_bytes``), whole texts; prediction reads whole texts of any length, in slices.
+The fit is bounded by ``per_language`` documents of each language (smallest hash of the id, whatever the
+length), and by ``SAMPLE_ROWS`` in all as long as that leaves each language one per centroid; any number of
+languages is learned. Whole texts are counted in the tasks; only the counts go to the driver. Prediction
+reads whole texts of any length, in slices.
 
 Cases: a null text or one without a letter is ``und`` with score 0 and rejected; equal cosines go to
 the alphabetically first language; repeated rows are predicted each; an empty table gives an empty
@@ -25,6 +27,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from quireworks.llm.common import held_out, slices, table, text_bytes
 
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 12
-PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 400, 20_000, 64
+PER_LANGUAGE, SAMPLE_ROWS = 400, 400 * 64
 LOW, SHARE = 0.02, 0.25
 UNKNOWN = "und"
 FOLDS = 5
@@ -97,28 +100,25 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, k: int = CENTROIDS, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> Centroids:
+def fit(docs: DataFrame, k: int = CENTROIDS, per_language: int = PER_LANGUAGE) -> Centroids:
     """Centroids from ``docs`` (doc_id, text, lang); rows without language or letters are not used."""
-    everything = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    labelled = everything.where(F.octet_length("text") <= max_bytes)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    names = [r[0] for r in ids.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    sample = labelled.join(ids.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    rows = sorted((r["lang"], r["text"].lower()) for r in sample.collect())
+    kept = min(per_language, max(k, SAMPLE_ROWS // max(1, ids.select("lang").distinct().count())))
+    sample = labelled.join(ids.where(F.col("rank") <= kept).select("doc_id", "lang"), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    rows = sorted((r["lang"], bytes(r["packed"])) for r in sample.mapInArrow(_packed_counts, "lang string, packed binary").collect())
     if not rows:
         return Centroids((), np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    data, offsets = text_bytes(pa.array([text for _, text in rows]))
-    x = np.concatenate([counts(data, offsets[i : j + 1]) for i, j in slices(offsets)])
+    x = np.concatenate([np.frombuffer(zstandard.decompress(packed), np.float32)[None] for _, packed in rows])
+    names = sorted({lang for lang, _ in rows})
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x, langs = _weigh(x, idf), np.array([lang for lang, _ in rows])
     groups = [_cluster(x[langs == name], k) for name in names]
     owner = np.repeat(np.arange(len(names)), [len(g) for g in groups])
     vectors = np.concatenate(groups).astype(np.float32)
     model = Centroids(tuple(names), idf, vectors, owner, np.zeros(len(names)))
-    return replace(model, min_score=SHARE * _low_cosines(everything, model))
+    return replace(model, min_score=SHARE * _low_cosines(labelled, model))
 
 
 def _long_counts(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
@@ -138,6 +138,12 @@ def _counted(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         yield i, j, _long_counts(data, part) if j == i + 1 else counts(data, part)
 
 
+def _packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [zstandard.compress(row.tobytes(), 1) for _, _, x in _counted(batch.column("text")) for row in x]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "packed"])
+
+
 def _low_cosines(labelled: DataFrame, model: Centroids) -> np.ndarray:
     """For each language, the cosine with its own centroids that all but LOW of its labelled documents reach."""
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from check_oracle import rows_of
 from quireworks.llm import language, quality, topk, url_filter
@@ -62,6 +63,18 @@ def test_odd_labelled_rows_do_not_switch_rejection_off(spark):
     assert len(model.min_score) == 3 and min(model.min_score) > 0.15
 
 
+def test_languages_of_long_documents_and_many_languages(spark):
+    rows = [(i, TEXT["en"] * (1 + i % 5), "en") for i in range(30)] + [(100 + i, TEXT["de"] * (600 + i), "de") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language.identify(docs.select("doc_id", "text", F.col("lang").alias("own")), language.fit(docs)).collect()
+    assert len(found) == 33 and all(r["lang_pred"] == r["own"] and not r["rejected"] for r in found)
+    many = [(i, " ".join(chr(97 + i // 9) * 2 + chr(97 + i % 9) * (2 + n) for n in range(5)), f"l{i:02d}") for i in range(70)]
+    docs = spark.createDataFrame(many, "doc_id bigint, text string, lang string")
+    model = language.fit(docs)
+    assert list(model.names) == [lang for _, _, lang in many]
+    assert all(r["lang_pred"] == f"l{r['doc_id']:02d}" for r in language.identify(docs.select("doc_id", "text"), model).collect())
+
+
 def test_language_accuracy_on_held_out(spark, sf_dir):
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = [r for r in language.op3_language(spark, sf_dir).collect() if r["held_out"]]
