@@ -5,12 +5,12 @@ Base rules find e-mail addresses, IP numbers, payment cards and telephone number
 propose spans that may overlap them: written-out e-mail addresses, longer dotted numbers, cards with
 other separators, telephone numbers without a plus. Each candidate has a few small features of its format
 and context. Boosted trees of depth two score it, and a threshold per kind, calibrated so that at least
-``PRECISION`` of the training candidates above it are base spans, selects what is added.
+``PRECISION`` of the candidates of all documents above it are base spans, selects what is added.
 
 The trees are fitted on candidates of a bounded sample (``SAMPLE`` documents of up to ``MAX_BYTES``,
-smallest hash of the id; a candidate is positive if the base rules have the same span). The features have
-few values, so the sample is counted by feature vector in Spark (at most ``2 * 1600`` rows) and the
-boosting itself is arithmetic over that table on the driver.
+smallest hash of the id; a candidate is positive if the base rules have the same span), or on all if the
+sample has no positive one. The features have few values, so sample and whole are counted by feature vector
+in one pass of Spark (at most 1600 rows), and the boosting itself is arithmetic over that table on the driver.
 
 Positions come from splitting: the lengths of what lies between the matches and of the matches, added up
 by a scan in blocks, so a text with many matches stays near-linear. Patterns are possessive or
@@ -219,8 +219,9 @@ def _split(rows: list[tuple[dict, float, float]]) -> tuple[str, int]:
     return max(cuts, key=lambda fc: _gain(rows, *fc))
 
 
-def boost(table_rows: list[tuple[dict, int, int]]) -> Trees:
-    """Trees and thresholds from (features, candidates, positives) rows, by Newton steps on log loss."""
+def boost(table_rows: list[tuple[dict, int, int]], everything: list[tuple[dict, int, int]] | None = None) -> Trees:
+    """Trees from (features, candidates, positives) rows, by Newton steps on log loss; thresholds from ``everything``."""
+    everything = table_rows if everything is None else everything
     total, positive = sum(r[1] for r in table_rows), sum(r[2] for r in table_rows)
     if not positive:
         return Trees(-20.0, (), (math.inf,) * len(KINDS))
@@ -244,9 +245,10 @@ def boost(table_rows: list[tuple[dict, int, int]]) -> Trees:
             tree += [feature, cut, leaf([r for r in side if r[0][feature] <= cut]), leaf([r for r in side if r[0][feature] > cut])]
         trees.append(tuple(tree))
         scores = [s + _tree_value(tree, f) for s, (f, _, _) in zip(scores, table_rows)]
+    final = [sum((_tree_value(tree, f) for tree in trees), start) for f, _, _ in everything]
     thresholds = []
     for kind in range(len(KINDS)):
-        ranked = sorted(((s, n, good) for s, (f, n, good) in zip(scores, table_rows) if f["kind"] == kind), reverse=True)
+        ranked = sorted(((s, n, good) for s, (f, n, good) in zip(final, everything) if f["kind"] == kind), reverse=True)
         best, n, good = math.inf, 0, 0
         for at, (score, more, right) in enumerate(ranked):
             n, good = n + more, good + right
@@ -265,16 +267,22 @@ def _tree_value(tree: tuple | list, features: dict) -> float:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, max_bytes: int = MAX_BYTES) -> Trees:
-    """Trees from a bounded sample of ``docs`` (doc_id, text)."""
-    small = docs.where(F.octet_length("text") <= max_bytes)
-    picked = small.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    marked = _candidates(_base_spans(small.join(picked, "doc_id", "left_semi").select("text")))
+    """Trees from a bounded sample of ``docs`` (doc_id, text), thresholds from all of them."""
+    small = F.coalesce(F.octet_length("text") <= max_bytes, F.lit(False)) & F.col("doc_id").isNotNull()
+    picked = docs.where(small).select("doc_id").distinct().select(F.xxhash64("doc_id").alias("hash")).orderBy("hash").limit(sample)
+    last = picked.agg(F.max("hash")).first()[0]
+    sampled = F.lit(False) if last is None else small & (F.xxhash64("doc_id") <= last)
+    marked = _candidates(_base_spans(docs.select("text", sampled.alias("sampled"))))
     known = F.array_union(F.array_union("pii_b_email", "pii_b_ip"), F.array_union("pii_b_card", "pii_b_phone"))
-    rows = marked.select(known.alias("known"), F.explode("pii_candidates").alias("c"))
+    rows = marked.select("sampled", known.alias("known"), F.explode("pii_candidates").alias("c"))
+    good = F.array_contains("known", F.col("c.code"))
     counted = rows.groupBy(*(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(
-        F.count("*").alias("n"), F.sum(F.array_contains("known", F.col("c.code")).cast("int")).alias("good")
+        F.count("*").alias("n"), F.count_if(good).alias("good"), F.count_if("sampled").alias("n_fit"), F.count_if(good & F.col("sampled")).alias("good_fit")
     )
-    return boost([({f: r[f] for f in FEATURES}, r["n"], r["good"]) for r in counted.orderBy(*FEATURES).collect()])
+    found = [({f: r[f] for f in FEATURES}, r) for r in counted.orderBy(*FEATURES).collect()]
+    everything = [(f, r["n"], r["good"]) for f, r in found]
+    fitted = [(f, r["n_fit"], r["good_fit"]) for f, r in found if r["n_fit"]]
+    return boost(fitted if any(r[2] for r in fitted) else everything, everything)
 
 
 def _selected(model: Trees) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -97,6 +98,19 @@ def test_method_adds_spans_and_redacts_all(spark):
     assert "4111" not in clean[81] and all(not base(t) for t in clean.values())
 
 
+def test_thresholds_cover_documents_outside_the_sample(spark):
+    rows = [(i, f"mail u{i}@site.org now") for i in range(40)]
+    cards = ["pay by card 4111.1111.1111.1111 please", *(f"pay by card 4111 1111 1111 1111 no {i}" for i in range(40))]
+    rows += [(100 + i, card + " word" * 40) for i, card in enumerate(cards)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = pii.fit(docs, max_bytes=100)
+    assert math.isfinite(model.thresholds[pii.KINDS.index("card")])
+    spans = {r["doc_id"]: r["spans"] for r in pii.summarise(pii.find_spans(docs, model)).collect()}
+    assert "card:12:31" in spans[100].split(",")
+    only_long = pii.fit(docs, max_bytes=10)
+    assert only_long.trees and math.isfinite(only_long.thresholds[0])
+
+
 def test_scan_over_many_blocks(spark):
     from pyspark.sql import functions as F
 
