@@ -54,8 +54,9 @@ def test_against_all_strings(spark, monkeypatch, seed, hot, group):
 
 
 def test_negative_ids(spark):
-    rows = [(None if i is None else i - 200, t) for i, t in texts(4)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    same = "".join(random.Random(9).choice("abcdefgh ") for _ in range(300))
+    rows = [(-9, "x" + same), (-4, same + "y"), (-1, same), (7, same + "z")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string")  # a task each
     got = repeats.remove_repeats(docs).collect()
     found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=str)
     assert found == brute(rows)
