@@ -7,9 +7,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from settings import SF_DIR  # noqa: E402
+
 from quireworks.session import build_session  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -27,6 +28,11 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def sf_dir():
+    return SF_DIR
+
+
 @pytest.fixture(scope="session")
 def con():
     connection = duckdb.connect()

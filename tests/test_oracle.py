@@ -1,7 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import pytest
-from conftest import SF_DIR
+from settings import SF_DIR
 
 import __spark_entry__ as contract
 from check_oracle import rows_of

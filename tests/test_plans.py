@@ -3,9 +3,9 @@
 import re
 
 import pytest
-from conftest import SF_DIR
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from settings import SF_DIR
 
 import __spark_entry__ as contract
 from quireworks.checks import planted, text_queries
