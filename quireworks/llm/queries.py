@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quireworks.llm import bpe, fingerprint, language, mixing, neardup, pii, quality, repeats, topk, url_filter
+from quireworks.llm import bpe, fingerprint, language, mixing, neardup, pii, quality, repeats, tokenfile, topk, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_long_repeats": repeats.op10_long_repeats,
+    "op11_token_files": tokenfile.op11_token_files,
 }
 ORACLES = {
     "op2_poisson_mix": mixing.SQL,
