@@ -28,6 +28,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,11 @@ from quireworks.staging import fresh_path
 
 MAGIC = b"QWTOKEN1"
 #: Ids that a file holds; a longer document has a file of its own.
-FILE_TOKENS = 8_000_000
+FILE_TOKENS = 4_000_000
 #: Ids that a reader decodes together.
 READ_TOKENS = 1_000_000
-#: Text that an encoder takes together, and pieces that the tokenizer gets in one call.
-GROUP_BYTES, CALL = 16 << 20, 5_000
+#: Text that an encoder takes together, pieces that the tokenizer gets in one call, and pieces that are kept.
+GROUP_BYTES, CALL, PIECES = 8 << 20, 2_000, 500_000
 #: Bits of a continuation bitmap for each entry of its rank directory.
 RANK_BITS = 512
 _MANIFEST = "manifest.parquet"
@@ -375,7 +377,10 @@ def piece_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizer of the tokenizers library, given as its JSON."""
+    """Encodes texts with a tokenizer of the tokenizers library, given as its JSON.
+
+    The ids of up to ``PIECES`` pieces are kept from one group of texts to the next; this saves work only.
+    """
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -383,15 +388,33 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.place: dict[str, int] = {}
+        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces one after the other, and how many each has."""
-        lengths, flat = [], []
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all of them one after the other."""
+        lengths, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for at in range(0, len(pieces), CALL):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.slice(at, CALL).to_pylist(), add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + CALL], add_special_tokens=False)]
             lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter((i for ids in found for i in ids), np.int32, int(lengths[-1].sum())))
-        return np.concatenate([np.zeros(0, np.int32), *flat]), np.concatenate([np.zeros(0, np.int64), *lengths])
+            flat.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1].sum())))
+        return np.concatenate(lengths), np.concatenate(flat)
+
+    def _look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row for each piece, and the rows' lengths and ids."""
+        get, known = self.place.get, len(self.place)
+        rows = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        fresh = np.flatnonzero(rows < 0)
+        new = [pieces[i] for i in fresh]
+        rows[fresh] = known + np.arange(len(new))
+        lengths, flat = self._ids(new)
+        all_lengths, all_flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+        room = min(max(PIECES - known, 0), len(new))
+        if room:
+            self.place.update(zip(new[:room], range(known, known + room)))
+            self.lengths = all_lengths[: known + room].copy()
+            self.flat = all_flat[: int(self.lengths.sum())].copy()
+        return rows, all_lengths, all_flat
 
     def __call__(self, texts: pa.Array, end: int) -> Iterator[pa.Array]:
         """Lists of ids of consecutive texts, each with ``end`` after it."""
@@ -401,8 +424,8 @@ class PieceEncoder:
             part = data[base : offsets[last]]
             starts = piece_starts(part, rows)
             pieces = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(part)).dictionary_encode()
-            flat, lengths = self._ids(pieces.dictionary)
-            which = np.asarray(pieces.indices, np.int64)
+            place, lengths, flat = self._look_up(pieces.dictionary.to_pylist())
+            which = place[np.asarray(pieces.indices)]
             counts = lengths[which]
             after = np.concatenate([[0], np.cumsum(counts)])
             ids = flat[np.arange(after[-1]) + np.repeat((np.cumsum(lengths) - lengths)[which] - after[:-1], counts)]
@@ -413,11 +436,17 @@ class PieceEncoder:
             yield pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(out))
 
 
+@lru_cache(1)
+def encoder_for(spec: str) -> PieceEncoder:
+    """One for all tasks of a Python worker, which Spark uses again."""
+    return PieceEncoder(spec)
+
+
 def encode(docs: DataFrame, spec: str, end: int = 0) -> DataFrame:
     """(doc_id, ids) of ``docs`` (doc_id, text) with ``end`` after each document, in the order of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(spec)
+        encoder = encoder_for(spec)
         for batch in batches:
             at = 0
             for ids in encoder(batch.column("text"), end):
