@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quireworks.llm import bpe, fingerprint, language, mixing, neardup, pii, quality, repeats, tokenfile, topk, url_filter
+from quireworks.llm import bpe, divergence, fingerprint, language, manifest, mixing, neardup, pii, quality, repeats, tokenfile, topk, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,10 +18,14 @@ QUERIES = {
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_long_repeats": repeats.op10_long_repeats,
     "op11_token_files": tokenfile.op11_token_files,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_manifest": manifest.op13_manifest,
 }
 ORACLES = {
     "op2_poisson_mix": mixing.SQL,
     "op5_url_rules": url_filter.SQL,
     "op8_topk": topk.SQL,
     "op9_near_duplicates": neardup.SQL,
+    "op12_divergence": divergence.SQL,
+    "op13_manifest": manifest.SQL,
 }
