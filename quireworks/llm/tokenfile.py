@@ -11,9 +11,9 @@ lists in order those of successful tasks only, and one file is one partition whe
 or a repeated task leaves at most a file that no manifest lists. Files lie wherever ``pyarrow.fs`` can go
 (file, hdfs, s3, gs, abfs); the operator puts them into the folder that the cluster shares.
 
-Encoding takes texts apart where white space begins, which is always a border between words of the
-tokenizer's pattern, has the tokenizers library encode the distinct pieces of some MB of text, and puts the
-ids of the documents together from theirs.
+Encoding takes texts apart where words of the tokenizer's pattern always end (before white space, between
+letters, digits and signs; a text with a special token whole), has the tokenizers library encode the
+distinct pieces of some MB of text, and puts the ids of the documents together from theirs.
 
 Cases: a null text counts as empty; an empty text has the end id alone; texts of any length are encoded
 whole; null ids of documents come first; repeated rows are written each, in an order that depends on their
@@ -24,6 +24,7 @@ are not taken along. Ids are 0 to 2^31 - 1; a null list counts as empty, an id o
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
@@ -40,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from quireworks.llm.bpe import byte_letters
 from quireworks.llm.common import slices, table, text_bytes
 from quireworks.staging import fresh_path
 
@@ -49,7 +52,7 @@ FILE_TOKENS = 4_000_000
 #: Ids that a reader decodes together.
 READ_TOKENS = 1_000_000
 #: Text that an encoder takes together, pieces that the tokenizer gets in one call, and pieces that are kept.
-GROUP_BYTES, CALL, PIECES = 8 << 20, 2_000, 500_000
+GROUP_BYTES, CALL, PIECES = 4 << 20, 1_000, 300_000
 #: Bits of a continuation bitmap for each entry of its rank directory.
 RANK_BITS = 512
 _MANIFEST = "manifest.parquet"
@@ -76,6 +79,14 @@ def best_widths(lengths: np.ndarray) -> list[int]:
     return out
 
 
+def _bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """How many ids have 1, 2, ... 31 significant bits; zero counts as one bit."""
+    found = np.zeros(32, np.int64)
+    for at in range(0, len(ids), 1 << 18):
+        found += np.bincount(np.maximum(np.frexp(ids[at : at + (1 << 18)].astype(np.float64))[1], 1), minlength=32)
+    return found
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
     """``width`` bits of each value, lowest first."""
     shifts = np.arange(width, dtype=np.uint32)
@@ -102,20 +113,18 @@ def file_bytes(doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> bytes
         ("doc_id", np.asarray(doc_ids.fill_null(0), "<i8").tobytes()),
         ("end", np.cumsum(lengths).astype("<i8").tobytes()),
     ]
-    significant = np.frexp(ids.astype(np.float64))[1].astype(np.int64)  # bits of each id, 0 for 0
-    widths = best_widths(np.bincount(np.maximum(significant, 1), minlength=32)) if len(ids) else []
-    rest, below = ids.astype(np.uint32), 0
+    widths = best_widths(_bit_lengths(ids)) if len(ids) else []
+    rest = ids.astype(np.uint32)
     for level, width in enumerate(widths):
         sections.append((f"chunks{level}", pack(rest & np.uint32((1 << width) - 1), width)))
-        below += width
         if level + 1 < len(widths):
-            goes_on = significant > below
+            goes_on = rest >= np.uint32(1 << width)
             padded = np.zeros(-(-len(goes_on) // RANK_BITS) * RANK_BITS, np.uint8)
             padded[: len(goes_on)] = goes_on
             counts = padded.reshape(-1, RANK_BITS).sum(axis=1, dtype=np.int64)
             sections.append((f"bits{level}", np.packbits(padded, bitorder="little").tobytes()))
             sections.append((f"ranks{level}", (np.cumsum(counts) - counts).astype("<u4").tobytes()))
-            rest, significant = rest[goes_on] >> np.uint32(width), significant[goes_on]
+            rest = rest[goes_on] >> np.uint32(width)
     places, at = {}, 0
     for name, data in sections:
         places[name] = at
@@ -223,8 +232,8 @@ class _Writer(DataSourceArrowWriter):
         for batch in iterator:
             docs, column = batch.column(0).cast(pa.int64()), batch.column(1)
             lengths = np.asarray(column.value_lengths().fill_null(0), np.int64)
-            ids = np.asarray(column.flatten(), np.int64)
-            if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 31):
+            ids = np.asarray(column.flatten())
+            if len(ids) and ids.min() < 0:
                 raise ValueError("token ids must be 0 to 2147483647")
             ends, row = np.concatenate([[0], np.cumsum(lengths)]), 0
             while row < len(docs):
@@ -233,7 +242,7 @@ class _Writer(DataSourceArrowWriter):
                     flush()
                     continue
                 upto = min(max(fits, row + 1), len(docs))
-                waiting.append((docs.slice(row, upto - row), lengths[row:upto], ids[ends[row] : ends[upto]].astype(np.uint32)))
+                waiting.append((docs.slice(row, upto - row), lengths[row:upto], ids[ends[row] : ends[upto]].copy()))
                 held += int(ends[upto] - ends[row])
                 row = upto
         flush()
@@ -358,20 +367,30 @@ def tokens_at(positions: DataFrame, path: str) -> DataFrame:
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: After these a piece does not end: white space, and controls that some libraries take for it.
 _OPEN = _SPACE | np.isin(np.arange(256), [28, 29, 30, 31])
+#: Letters, digits and signs of ASCII, which never share a word of the pattern; no border next to anything else.
+_KIND = np.array([0 if not 33 <= b < 127 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+#: Pieces that are one word of the pattern for certain: letters of Latin alphabets after a blank or none.
+_WORD = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch
 
 
-def piece_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Where pieces begin in ``data``: at each row, and at each ASCII white space after something that is none.
+def piece_starts(data: np.ndarray, rows: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where pieces begin in ``data``: at each row, and where words of the pattern always end.
 
-    White space beyond ASCII ends in two bytes that are told apart coarsely; a border left out does no harm.
+    That is at ASCII white space after something that is none, and between letters, digits and signs of ASCII
+    but after an apostrophe; not inside the rows ``whole``. White space beyond ASCII ends in two bytes that are
+    told apart coarsely; a border left out does no harm.
     """
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
-        before = data[:-1]
-        cut[1:-1] = _SPACE[data[1:]] & ~_OPEN[before]
+        before, here = data[:-1], data[1:]
+        border = _SPACE[here] & ~_OPEN[before]
         lead = np.concatenate([[0], data[:-2]])
-        wide = np.isin(lead, [0xC2, 0x80, 0x81, 0x9A]) & (before >= 0x80) & (before <= 0xAF)
-        cut[1:-1] &= ~wide
+        border &= ~(np.isin(lead, [0xC2, 0x80, 0x81, 0x9A]) & (before >= 0x80) & (before <= 0xAF))
+        left, right = _KIND[before], _KIND[here]
+        border |= (left != right) & (left > 0) & (right > 0) & (before != ord("'"))
+        cut[1:-1] = border
+    for row in np.flatnonzero(whole):
+        cut[rows[row] : rows[row + 1]] = False
     cut[rows] = True
     return np.flatnonzero(cut)
 
@@ -385,6 +404,12 @@ class PieceEncoder:
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
+        parts = json.loads(spec)
+        before = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] or before.get("type") != "ByteLevel" or not before["use_regex"] or before["add_prefix_space"]:
+            raise ValueError("a byte-level tokenizer with its own pattern and nothing before it is needed")
+        self.special = [t["content"] for t in parts["added_tokens"]]
+        self.letters = dict(enumerate(byte_letters()))
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -393,12 +418,18 @@ class PieceEncoder:
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each piece has, and all of them one after the other."""
-        lengths, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for at in range(0, len(pieces), CALL):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + CALL], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter(chain.from_iterable(found), np.int32, int(lengths[-1].sum())))
-        return np.concatenate(lengths), np.concatenate(flat)
+        found: list = [None] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if _WORD(p)]
+        bpe, letters = self.tokenizer.model, self.letters
+        for i in words:  # straight to the merges, as letters for bytes
+            found[i] = [t.id for t in bpe.tokenize(pieces[i].encode().decode("latin-1").translate(letters))]
+        others = [i for i, ids in enumerate(found) if ids is None]
+        for at in range(0, len(others), CALL):
+            some = others[at : at + CALL]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)):
+                found[i] = e.ids
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return lengths, np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
 
     def _look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A row for each piece, and the rows' lengths and ids."""
@@ -422,7 +453,10 @@ class PieceEncoder:
         for first, last in slices(offsets, GROUP_BYTES):
             base, rows = offsets[first], offsets[first : last + 1] - offsets[first]
             part = data[base : offsets[last]]
-            starts = piece_starts(part, rows)
+            whole = np.zeros(len(rows) - 1, bool)
+            for content in self.special:
+                whole |= np.asarray(pc.match_substring(texts.slice(first, last - first), content).fill_null(False))
+            starts = piece_starts(part, rows, whole)
             pieces = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(part)).dictionary_encode()
             place, lengths, flat = self._look_up(pieces.dictionary.to_pylist())
             which = place[np.asarray(pieces.indices)]
