@@ -35,11 +35,11 @@ from quireworks.llm.common import slices, table, text_bytes
 from quireworks.staging import fresh_path, stage
 
 #: Documents of its language that a term must be in; terms of a model; shares a task compares at once; terms reported.
-LEAST_DOCS, MODEL_TERMS, BLOCK_CELLS, TOP = 10, 500_000, 1_000_000, 10
+LEAST_DOCS, MODEL_TERMS, BLOCK_CELLS, TOP = 10, 2_000_000, 50_000, 10
 #: CountVectorizer takes this many terms at most: all of a model.
 ALL_TERMS = 2**31 - 1
 SCALE = 1_000_000_000
-_VECTOR = "lang_no int, source string, parts struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+_VECTOR = "source string, parts struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
 _IN_TERM = np.zeros(256, bool)
 _IN_TERM[0x41:0x5B] = _IN_TERM[0x61:0x7B] = _IN_TERM[0x80:] = True
@@ -86,10 +86,11 @@ def _dealt(models: dict[str, tuple[int, int, int]]):
                 hashes = np.fromiter((zlib.crc32(t.encode()) for t in terms.dictionary.to_pylist()), np.int64, len(terms.dictionary))
                 row = np.repeat(np.arange(len(counts)) + first, counts)
                 model = chosen[row, 1] + hashes[np.asarray(terms.indices, np.int64)] % chosen[row, 2]
-                order = np.lexsort((model, row))
-                row, model = row[order], model[order]
+                if (chosen[:, 2] > 1).any():  # otherwise the terms of a document are together
+                    order = np.lexsort((model, row))
+                    row, model, terms = row[order], model[order], terms.take(pa.array(order))
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(model) != 0)])) if len(row) else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(row)]]).astype(np.int32)), terms.take(pa.array(order)).cast(pa.string()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(row)]]).astype(np.int32)), terms.cast(pa.string()))
                 owner = row[new]
                 columns = [pa.array(model[new], pa.int32()), pa.array(chosen[owner, 0], pa.int32()), batch.column("source").take(pa.array(owner)), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["model", "lang_no", "source", "terms"])
@@ -97,6 +98,17 @@ def _dealt(models: dict[str, tuple[int, int, int]]):
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, place, n): the sums of a batch of sparse vectors (source, indices, values)."""
+    for batch in batches:
+        sources, indices, values = batch.column("source").dictionary_encode(), batch.column("indices"), batch.column("values")
+        code = np.repeat(np.asarray(sources.indices, np.int64), np.asarray(indices.value_lengths(), np.int64))
+        keys, which = np.unique(code << 32 | np.asarray(indices.flatten(), np.int64), return_inverse=True)
+        n = np.bincount(which, np.asarray(values.flatten()), len(keys)).astype(np.int64)
+        columns = [sources.dictionary.take(pa.array(keys >> 32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)]
+        yield pa.RecordBatch.from_arrays(columns, ["source", "place", "n"])
+
+
 def plan_models(docs: DataFrame, model_terms: int = MODEL_TERMS) -> dict[str, tuple[int, int, int]]:
     """For each lang of ``docs`` (lang, text): its number, its first model and how many models it has."""
     names = docs.select("lang").distinct()
@@ -116,10 +128,10 @@ def group_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, model_terms: int
     langs = spark.createDataFrame([(number, lang) for lang, (number, _, _) in plan.items()], "lang_no int, lang string")
     dealt = docs.mapInArrow(_dealt(plan), "model int, lang_no int, source string, terms array<string>")
     terms, vectors = fresh_path(spark, "terms"), fresh_path(spark, "vectors")
-    dealt.hint("rebalance", "model").write.option("compression", "zstd").partitionBy("model").parquet(terms)
+    dealt.write.option("compression", "zstd").partitionBy("model").parquet(terms)
     written = spark.read.schema("lang_no int, source string, terms array<string>, model int").parquet(terms)
     counted = None
-    for model in sorted(r["model"] for r in written.groupBy("model").agg(F.first("lang_no")).collect()):
+    for model, lang_no in sorted(tuple(r) for r in written.groupBy("model").agg(F.first("lang_no")).collect()):
         rows = written.where(F.col("model") == model)
         try:
             fitted = CountVectorizer(inputCol="terms", outputCol="parts", minDF=least_docs, vocabSize=ALL_TERMS).fit(rows)
@@ -127,13 +139,12 @@ def group_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, model_terms: int
             if "vocabulary size" not in str(nothing):
                 raise
             continue
-        fitted.transform(rows).select("lang_no", "source", "parts").write.parquet(f"{vectors}/{model}")
+        fitted.transform(rows).select("source", "parts").write.parquet(f"{vectors}/{model}")
         fitted.save(f"{vectors}/{model}-terms")
         vocabulary = spark.read.parquet(f"{vectors}/{model}-terms/data").select(F.posexplode("vocabulary").alias("place", "term"))
-        exact = spark.read.schema(_VECTOR).parquet(f"{vectors}/{model}")
-        cells = exact.select("lang_no", "source", F.explode_outer(F.arrays_zip("parts.indices", "parts.values")).alias("cell"))
-        sums = cells.where("cell IS NOT NULL").groupBy("lang_no", "source", F.col("cell.indices").alias("place")).agg(F.sum(F.col("cell.values").cast("bigint")).alias("n"))
-        part = sums.join(vocabulary, "place").select("lang_no", "source", "term", "n")
+        exact = spark.read.schema(_VECTOR).parquet(f"{vectors}/{model}").select("source", "parts.indices", "parts.values")
+        sums = exact.mapInArrow(_sums, "source string, place int, n bigint").groupBy("source", "place").agg(F.sum("n").alias("n"))
+        part = sums.join(vocabulary, "place").select(F.lit(lang_no).cast("int").alias("lang_no"), "source", "term", "n")
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         counted = spark.createDataFrame([], "lang_no int, source string, term string, n bigint")

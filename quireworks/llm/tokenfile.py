@@ -206,8 +206,20 @@ class Listed(InputPartition):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, file_tokens: int) -> None:
-        self.path, self.file_tokens = path, file_tokens
+    def __init__(self, path: str, file_tokens: int, tokenizer: str | None, end: int) -> None:
+        self.path, self.file_tokens, self.end = path, file_tokens, end
+        self.spec = read_spec(tokenizer) if tokenizer else None
+
+    def _lists(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """Ids of documents and lists of token ids; texts are encoded here, some MB at a time."""
+        docs, column = batch.column(0).cast(pa.int64()), batch.column(1)
+        if self.spec is None:
+            yield docs, column
+            return
+        at = 0
+        for ids in encoder_for(self.spec)(column, self.end):
+            yield docs.slice(at, len(ids)), ids
+            at += len(ids)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = file_system(self.path)
@@ -229,8 +241,7 @@ class _Writer(DataSourceArrowWriter):
             waiting.clear()
             held = 0
 
-        for batch in iterator:
-            docs, column = batch.column(0).cast(pa.int64()), batch.column(1)
+        for docs, column in (part for batch in iterator for part in self._lists(batch)):
             lengths = np.asarray(column.value_lengths().fill_null(0), np.int64)
             ids = np.asarray(column.flatten())
             if len(ids) and ids.min() < 0:
@@ -304,7 +315,10 @@ class _Reader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """``token_files``: (doc_id, ids) are written in the order of the rows; (doc_id, start, n_tokens, ids) are read."""
+    """``token_files``: (doc_id, ids) or (doc_id, text) are written in the order of the rows; (doc_id, start, n_tokens, ids) are read.
+
+    Options of the writer: ``file_tokens``; for texts ``tokenizer``, the path of its JSON on the driver, and ``end``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -314,7 +328,11 @@ class TokenFiles(DataSource):
         return "doc_id bigint, start bigint, n_tokens bigint, ids array<int>"
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], int(self.options.get("file_tokens", FILE_TOKENS)))
+        options = self.options
+        tokenizer = options.get("tokenizer")
+        if (tokenizer is not None) != (schema[1].dataType.typeName() == "string"):
+            raise ValueError("texts need a tokenizer, and lists of ids none")
+        return _Writer(options["path"], int(options.get("file_tokens", FILE_TOKENS)), tokenizer, int(options.get("end", 0)))
 
     def reader(self, schema) -> _Reader:
         return _Reader(self.options["path"])
@@ -327,6 +345,13 @@ def write_tokens(encoded: DataFrame, path: str, file_tokens: int = FILE_TOKENS)
     columns.write.format("token_files").option("file_tokens", file_tokens).mode("append").save(path)
 
 
+def write_texts(docs: DataFrame, path: str, tokenizer: str, end: int = 0, file_tokens: int = FILE_TOKENS) -> None:
+    """Encode ``docs`` (doc_id, text), which are in the wanted order, and write their ids in the same tasks."""
+    docs.sparkSession.dataSource.register(TokenFiles)
+    writer = docs.select(F.col("doc_id").cast("bigint"), "text").write.format("token_files").mode("append")
+    writer.options(file_tokens=file_tokens, tokenizer=tokenizer, end=end).save(path)
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(TokenFiles)
     return spark.read.format("token_files").load(path)
@@ -512,11 +537,15 @@ def checksums(tokens: DataFrame) -> DataFrame:
 def byte_bpe() -> str:
     import public_tokenizers
 
-    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def read_spec(tokenizer: str) -> str:
+    with open(tokenizer, encoding="utf-8") as file:
         return file.read()
 
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
-    write_tokens(encode(in_order(table(spark, sf_dir, "documents")), byte_bpe()), path)
+    write_texts(in_order(table(spark, sf_dir, "documents")), path, byte_bpe())
     return checksums(read_tokens(spark, path))

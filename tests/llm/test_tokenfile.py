@@ -1,4 +1,3 @@
-import io
 import zlib
 
 import numpy as np
@@ -18,7 +17,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def spec():
-    return tokenfile.byte_bpe()
+    return tokenfile.read_spec(tokenfile.byte_bpe())
 
 
 @pytest.fixture(scope="module")
@@ -48,9 +47,12 @@ def test_odd_texts_through_small_files(spark, spec, brute):
     rows = [(i, t) for i, t in enumerate([None, *ODD])]
     docs = spark.createDataFrame(rows[::-1], "doc_id int, text string").repartition(3).selectExpr("doc_id", "text", "1 AS ids", "2 AS hash", "3 AS start")
     path = fresh_path(spark, "tokens")
-    tokenfile.write_tokens(tokenfile.encode(tokenfile.in_order(docs), spec), path, file_tokens=500)
+    tokenfile.write_tokens(tokenfile.encode(tokenfile.in_order(docs), spec), path, file_tokens=60)
     assert tokenfile.manifest(path).num_rows > 5
     assert [tuple(r) for r in tokenfile.checksums(tokenfile.read_tokens(spark, path)).orderBy("start").collect()] == expected(rows, brute)
+    again = fresh_path(spark, "tokens")
+    tokenfile.write_texts(tokenfile.in_order(docs), again, tokenfile.byte_bpe())
+    assert [tuple(r) for r in tokenfile.checksums(tokenfile.read_tokens(spark, again)).orderBy("start").collect()] == expected(rows, brute)
     whole = [i for _, t in rows for i in brute(t)]
     asked = spark.createDataFrame([(0,), (len(whole) - 1,), (len(whole),), (-1,), (None,), (777,), (777,), *((i,) for i in range(0, len(whole), 37))], "position long")
     for position, found in tokenfile.tokens_at(asked, path).collect():
@@ -90,7 +92,7 @@ def test_foreign_ids(spark):
 def test_any_run_of_ids(most):
     ids = (np.random.default_rng(most).random(5000) ** 3 * most).astype(np.int64)
     data = tokenfile.file_bytes(pa.array([1, None]), np.array([4000, 1000]), ids)
-    file = tokenfile.TokenFile(pa.PythonFile(io.BytesIO(data)))
+    file = tokenfile.TokenFile(pa.BufferReader(data))
     assert file.doc_ids().to_pylist() == [1, None] and file.ends().tolist() == [4000, 5000]
     for a, b in [(0, 5000), (0, 1), (4999, 5000), (511, 513), (512, 1024), (1023, 3072), (77, 77), (4990, 6000)]:
         assert file.ids(a, b).tolist() == ids[a:b].tolist()
