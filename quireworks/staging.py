@@ -8,9 +8,15 @@ executors, and keeps Parquet column pruning for the readers.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths, and table names where there are any, of what is staged in the innermost open :func:`scratch`.
+_HELD: ContextVar[list[tuple[str, str | None]] | None] = ContextVar("held", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder from ``spark.checkpoint.dir``, which all executors share."""
@@ -29,15 +35,54 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def discard_staged(spark: SparkSession) -> bool:
     """Delete what this application staged. Call it when the results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, application_dir(spark))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
-    spark = df.sparkSession
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end, also after an error: results must be written by then."""
+    held: list[tuple[str, str | None]] = []
+    token = _HELD.set(held)
+    try:
+        yield
+    finally:
+        _HELD.reset(token)
+        for path, table in held:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _delete(spark, path)
+
+
+def _taken(spark: SparkSession, name: str, table: str | None = None) -> str:
     path = fresh_path(spark, name)
+    if (held := _HELD.get()) is not None:
+        held.append((path, table))
+    return path
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table; with ``keep`` it outlives a :func:`scratch`."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name) if keep else _taken(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like :func:`stage`, but the written table keeps its partitioning by ``keys``.
+
+    ``df`` is spread by ``keys`` over the session's shuffle partitions, so each bucket is one file. Joins and
+    groups by ``keys`` then move the other side only.
+    """
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", _taken(spark, name, table)).bucketBy(buckets, *keys).saveAsTable(table)
+    return spark.table(table)
