@@ -66,7 +66,7 @@ def test_blocks_join_spans_and_lines(spark):
 def test_header_flag(spark, size, font, length, expected):
     body = [[("b", 10.0, "T")] for _ in range(5)]
     spans = spans_of(spark, {1: [(0, 0, 0, 0, [[("h" * length, size, font)]]), (0, 1, 0, 20, body)]})
-    blocks = layout.mark_headers(layout.in_reading_order(layout.text_blocks(spans)), spans)
+    blocks = layout.blocks_with_sections(spans)
     assert blocks.where("block_no = 0").first()["is_header"] is expected
 
 
