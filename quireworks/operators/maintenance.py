@@ -54,27 +54,37 @@ def activity_rows(summaries: DataFrame, kind: str = "summarize") -> DataFrame:
     )
 
 
-def patch(
-    base: DataFrame, patches: DataFrame, now: Column, key: str = "id", allowed: Sequence[str] = PATCHABLE, order: str | None = None
-) -> DataFrame:
-    """Apply patches: allowed columns with a value replace the old one and set ``updated_at``.
+def patched_values(patches: DataFrame, key: str = "id", allowed: Sequence[str] = PATCHABLE, order: str | None = None) -> DataFrame:
+    """(key, allowed columns): one row per key with any new value; text is trimmed.
 
-    Other columns of a patch are ignored, and a patch without any allowed value changes
-    nothing. Text is trimmed. Of several patches for a key the last one holds, by the column
-    ``order`` (by its values, if none is given or it ties); the others have no effect.
+    Of several patches for a key the last one holds, by the column ``order`` (by its values, if none is given
+    or it ties); the others have no effect.
     """
     fields = [c for c in patches.columns if c in allowed]
     if not fields:
         raise ValueError("no valid fields to update")
     texts = {f.name for f in patches.schema if f.dataType.typeName() == "string"}
     new = patches.select(
-        key, *([F.col(order).alias("_order")] if order else []), *((F.trim(F.col(c)) if c in texts else F.col(c)).alias(f"_new_{c}") for c in fields)
-    ).where(F.coalesce(*(F.col(f"_new_{c}").cast("string") for c in fields)).isNotNull())
-    last = F.max(F.struct(*(["_order"] if order else []), *(f"_new_{c}" for c in fields))).alias("_last")
-    new = new.groupBy(key).agg(last).select(key, *(F.col(f"_last._new_{c}") for c in fields))
+        key, *([F.col(order).alias("_order")] if order else []), *((F.trim(F.col(c)) if c in texts else F.col(c)).alias(c) for c in fields)
+    ).where(F.coalesce(*(F.col(c).cast("string") for c in fields)).isNotNull())
+    last = F.max(F.struct(*(["_order"] if order else []), *fields)).alias("_last")
+    return new.groupBy(key).agg(last).select(key, *(F.col(f"_last.{c}").alias(c) for c in fields))
+
+
+def patch(
+    base: DataFrame, patches: DataFrame, now: Column, key: str = "id", allowed: Sequence[str] = PATCHABLE, order: str | None = None
+) -> DataFrame:
+    """Apply patches: allowed columns with a value replace the old one and set ``updated_at``.
+
+    Other columns of a patch are ignored, and a patch without any allowed value changes
+    nothing. See :func:`patched_values` for several patches of a key.
+    """
+    new = patched_values(patches, key, allowed, order)
+    fields = [c for c in new.columns if c != key]
+    new = new.select(key, *(F.col(c).alias(f"_new_{c}") for c in fields), F.lit(True).alias("_hit"))
     changes = {c: F.coalesce(f"_new_{c}", c) for c in fields}
     changes["updated_at"] = F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))
-    return base.join(new.withColumn("_hit", F.lit(True)), key, "left").withColumns(changes).select(*base.columns)
+    return base.join(new, key, "left").withColumns(changes).select(*base.columns)
 
 
 def owner_delete(table: DataFrame, requests: DataFrame, key: str = "id", owner: str = "user_id") -> DataFrame:
