@@ -142,23 +142,12 @@ def score_sentences(
 def score_by_vectors(sentences: DataFrame, vector: str = "vector", keys: Sequence[str] = GROUP) -> DataFrame:
     """Replace ``vector`` by ``score``, its cosine to the mean vector of the sentence's text.
 
-    For vectors that an encoder supplied, see :func:`encode`. A text's vectors are
-    gathered in one row, as its sentences were before.
+    For vectors that an encoder supplied, see :func:`encode`. The mean comes from sums per dimension that
+    merge map-side, so a text may have any number of sentences; it joins them salted, so they stay spread.
     """
     others = [c for c in sentences.columns if c not in (*keys, vector)]
-    gathered = sentences.groupBy(*keys).agg(
-        F.collect_list(F.struct(*others, F.col(vector).cast("array<double>").alias(vector))).alias("_rows")
-    )
-    total = F.aggregate(
-        F.slice("_rows", F.lit(2), F.size("_rows")),
-        F.get("_rows", F.lit(0))[vector],
-        lambda acc, r: F.zip_with(acc, r[vector], lambda x, y: x + y),
-    )
-    return (
-        gathered.withColumn("_total", total)
-        .select(*keys, "_total", F.explode("_rows").alias("r"))
-        .select(*keys, *(F.col(f"r.{c}").alias(c) for c in others), F.round(vec.cosine(F.col(f"r.{vector}"), F.col("_total")), 9).alias("score"))
-    )
+    scored = cosine_to_centroid(sentences, keys, vector)
+    return scored.select(*keys, *others, F.round("score", 9).alias("score"))
 
 
 def encode(sentences: DataFrame, encoder: Column, vector: str = "vector") -> DataFrame:
@@ -246,19 +235,21 @@ def compression_percent(original_words: Column, summary_words: Column) -> Column
     return F.round((1 - F.try_divide(summary_words.cast("double"), original_words.cast("double"))) * 100, 1)
 
 
-def dense_centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+def dense_centroids(vectors: DataFrame, group: str | Sequence[str], vector: str) -> DataFrame:
     """Mean vector per group. Sums merge map-side per dimension, so large groups are no burden."""
-    by_dim = vectors.select(group, F.posexplode(vector).alias("dim", "x")).groupBy(group, "dim").agg(
+    group = [group] if isinstance(group, str) else list(group)
+    by_dim = vectors.select(*group, F.posexplode(vector).alias("dim", "x")).groupBy(*group, "dim").agg(
         F.avg(F.col("x").cast("double")).alias("text")
     )
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("dim", "text"))), lambda x: x["text"])
-    return by_dim.groupBy(group).agg(ordered.alias("centroid"))
+    return by_dim.groupBy(*group).agg(ordered.alias("centroid"))
 
 
-def cosine_to_centroid(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+def cosine_to_centroid(vectors: DataFrame, group: str | Sequence[str], vector: str) -> DataFrame:
     """Add ``score``: cosine of each vector to the centroid of its group."""
+    group = [group] if isinstance(group, str) else list(group)
     return (
-        salted_join(vectors, dense_centroids(vectors, group, vector), [group], [vector], "left")
+        salted_join(vectors, dense_centroids(vectors, group, vector), group, [vector], "left")
         .withColumn("score", vec.cosine(F.col(vector), F.col("centroid")))
         .drop("centroid")
     )

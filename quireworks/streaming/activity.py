@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,26 @@ def write_counts(counts: DataFrame, path: str, checkpoint: str) -> object:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def write_open_counts(counts: DataFrame, path: str, checkpoint: str) -> object:
+    """Write the counts of all windows that a batch changed, open ones too, under the number of the batch.
+
+    A repeated batch replaces its own rows. The table grows by what changes; see :func:`read_open_counts`.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        counts.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_open_counts(spark: SparkSession, path: str, kind: str = "event_type") -> DataFrame:
+    """(window_start, window_end, kind, n) as of the latest batch that touched each window."""
+    rows = spark.read.schema(f"window_start TIMESTAMP, window_end TIMESTAMP, {kind} STRING, n BIGINT, batch BIGINT").parquet(path)
+    return rows.groupBy("window_start", "window_end", kind).agg(F.max_by("n", "batch").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quireworks.functions import text as tx
 from quireworks.operators import evaluate, keywords, summarize
+from quireworks.staging import stage
 
 WORDS = "model data train loss layer graph token score deep learn small large fast slow wide tall".split()
 
@@ -166,3 +167,38 @@ def test_quality_band(spark, f1, band):
 def test_tokens_cover_all_scripts(spark):
     df = spark.createDataFrame([("Über-naïve x_1 Ж и слово a 12",)], "t string")
     assert df.select(tx.tokens(F.col("t")).alias("t")).first()["t"] == ["über", "naïve", "x_1", "слово", "12"]
+
+
+def test_hot_terms_take_another_way_and_nothing_changes(spark):
+    rows = [(i, " ".join(["common", "shared"] * (i % 3 + 1) + [f"word{i}", f"word{i % 7}"])) for i in range(60)] + [(60, None), (61, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    tf = stage(keywords.term_counts(texts, ["doc_id"]), "tf")
+    df = {r["term"]: r["df"] for r in tf.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    assert {"common", "shared"} <= {r["term"] for r in keywords.hot_terms(tf, 2).collect()}
+    for k in (1, 2, 500):
+        found = keywords.with_document_frequency(tf, k).collect()
+        assert len(found) == tf.count() and all(r["df"] == df[r["term"]] for r in found)
+    # a text without words counts in N
+    top = {(r["doc_id"], r["term"]): r["score"] for r in keywords.top_keywords(texts, ["doc_id"], 9).collect()}
+    assert top[(59, "common")] == round(3 * (math.log(63 / 61) + 1), 9)
+    assert keywords.top_keywords(texts.where("doc_id < 0"), ["doc_id"]).count() == 0
+
+
+def test_diverse_terms_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(d, f"t{i}", round(rng.random(), 3), [rng.random() - 0.3 for _ in range(4)]) for d in range(3) for i in range(9)]
+    rows += [(9, "b", 0.5, [1.0, 0.0]), (9, "a", 0.5, [1.0, 0.0]), (9, "zero", 0.1, [0.0, 0.0])]
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    expected = set()
+    for d in (0, 1, 2, 9):
+        left, picked = sorted(r[1:] for r in rows if r[0] == d), []
+        while left and len(picked) < 5:
+            worth = [round(0.4 * s - 0.6 * max((cosine(v, p[2]) for p in picked), default=0.0), 9) for _, s, v in left]
+            picked.append(left.pop(worth.index(max(worth))))
+            expected.add((d, picked[-1][0], len(picked)))
+    found = keywords.diverse(spark.createDataFrame(rows, "doc_id long, term string, score double, vector array<double>"), trade=0.6)
+    assert {tuple(r) for r in found.collect()} == expected
