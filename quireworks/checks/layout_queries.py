@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from quireworks.checks import planted
 from quireworks.checks.registry import query
-from quireworks.checks.sql import build, match_section, strip
+from quireworks.checks.sql import build, match_section, strip, tokens
 from quireworks.functions import text as tx
-from quireworks.operators import keywords, layout, maintenance, summarize
+from quireworks.operators import entities, keywords, layout, maintenance, summarize
 from quireworks.plans import record
 from quireworks.sources import readers, writers
 from quireworks.staging import fresh_path, stage
@@ -196,12 +196,17 @@ _RECORD_BLOCKS = dict(
         coalesce(o.overall_summary, '') AS overall_summary, coalesce(len(regexp_extract_all(o.overall_summary, '[^\\s]+')), 0) AS num_words_summary,
         coalesce(k.words, '') AS overall_keywords, coalesce(k.n, 0) AS n_keywords, c.chart AS methodology_flowchart,
         coalesce(e1.names, '') AS models, coalesce(e1.n, 0) AS n_models, coalesce(e2.names, '') AS datasets, coalesce(e2.n, 0) AS n_datasets,
-        coalesce(e3.names, '') AS metrics
+        coalesce(e3.names, '') AS metrics, coalesce(e4.names, '') AS frameworks
     FROM meta m JOIN doc_texts d USING (doc_id) LEFT JOIN overall o USING (doc_id) LEFT JOIN paper_keywords k USING (doc_id)
     LEFT JOIN charts c USING (doc_id)
     LEFT JOIN (SELECT * FROM typed WHERE type = 'models') e1 USING (doc_id)
     LEFT JOIN (SELECT * FROM typed WHERE type = 'datasets') e2 USING (doc_id)
+    LEFT JOIN (SELECT * FROM typed WHERE type = 'frameworks') e4 USING (doc_id)
     LEFT JOIN (SELECT * FROM typed WHERE type = 'metrics') e3 USING (doc_id)""",
+    both_texts="SELECT doc_id, overall_summary, substr(text, 1, 2000) AS abstract FROM records JOIN documents USING (doc_id)",
+    words_of_both=f"""SELECT doc_id, term, sum(c) AS c, sum(r) AS r FROM (
+        SELECT doc_id, unnest({tokens('overall_summary')}) AS term, 1 AS c, 0 AS r FROM both_texts
+        UNION ALL SELECT doc_id, unnest({tokens('abstract')}), 0, 1 FROM both_texts) GROUP BY ALL""",
 )
 
 
@@ -231,7 +236,7 @@ def _docs_with_entities(spark, sf_dir):
     "paper_record",
     _record_sql(
         """SELECT doc_id, title, sections_found, num_words_original, num_words_summary, overall_summary, overall_keywords,
-        methodology_flowchart, models, datasets, metrics FROM records"""
+        methodology_flowchart, models, datasets, metrics, frameworks FROM records"""
     ),
 )
 def paper_record(spark, sf_dir):
@@ -239,10 +244,46 @@ def paper_record(spark, sf_dir):
     return full.select(
         "doc_id", "title", F.array_join("sections_found", ",").alias("sections_found"), "num_words_original", "num_words_summary",
         "overall_summary", F.array_join("overall_keywords", ", ").alias("overall_keywords"), "methodology_flowchart",
-        *(F.array_join(f"entities.{t}", ", ").alias(t) for t in ("models", "datasets", "metrics")),
+        *(F.array_join(f"entities.{t}", ", ").alias(t) for t in ("models", "datasets", "metrics", "frameworks")),
     )
 
 
+_RECORD_SECTIONS = """SELECT s.doc_id, s.section, s.section_order, s.summary, coalesce(k.words, '') AS keywords
+        FROM section_summaries s LEFT JOIN section_words k ON k.doc_id = s.doc_id AND k.section = s.section"""
+
+
+@query(
+    "record_sections",
+    build(
+        _RECORD_SECTIONS, "section_summaries", "keyword_ranks", "section_words",
+        texts="SELECT * FROM long_sections",
+        keyword_input="SELECT doc_id, section, summary AS text FROM section_summaries WHERE NOT is_short",
+        section_words="SELECT doc_id, section, string_agg(term, ', ' ORDER BY rank) AS words FROM keyword_ranks WHERE rank <= 5 GROUP BY ALL",
+    ),
+)
+def record_sections(spark, sf_dir):
+    """The section summaries and section keywords of the records."""
+    full = _docs_with_entities(spark, sf_dir).select("doc_id", F.explode_outer("section_list").alias("s")).where("s IS NOT NULL")
+    return full.select("doc_id", "s.section", F.col("s.section_order").cast("bigint").alias("section_order"), "s.summary", F.array_join("s.keywords", ", ").alias("keywords"))
+
+
+@query(
+    "record_scores",
+    _record_sql(
+        """SELECT r.doc_id, n_overlap, round(n_overlap / n_candidate, 6) AS precision, round(n_overlap / n_reference, 6) AS recall FROM (
+            SELECT doc_id, sum(least(c, r)) AS n_overlap, sum(c) AS n_candidate, sum(r) AS n_reference FROM words_of_both GROUP BY doc_id
+        ) r WHERE n_candidate > 0 AND n_reference > 0""",
+        "both_texts", "words_of_both",
+    ),
+)
+def record_scores(spark, sf_dir):
+    """Each record's summary against its abstract, which the records keep beside it."""
+    abstracts = planted.documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 2000).alias("abstract_original"))
+    meta = metadata(spark, sf_dir).join(abstracts, "doc_id")
+    scored = record.scores(record.records_from_spans(planted.planted_spans(spark, sf_dir), meta))
+    return scored.select("doc_id", "n_overlap", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
 @query(
     "comparison_table",
     _record_sql(
@@ -386,6 +427,34 @@ def activity_window_counts(spark, sf_dir):
     return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+@query(
+    "activity_open_windows",
+    "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, coalesce(event_type, 'other') AS event_type, count(*) AS n FROM events GROUP BY ALL",
+)
+def activity_open_windows(spark, sf_dir):
+    """Daily windows of the event stream, those still open included: all rows are counted."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    sink = fresh_path(spark, "open-windows")
+    activity.write_open_counts(activity.window_counts(stream), sink, fresh_path(spark, "open-windows-state")).awaitTermination()
+    counts = activity.read_open_counts(spark, sink)
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query(
+    "entity_pieces",
+    build(
+        "SELECT doc_id, type, entity, freq::BIGINT AS freq, rank::INTEGER AS rank FROM entity_ranks WHERE rank <= 15",
+        "doc_texts", "entity_ranks",
+        entity_input="SELECT doc_id, full_text AS text FROM doc_texts WHERE full_text IS NOT NULL",
+    ),
+)
+def entity_pieces(spark, sf_dir):
+    """Entities of documents that are never put together: their sections come as pieces with seams."""
+    pieces = layout.with_seams(layout.section_pieces(_blocks(spark, sf_dir)))
+    return entities.rank_pieces(pieces)
+
+
 @query("stream_ingest", build("SELECT doc_id, section, section_order, text FROM sections", "sections"))
 def stream_ingest(spark, sf_dir):
     """Spans delivered as files, taken in as a stream; every file is delivered twice."""

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quireworks.checks import planted
-from quireworks.checks.registry import query
+from quireworks.checks.registry import ORACLES, query
 from quireworks.checks.sql import build
 from quireworks.functions import text as tx
-from quireworks.operators import library, maintenance
+from quireworks.operators import library, maintenance, rollup
+from quireworks.operators.paging import RankIndex
 from quireworks.plans import dashboard
+from quireworks.sources.deltas import DeltaTable
+from quireworks.sources.writers import append_rows
+from quireworks.staging import fresh_path
 
 # The moment that stands for "now" in checks.
 AS_OF = "2001-08-01 00:00:00"
@@ -147,6 +151,31 @@ def search_ilike_page(spark, sf_dir):
     return rows.select("id", "paper_title", "arxiv_id", _day("created_at").alias("created"), "total", "total_pages")
 
 
+_DEEP = """SELECT id, paper_title, strftime(created_at, '%Y-%m-%d') AS created FROM summaries
+        WHERE paper_title ILIKE '%low%' OR arxiv_id ILIKE '%low%' ORDER BY created_at DESC NULLS FIRST, id"""
+
+
+def _ranked_hits(spark, sf_dir):
+    found = planted.orders_as_summaries(spark, sf_dir).where(library.any_contains(["paper_title", "arxiv_id"], "LOW"))
+    return RankIndex(fresh_path(spark, "rank-index"), "created_at").build(found)
+
+
+@query("search_deep_page", build(f"{_DEEP} LIMIT 10 OFFSET (SELECT (count(*) // 10) * 3 // 4 * 10 FROM ({_DEEP}))", "summaries"))
+def search_deep_page(spark, sf_dir):
+    """The page three quarters down the hits, from the one range of the index that holds it."""
+    index = _ranked_hits(spark, sf_dir)
+    total = index.total(spark)
+    return index.page(spark, total // 10 * 3 // 4 + 1).select("id", "paper_title", _day("created_at").alias("created"))
+
+
+@query("search_keyset_page", build(f"{_DEEP} LIMIT 10 OFFSET (SELECT (count(*) // 10) * 3 // 4 * 10 + 10 FROM ({_DEEP}))", "summaries"))
+def search_keyset_page(spark, sf_dir):
+    """The page after that one, found by its last row."""
+    index = _ranked_hits(spark, sf_dir)
+    last = index.page(spark, index.total(spark) // 10 * 3 // 4 + 1).collect()[-1]
+    return index.after(spark, last["created_at"], last["id"]).select("id", "paper_title", _day("created_at").alias("created"))
+
+
 @query(
     "search_ilike_all",
     build(
@@ -420,3 +449,58 @@ def duplicate_key_check(spark, sf_dir):
     users = planted.table(spark, sf_dir, "customer")
     twice = users.select("c_name").unionAll(users.where("c_acctbal > 0").select("c_name")).withColumnRenamed("c_name", "email")
     return maintenance.duplicate_keys(twice, "email")
+
+
+_CHANGED = """SELECT o_orderkey AS id, o_custkey AS user_id,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'again' WHEN o_orderkey % 6 = 0 THEN o_orderstatus ELSE o_orderpriority END AS paper_title,
+        CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 6 = 0 THEN '2001-08-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS updated
+    FROM orders WHERE NOT (o_orderkey % 7 = 0 AND o_orderstatus = 'F') AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""
+
+
+def _changed(spark, sf_dir, compact):
+    """Summaries with two patches, deletions by their owners (and by others, without effect) and the deletion of some users."""
+    orders = planted.table(spark, sf_dir, "orders")
+    table = DeltaTable(fresh_path(spark, "delta-table"), patchable=("paper_title",))
+    table.create(planted.orders_as_summaries(spark, sf_dir).withColumn("updated_at", F.col("created_at")))
+    key = F.col("o_orderkey").alias("id")
+    title = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), "o_orderstatus"))  # others have no new value
+    table.patch(orders.where("o_orderkey % 3 = 0").select(key, title.alias("paper_title")), _as_of())
+    table.patch(orders.where("o_orderkey % 5 = 0").select(key, F.lit(" again ").alias("paper_title"), F.lit(-1).alias("user_id")), _as_of())
+    asked = orders.where("o_orderkey % 7 = 0")
+    owner = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(F.lit(-1).cast("bigint"))
+    table.owner_delete(asked.select(key, owner.alias("user_id")))
+    table.cascade_delete(planted.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id")))
+    if compact:
+        table.compact(spark)
+    return table.read(spark).select("id", "user_id", "paper_title", _day("updated_at").alias("updated"))
+
+
+@query("delta_changes", _CHANGED)
+def delta_changes(spark, sf_dir):
+    return _changed(spark, sf_dir, compact=False)
+
+
+@query("delta_compacted", _CHANGED)
+def delta_compacted(spark, sf_dir):
+    return _changed(spark, sf_dir, compact=True)
+
+
+def _appended_states(spark, sf_dir):
+    """The states of summaries that came in two halves."""
+    path, rows = fresh_path(spark, "user-days"), planted.summaries(spark, sf_dir)
+    for half in ("id % 2 = 0", "id % 2 = 1"):
+        append_rows(rollup.user_days(rows.where(half)), path)
+    return spark.read.parquet(path)
+
+
+@query("user_stats_from_states", ORACLES["user_summary_stats"])
+def user_stats_from_states(spark, sf_dir):
+    stats = rollup.user_stats(planted.users(spark, sf_dir), _appended_states(spark, sf_dir))
+    return stats.withColumn("avg_processing_time", F.col("avg_processing_time").cast("double")).withColumn(
+        "last_summary_date", _day("last_summary_date")
+    )
+
+
+@query("monthly_counts_from_states", ORACLES["monthly_counts"])
+def monthly_counts_from_states(spark, sf_dir):
+    return rollup.monthly_counts(rollup.merged(_appended_states(spark, sf_dir)), _as_of())

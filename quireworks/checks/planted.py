@@ -54,7 +54,7 @@ def planted_texts(spark: SparkSession, sf_dir: str, first: bool = False) -> Data
 
 
 def planted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout spans: every fourth line of a document becomes a heading, each line two spans."""
+    """Layout spans: every fourth line of a document becomes a heading, the next gets a planted sentence, each line is two spans."""
     lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     is_heading = F.col("n") % 4 == 0
     turn = (F.floor(F.col("n") / 4) % 9 + 1).cast("int")
@@ -62,7 +62,10 @@ def planted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n",
         is_heading.alias("is_heading"),
-        F.when(is_heading, F.element_at(F.array(*(F.lit(h) for h in HEADINGS)), turn)).otherwise(F.col("line")).alias("line"),
+        F.when(is_heading, F.element_at(F.array(*(F.lit(h) for h in HEADINGS)), turn))
+        .when(F.col("n") % 4 == 1, F.concat_ws(" ", "line", F.element_at(F.array(*(F.lit(p) for p in PLANTED)), ((F.col("doc_id") + F.col("n")) % 6 + 1).cast("int"))))
+        .otherwise(F.col("line"))
+        .alias("line"),
     )
     half = F.floor(F.length("line") / 2).cast("int")
     halves = F.array(
@@ -84,12 +87,17 @@ def planted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(
+    """Customers as users, and suppliers as users who never saved a summary."""
+    customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("email"),
         F.col("c_name").alias("full_name"),
         F.col("c_mktsegment").alias("bio"),
     )
+    suppliers = table(spark, sf_dir, "supplier").select(
+        (-F.col("s_suppkey")).alias("id"), F.col("s_name").alias("email"), F.col("s_name").alias("full_name"), F.lit(None).cast("string").alias("bio")
+    )
+    return customers.unionByName(suppliers)
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +122,11 @@ def orders_as_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as activity; every ninth has no type."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
         "user_id",
-        F.col("event_type").alias("activity_type"),
+        F.when(F.col("event_id") % 9 != 0, F.col("event_type")).alias("activity_type"),
         F.col("ts").cast("timestamp").alias("created_at"),
         "props",
     )

@@ -136,7 +136,11 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         "SELECT doc_id, n - 1 AS n, line FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, n)",
     ),
-    "shaped": (("lines",), f"SELECT doc_id, n, n % 4 = 0 AS is_heading, CASE WHEN n % 4 = 0 THEN {_HEADING} ELSE line END AS line FROM lines"),
+    "shaped": (
+        ("lines",),
+        f"""SELECT doc_id, n, n % 4 = 0 AS is_heading,
+            CASE WHEN n % 4 = 0 THEN {_HEADING} WHEN n % 4 = 1 THEN line || ' ' || {_PLANTED.replace("CASE doc_id % 6", "CASE (doc_id + n) % 6")} ELSE line END AS line FROM lines""",
+    ),
     "spans": (
         ("shaped",),
         """
@@ -357,7 +361,11 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
           FROM flow_edges GROUP BY doc_id) e ON n.doc_id = e.doc_id""",
     ),
     # --- tables under the names of the application
-    "users": ((), "SELECT c_custkey AS id, c_name AS email, c_name AS full_name, c_mktsegment AS bio FROM customer"),
+    "users": (
+        (),
+        """SELECT c_custkey AS id, c_name AS email, c_name AS full_name, c_mktsegment AS bio FROM customer
+        UNION ALL SELECT -s_suppkey, s_name, s_name, NULL FROM supplier""",
+    ),
     "summaries": (
         (),
         """
@@ -365,7 +373,7 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         o_totalprice::DECIMAL(10,2) AS processing_time_seconds, o_orderdate AS created_at, word_count
     FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity::BIGINT)::BIGINT AS word_count FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
     ),
-    "activity": ((), "SELECT event_id AS id, user_id, event_type AS activity_type, ts AS created_at, props FROM events"),
+    "activity": ((), "SELECT event_id AS id, user_id, CASE WHEN event_id % 9 <> 0 THEN event_type END AS activity_type, ts AS created_at, props FROM events"),
     "papers": (
         (),
         """

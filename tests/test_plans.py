@@ -11,6 +11,7 @@ import __spark_entry__ as contract
 from quireworks.checks import planted, text_queries
 from quireworks.functions.skew import salted_join
 from quireworks.operators import keywords, layout, library, summarize
+from quireworks.staging import fresh_path
 
 QUERIES = contract.queries()
 PYTHON = {"encoder_scores"}  # the encoder hook is the one place for Python code
@@ -71,14 +72,42 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "o_totalprice" not in recent
 
 
-def test_layout_shares_its_shuffles(spark):
-    """Whatever reads the page blocks twice reads one shuffle, and pages cross it once as small rows."""
-    df = layout.sections(planted.planted_spans(spark, SF_DIR))
-    df.collect()
-    final = plan_of(df).split("== Initial Plan ==")[0]
-    by_page = re.findall(r"(?<!Reused)Exchange hashpartitioning\(doc_id#\d+L?, page#\d+, \d+\), REPARTITION_BY_COL", final)
-    assert len({m for m in by_page}) == 1
-    assert "ReusedExchange" in final
+def scans_of(spark, run):
+    """How often Parquet files of a folder are scanned by all the jobs of ``run(table)``, whatever they stage."""
+    source = fresh_path(spark, "counted-source")
+    written = planted.planted_spans(spark, SF_DIR).repartition(16)
+    written.write.parquet(source)
+    before = max((int(i) for i in sql_ids(spark)), default=-1)
+    run(spark.read.parquet(source)).collect()
+    plans = [plan for i, plan in sql_ids(spark).items() if i > before]
+    name = source.rsplit("/", 1)[1]
+    return sum(len(re.findall(rf"Scan parquet .*?{name}", p)) for p in plans), plans
+
+
+def sql_ids(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    found = {}
+    it = store.executionsList().iterator()
+    while it.hasNext():
+        e = it.next()
+        found[e.executionId()] = e.physicalPlanDescription()
+    return found
+
+
+def test_layout_reads_its_spans_once(spark):
+    """Sizes, headings and texts come from one scan; later jobs read what it wrote, and blocks do not move again by page."""
+    scans, plans = scans_of(spark, layout.sections)
+    last = max(plans, key=len)
+    assert scans == 1, [p[:300] for p in plans]
+    assert "Bucketed: true" in last or "SelectedBucketsCount" in last
+
+
+def test_keywords_read_their_texts_once(spark):
+    df = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    before = set(sql_ids(spark))
+    keywords.top_keywords(df, ["doc_id"], 5).collect()
+    plans = [p for i, p in sql_ids(spark).items() if i not in before]
+    assert sum(len(re.findall(r"FileScan parquet \[doc_id#\d+L?,text#", p)) + len(re.findall(r"\(\d+\) Scan parquet *\nOutput \[2\]: \[doc_id#\d+L?, text#", p)) for p in plans) == 1
 
 
 def test_keywords_need_no_shuffle_of_tokens(spark):
