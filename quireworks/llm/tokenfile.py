@@ -52,7 +52,7 @@ FILE_TOKENS = 4_000_000
 #: Ids that a reader decodes together.
 READ_TOKENS = 1_000_000
 #: Text that an encoder takes together, pieces that the tokenizer gets in one call, and pieces that are kept.
-GROUP_BYTES, CALL, PIECES = 4 << 20, 1_000, 300_000
+GROUP_BYTES, CALL, PIECES = 4 << 20, 1_000, 200_000
 #: Bits of a continuation bitmap for each entry of its rank directory.
 RANK_BITS = 512
 _MANIFEST = "manifest.parquet"
@@ -291,8 +291,8 @@ def manifest(path: str) -> pa.Table:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, checksums: bool) -> None:
+        self.path, self.checksums = path, checksums
 
     def partitions(self) -> list[Listed]:
         listed = manifest(self.path).to_pydict()
@@ -307,25 +307,32 @@ class _Reader(DataSourceReader):
             docs, ends = file.doc_ids(), np.concatenate([[0], file.ends()])
             for first, last in slices(ends, READ_TOKENS):
                 base = int(ends[first])
-                ids = pa.array(file.ids(base, int(ends[last])).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array((ends[first : last + 1] - base).astype(np.int32)), ids)
-                starts = pa.array(ends[first:last] + partition.start)
-                counts = pa.array(np.diff(ends[first : last + 1]))
-                yield pa.RecordBatch.from_arrays([docs.slice(first, last - first), starts, counts, lists], ["doc_id", "start", "n_tokens", "ids"])
+                ids, bounds = file.ids(base, int(ends[last])), ends[first : last + 1] - base
+                columns = [docs.slice(first, last - first), pa.array(ends[first:last] + partition.start), pa.array(np.diff(bounds))]
+                if self.checksums:
+                    sums = [zlib.crc32(ids[a:b].astype("<u4", copy=False)) for a, b in zip(bounds[:-1], bounds[1:])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "start", "n_tokens", "ids"])
 
 
 class TokenFiles(DataSource):
     """``token_files``: (doc_id, ids) or (doc_id, text) are written in the order of the rows; (doc_id, start, n_tokens, ids) are read.
 
     Options of the writer: ``file_tokens``; for texts ``tokenizer``, the path of its JSON on the driver, and ``end``.
+    Of the reader: ``checksums`` gives ``ids_crc32``, of the ids as unsigned little-endian numbers, instead of the ids.
     """
 
     @classmethod
     def name(cls) -> str:
         return "token_files"
 
+    def _checksums(self) -> bool:
+        return self.options.get("checksums", "false").lower() == "true"
+
     def schema(self) -> str:
-        return "doc_id bigint, start bigint, n_tokens bigint, ids array<int>"
+        return "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if self._checksums() else "ids array<int>")
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         options = self.options
@@ -335,7 +342,7 @@ class TokenFiles(DataSource):
         return _Writer(options["path"], int(options.get("file_tokens", FILE_TOKENS)), tokenizer, int(options.get("end", 0)))
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self._checksums())
 
 
 def write_tokens(encoded: DataFrame, path: str, file_tokens: int = FILE_TOKENS) -> None:
@@ -352,9 +359,10 @@ def write_texts(docs: DataFrame, path: str, tokenizer: str, end: int = 0, file_t
     writer.options(file_tokens=file_tokens, tokenizer=tokenizer, end=end).save(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, checksums: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids), or with ``ids_crc32`` in place of the ids."""
     spark.dataSource.register(TokenFiles)
-    return spark.read.format("token_files").load(path)
+    return spark.read.format("token_files").option("checksums", checksums).load(path)
 
 
 def tokens_at(positions: DataFrame, path: str) -> DataFrame:
@@ -521,19 +529,6 @@ def in_order(docs: DataFrame) -> DataFrame:
     return keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
 
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of what ``read_tokens`` gives."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = np.asarray(ids.flatten()).astype("<u4"), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))])
-            sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return tokens.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-
-
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -548,4 +543,4 @@ def read_spec(tokenizer: str) -> str:
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     write_texts(in_order(table(spark, sf_dir, "documents")), path, byte_bpe())
-    return checksums(read_tokens(spark, path))
+    return read_tokens(spark, path, checksums=True)

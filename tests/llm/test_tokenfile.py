@@ -49,10 +49,10 @@ def test_odd_texts_through_small_files(spark, spec, brute):
     path = fresh_path(spark, "tokens")
     tokenfile.write_tokens(tokenfile.encode(tokenfile.in_order(docs), spec), path, file_tokens=60)
     assert tokenfile.manifest(path).num_rows > 5
-    assert [tuple(r) for r in tokenfile.checksums(tokenfile.read_tokens(spark, path)).orderBy("start").collect()] == expected(rows, brute)
+    assert [tuple(r) for r in tokenfile.read_tokens(spark, path, checksums=True).orderBy("start").collect()] == expected(rows, brute)
     again = fresh_path(spark, "tokens")
     tokenfile.write_texts(tokenfile.in_order(docs), again, tokenfile.byte_bpe())
-    assert [tuple(r) for r in tokenfile.checksums(tokenfile.read_tokens(spark, again)).orderBy("start").collect()] == expected(rows, brute)
+    assert [tuple(r) for r in tokenfile.read_tokens(spark, again, checksums=True).orderBy("start").collect()] == expected(rows, brute)
     whole = [i for _, t in rows for i in brute(t)]
     asked = spark.createDataFrame([(0,), (len(whole) - 1,), (len(whole),), (-1,), (None,), (777,), (777,), *((i,) for i in range(0, len(whole), 37))], "position long")
     for position, found in tokenfile.tokens_at(asked, path).collect():
