@@ -274,7 +274,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, max_bytes: int = MAX_BYTES) -> Tr
     sampled = F.lit(False) if last is None else small & (F.xxhash64("doc_id") <= last)
     marked = _candidates(_base_spans(docs.select("text", sampled.alias("sampled"))))
     known = F.array_union(F.array_union("pii_b_email", "pii_b_ip"), F.array_union("pii_b_card", "pii_b_phone"))
-    rows = marked.select("sampled", known.alias("known"), F.explode("pii_candidates").alias("c"))
+    # outer, then filtered: an inner explode would make Spark work out all candidates once more to see whether there are any
+    rows = marked.select("sampled", known.alias("known"), F.explode_outer("pii_candidates").alias("c")).where("c IS NOT NULL")
     good = F.array_contains("known", F.col("c.code"))
     counted = rows.groupBy(*(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(
         F.count("*").alias("n"), F.count_if(good).alias("good"), F.count_if("sampled").alias("n_fit"), F.count_if(good & F.col("sampled")).alias("good_fit")
