@@ -3,21 +3,29 @@
 A document is its set of distinct word shingles (``WORDS`` words each; fewer words are one shingle).
 Documents with equal sets are one class, found by a digest. For the classes' representatives, ``BANDS *
 ROWS`` universal hash minima form the signature; representatives that agree on all rows of a band meet in
-a bucket. Within a bucket nobody is paired with everybody:
-
-1. Every member is paired with up to three hubs, the same for all buckets they share (smallest hashes).
-   Pairs whose signatures agree often enough are confirmed on the full sets, and confirmed links are
-   joined into components by alternating large-star and small-star.
-2. What is left are buckets whose members are in more than one component. Their members are compared
-   by signature in tiles of bounded size, only across components and in their first common bucket.
-   Promising pairs leave a tile packed by blocks of members and are confirmed block by block.
-
-So every pair that shares a bucket has been compared, or is in one component already. A pair with
-similarity 0.75 shares no bucket with probability (1 - 0.75**4)**40 = 2.5e-7, a more similar one with
-less; agreement of a signature is required only 5 standard deviations below the threshold.
+a bucket. Of each minimum one byte is kept for comparing signatures. Within a bucket nobody is paired with
+everybody:
+
+1. Every member is paired with one hub: the smallest member of any of its buckets. Pairs whose signatures
+   agree often enough are confirmed on the full sets, and confirmed links are joined into components by
+   alternating large-star and small-star. In further rounds each member of a bucket with several components
+   is paired with a member of another one.
+2. What is left are buckets whose members are still in more than one component. Large ones are split by a
+   second band: two members are compared if they share, besides the bucket, one of the ``NEXT`` bands after
+   its own. What is larger than ``TILE`` even then is compared in tiles. Only members of different
+   components are compared, by signature.
+
+Confirmation sends each set where it is needed: the pairs are grouped by the components that they would make,
+split into chunks of bounded size, so a set travels once for most of its pairs.
+
+So nearly every pair that shares a bucket has been compared, or is in one component already. A pair with
+similarity 0.75 shares a band with probability p = 0.75**4; it shares no bucket with probability (1 - p)**40
+= 2.5e-7, and no two bands at most ``NEXT`` apart, as far as its buckets are large, with 7e-5; more similar
+pairs with less. Agreement of a signature is required only 5 standard deviations below the threshold.
 
 Hub and membership tables are small rows of longs; a hot bucket is one row on the hub side, so the join
-with it can be split. Intermediate tables are written to the shared folder.
+with it can be split. Intermediate tables are written to the shared folder and deleted when the components
+are known.
 
 Cases: null or empty text, or one without words, has an empty set, is linked with nothing and stays; rows
 without doc_id are left out, as they cannot be named; of repeated rows with one doc_id that with the
@@ -37,13 +45,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import mix, slices, table, text_bytes
-from quireworks.staging import stage
+from quireworks.staging import scratch, stage
 
 WORDS, THRESHOLD = 5, 75
-BANDS, ROWS, TILE, BLOCK = 40, 4, 256, 32
+BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
-#: A pair at the threshold agrees on fewer of the minima with a probability of about 3e-7.
-AGREE = int(HASHES * (THRESHOLD / 100) - 5 * (HASHES * (THRESHOLD / 100) * (1 - THRESHOLD / 100)) ** 0.5)
+#: Rounds with hubs; members that are compared with each other at once; bands that split a larger bucket.
+ROUNDS, TILE, NEXT = 3, 256, 8
+#: Shingles of the sets that are confirmed together, from either side.
+CHUNK = 500_000
+#: Bytes of two minima agree if the minima do, and by chance; a pair at the threshold has fewer that agree with a probability of about 3e-7.
+_EQUAL = THRESHOLD / 100 + (1 - THRESHOLD / 100) / 256
+AGREE = int(HASHES * _EQUAL - 5 * (HASHES * _EQUAL * (1 - _EQUAL)) ** 0.5)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
@@ -113,44 +126,37 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _band_keys(minima: np.ndarray) -> np.ndarray:
+    """The bucket of each band, one row per signature."""
+    x = minima.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)[None, :] + np.zeros((len(x), 1), np.uint64)
+    for r in range(ROWS):
+        key = mix(key * _ODD + x[:, :, r])
+    return key.view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         ids = batch.column("doc_id")
         for i, j in slices(offsets, 1 << 22):
             sets = shingle_sets(data, offsets[i : j + 1])
-            full = [s for s in sets if len(s)]
-            rows = iter(signatures(full))
-            signature = [next(rows).tobytes() if len(s) else b"" for s in sets]
+            minima = signatures([s for s in sets if len(s)])
+            rows = zip(_band_keys(minima), minima.astype(np.uint8))
+            pairs = [next(rows) if len(s) else (None, None) for s in sets]
             digest = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(signature, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "signature"],
-            )
+            columns = [ids.slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())]
+            columns += [pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([None if p[1] is None else p[1].tobytes() for p in pairs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands", "signature"])
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) for ``docs`` (doc_id, text); no digest for an empty set."""
-    return docs.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, digest binary, signature binary")
+    """(doc_id, n_shingles, digest, bands, signature) for ``docs`` (doc_id, text); the last three are null for an empty set."""
+    return docs.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, signature binary")
 
 
-def _band_keys(signature: np.ndarray) -> np.ndarray:
-    """The bucket of each band, one row per signature."""
-    x = signature.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD)[None, :] + np.zeros((len(x), 1), np.uint64)
-    for r in range(ROWS):
-        key = mix(key * _ODD + x[:, :, r])
-    return key.view(np.int64)
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("rep").to_numpy()
-        for start in range(0, len(ids), 2000):
-            part = batch.slice(start, 2000)
-            key = _band_keys(np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32))
-            rep = np.repeat(ids[start : start + 2000], BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(rep)], ["bucket", "rep"])
+def _bytes_of(signature_column) -> np.ndarray:
+    return np.frombuffer(b"".join(signature_column), np.uint8).reshape(-1, HASHES)
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +164,9 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
             part = batch.slice(start, 2000)
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            good = (x == y).sum(axis=1) >= AGREE
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(good)), part.column("b").filter(pa.array(good))], ["a", "b"])
+            x, y = (_bytes_of(part.column(c).to_pylist()) for c in ("sig_a", "sig_b"))
+            good = pa.array((x == y).sum(axis=1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], ["a", "b"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,78 +177,45 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc_id", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets have 100 * intersection >= THRESHOLD * union."""
-    for batch in batches:
-        good = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(x) + len(y) - len(np.union1d(x, y)) if 100 * min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)) else 0
-            good.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
-        keep = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-
 def _tile(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Promising pairs of a tile, across components, as one row for each two blocks of members.
-
-    A pair that meets in several buckets is taken in that of its first common band only.
-    """
-    rows = frame.drop_duplicates("rep").sort_values(["block", "rep"])
-    ids, labels, blocks, side = (rows[c].to_numpy() for c in ("rep", "label", "block", "part"))
-    x = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(-1, HASHES)
-    band = int(np.flatnonzero(_band_keys(x[:1])[0] == frame["bucket"].iloc[0])[0])
+    """Pairs (a, b) of a tile, of different components, whose signatures agree often enough."""
+    rows = frame.drop_duplicates("rep").sort_values("rep")
+    ids, labels, side = (rows[c].to_numpy() for c in ("rep", "label", "part"))
+    x = _bytes_of(rows["signature"])
     apart = frame["lo"].iloc[0] != frame["hi"].iloc[0]
-    found: dict[tuple, list] = {}
+    found = [np.zeros((0, 2), np.int64)]
     for i in range(len(ids)):
         other = labels != labels[i]
         other[: i + 1] = False
         if apart:
             other &= side != side[i]
         j = np.flatnonzero(other)
-        same = x[j] == x[i]
-        good = same.sum(axis=1) >= AGREE
-        first = same[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        for k in j[good][first]:
-            found.setdefault((blocks[i], blocks[k]), []).append((ids[i], ids[k]))
-    return pd.DataFrame(
-        [(a, b, np.array(pairs, np.int64).tobytes()) for (a, b), pairs in found.items()], columns=["block_a", "block_b", "pairs"]
-    ).astype({"block_a": np.int64, "block_b": np.int64})
-
-
-def _pack_sets(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    sizes = np.array([len(s) // 8 for s in frame["shingles"]], np.int64)
-    return pd.DataFrame({"block": frame["block"][:1], "ids": [frame["rep"].to_numpy(np.int64).tobytes()], "sizes": [sizes.tobytes()], "sets": [b"".join(frame["shingles"])]})
-
-
-def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of two blocks of sets that are similar enough, exactly."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = {name: column[k].as_buffer() for name, column in zip(batch.schema.names, batch.columns)}  # no copies
-            pairs = np.frombuffer(row["pairs"], np.int64).reshape(-1, 2)
-            sides = []
-            for side, which in (("a", 0), ("b", 1)):
-                ids, sizes = np.frombuffer(row[f"ids_{side}"], np.int64), np.frombuffer(row[f"sizes_{side}"], np.int64)
-                sets = dict(zip(ids.tolist(), np.split(np.frombuffer(row[f"sets_{side}"], np.uint64), np.cumsum(sizes)[:-1])))
-                asked = np.unique(pairs[:, which])
-                sides.append((asked, [sets[i] for i in asked.tolist()]))
-            (ids_a, sets_a), (ids_b, sets_b) = sides
-            at_a, at_b = np.searchsorted(ids_a, pairs[:, 0]), np.searchsorted(ids_b, pairs[:, 1])
-            size_a, size_b = (np.array([len(s) for s in sets]) for sets in (sets_a, sets_b))
-            values = np.unique(np.concatenate(sets_a + sets_b))
-            if len(pairs) > 8 and len(values) * (len(sets_a) + len(sets_b)) <= 1 << 21:
-                dense = []
-                for sets in (sets_a, sets_b):
-                    m = np.zeros((len(sets), len(values)), np.float32)
-                    for i, one in enumerate(sets):
-                        m[i, np.searchsorted(values, one)] = 1
-                    dense.append(m)
-                both = (dense[0] @ dense[1].T)[at_a, at_b].astype(np.int64)
-            else:
-                both = np.array([len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True)) for i, j in zip(at_a, at_b)], np.int64)
-            good = 100 * both >= THRESHOLD * (size_a[at_a] + size_b[at_b] - both)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[good, 0]), pa.array(pairs[good, 1])], ["a", "b"])
+        j = j[(x[j] == x[i]).sum(axis=1) >= AGREE]
+        found.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
+    return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+
+def _confirm(_: tuple, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """The pairs whose full sets have 100 * intersection >= THRESHOLD * union."""
+    nodes = sets["node"].to_numpy(np.int64)
+    order = np.argsort(nodes)
+    full = [np.frombuffer(s, np.uint64) for s in sets["shingles"].to_numpy()[order]]
+    at_a, at_b = (np.searchsorted(nodes[order], pairs[c].to_numpy(np.int64)) for c in "ab")
+    sizes = np.array([len(s) for s in full], np.int64)
+    size_a, size_b = sizes[at_a], sizes[at_b]
+    both = np.zeros(len(pairs), np.int64)
+    possible = np.flatnonzero(100 * np.minimum(size_a, size_b) >= THRESHOLD * np.maximum(size_a, size_b))
+    values = np.unique(np.concatenate(full)) if len(possible) > 8 and sizes.sum() * len(full) <= 1 << 25 else None
+    if values is not None and len(values) * len(full) <= 1 << 22:
+        dense = np.zeros((len(full), len(values)), np.float32)
+        for i, one in enumerate(full):
+            dense[i, np.searchsorted(values, one)] = 1
+        both[possible] = (dense @ dense.T)[at_a[possible], at_b[possible]].astype(np.int64)
+    else:
+        for k in possible:
+            both[k] = len(np.intersect1d(full[at_a[k]], full[at_b[k]], assume_unique=True))
+    good = 100 * both >= THRESHOLD * (size_a + size_b - both)
+    return pairs.loc[good, ["a", "b"]]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -270,70 +243,113 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _checked(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that pass the signatures and the full sets."""
-    pairs = pairs.join(signed.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a")), "a")
-    pairs = pairs.join(signed.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b")
-    pairs = stage(pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement, "a bigint, b bigint"), "pairs")
-    pairs = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(_confirm, "a bigint, b bigint")
+def _checked(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures agree often enough."""
+    for x in "ab":
+        pairs = pairs.join(signed.select(F.col("rep").alias(x), F.col("signature").alias(f"sig_{x}")), x)
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL")
-    sketched = stage(sketch(docs), "sketches")
-    repeated = not sketched.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:  # a doc_id counts once, with its smallest set
-        sketched = sketched.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "digest", "signature")).alias("s")).select("doc_id", "s.*")
-    classes = stage(sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    signed = stage(sketched.join(classes, sketched["doc_id"] == classes["rep"]).select("rep", "signature"), "signatures")
-
-    members = signed.mapInArrow(_bands, "bucket bigint, rep bigint")
-    order = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
-    hubs = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(order).alias("h1"), F.max(order).alias("h2"), F.min("rep").alias("h3")).where("size > 1")
-    hubs = hubs.select("bucket", "size", F.array("h1.rep", "h2.rep", "h3").alias("hubs"))
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The written ``pairs`` (a, b) that the full ``sets`` (doc_id, n_shingles, shingles) confirm.
+
+    Pairs are grouped by the components of all ``pairs``, and by chunks of these.
+    """
+    family = components(pairs)
+    sized = family.join(sets.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
+    parts = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("parts"))
+    placed = stage(family.join(parts, "component").select("node", "component", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("chunk")), "places")
+    for x in "ab":
+        pairs = pairs.join(placed.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("chunk").alias(f"chunk_{x}")), x)
+    keys = ["component", "low", "high"]
+    chunks = (F.least("chunk_a", "chunk_b").alias("low"), F.greatest("chunk_a", "chunk_b").alias("high"))
+    pairs = pairs.select(F.col("component_a").alias("component"), *chunks, "a", "b")
+    pairs = stage(pairs, "grouped-pairs")
+    needed = pairs.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = needed.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    members = members.select(*(F.col(k).alias(k) for k in keys), "node", "shingles")  # columns of its own, for the cogroup
+    grouped = pairs.groupBy(*keys).cogroup(members.groupBy(*keys))
+    return grouped.applyInPandas(_confirm, "a bigint, b bigint")
+
+
+def _loose(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, rep, label): members of buckets with more than one component, written."""
+    labelled = shared.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = labelled.select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return stage(labelled.join(mixed, "bucket", "left_semi"), "loose")
+
+
+def _across(loose: DataFrame, turn: int) -> DataFrame:
+    """For each member one member (a, b) of another component of one of its buckets; others in each round."""
+    chance = F.xxhash64("rep", F.lit(turn))
+    of = F.struct("label", chance.alias("chance"), "rep")
+    ends = loose.groupBy("bucket").agg(F.min(of).alias("lo"), F.max(of).alias("hi"))
+    partner = F.when(F.col("label") == F.col("lo.label"), F.col("hi.rep")).otherwise(F.col("lo.rep"))
+    met = loose.join(ends, "bucket").select("rep", partner.alias("other"))
+    chosen = met.groupBy("rep").agg(F.min(F.struct(F.xxhash64("other", F.lit(turn)).alias("chance"), "other")).alias("best"))
+    return chosen.select(F.least("rep", "best.other").alias("a"), F.greatest("rep", "best.other").alias("b")).distinct()
+
+
+def _tiles(loose: DataFrame, signed: DataFrame) -> DataFrame:
+    """(key, lo, hi, part, rep, label, signature): members that are to be compared with each other."""
+    sizes = loose.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    sized = loose.join(sizes, "bucket")
+    small = sized.where(F.col("size") <= TILE).select(F.col("bucket").alias("key"), "rep", "label")
+    second = F.expr(f"transform(sequence(1, {NEXT}), d -> xxhash64(bucket, bands[int((array_position(bands, bucket) - 1 + d) % {BANDS})]))")
+    large = sized.where(F.col("size") > TILE).join(signed.select("rep", "bands"), "rep")
+    large = large.select(F.explode(second).alias("key"), "rep", "label")
+    counts = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    split = large.join(counts.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "key")
+    both = small.withColumn("parts", F.lit(1)).unionByName(split).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    tiles = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    return tiles.join(signed.select("rep", "signature"), "rep").select("key", "lo", "hi", "part", "rep", "label", "signature")
+
+
+def _labels(docs: DataFrame, sketched: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """(node, component) of the representatives that are linked with others."""
+    signed = stage(sketched.join(classes, sketched["doc_id"] == classes["rep"]).select("rep", "n_shingles", "bands", "signature"), "signatures")
+    members = signed.select(F.explode("bands").alias("bucket"), "rep")
+    hubs = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("bucket", "lo")
     shared = stage(members.join(hubs, "bucket"), "buckets")
-    pairs = shared.select("rep", F.explode(F.array_distinct("hubs")).alias("hub")).where("rep <> hub")
-    pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    meeting = shared.select(F.col("rep").alias("doc_id")).distinct()
+    meeting = shared.groupBy(F.col("rep").alias("doc_id")).agg(F.min("lo").alias("lo"))
+    meeting = stage(meeting, "meeting")
     sets = docs.join(meeting, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id bigint, shingles binary")
     if repeated:
         chosen = F.min(F.struct(F.length("shingles"), F.unhex(F.md5("shingles")), "shingles"))
         sets = sets.groupBy("doc_id").agg(chosen["shingles"].alias("shingles"))
-    sets = stage(sets, "sets")
-    links = stage(_checked(pairs, signed, sets), "confirmed")
-    labels = stage(components(links), "components")
-
-    # Buckets whose members are in more than one component.
-    labelled = shared.select("bucket", "size", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.select("bucket", "size", "rep", F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    # Pairs of three or fewer members were all compared with hubs.
-    parts = F.ceil(F.col("size") / TILE).cast("int")
-    loose = labelled.where("size > 3").join(mixed, "bucket", "left_semi").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # Members are packed in blocks of bounded size with others of their smallest bucket, for the exact check.
-    home = loose.groupBy("rep").agg(F.min(F.struct("bucket", "parts")).alias("home"))
-    slot = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("home.parts") * (TILE // BLOCK))
-    home = stage(home.select("rep", F.xxhash64("home.bucket", slot).alias("block")), "blocks")
-    packed = home.join(sets.withColumnRenamed("doc_id", "rep"), "rep").groupBy("block").applyInPandas(_pack_sets, "block bigint, ids binary, sizes binary, sets binary")
-    tiles = loose.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).join(signed, "rep").join(home, "rep")
-    tiles = tiles.select("bucket", "lo", "hi", "part", "rep", "label", "block", "signature")
-    more = stage(tiles.groupBy("bucket", "lo", "hi").applyInPandas(_tile, "block_a bigint, block_b bigint, pairs binary"), "promising")
-    if not more.isEmpty():
-        sided = [packed.toDF(f"block_{x}", f"ids_{x}", f"sizes_{x}", f"sets_{x}") for x in "ab"]
-        blocks = more.join(sided[0], "block_a").join(sided[1], "block_b").drop("block_a", "block_b")
-        extra = stage(blocks.mapInArrow(_confirm_blocks, "a bigint, b bigint"), "confirmed")
-        # The components found so far stand in for the links among their members.
+    sets = stage(sets.withColumn("n_shingles", F.expr("length(shingles) div 8")), "sets")
+
+    pairs = meeting.where("lo <> doc_id").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"))
+    stars = pairs.where("false")
+    for turn in range(ROUNDS):
+        pairs = stage(_across(shared, turn), "across") if turn else pairs
+        more = stage(_links(stage(_checked(pairs, signed), "agreeing"), sets), "confirmed")
+        # the components found so far stand in for the links among their members
+        labels = stage(components(stars.unionByName(more)), "components")
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = stage(components(stars.unionByName(extra)), "components")
+        shared = _loose(shared, labels)
+    tiled = _tiles(shared, signed).groupBy("key", "lo", "hi").applyInPandas(_tile, "a bigint, b bigint")
+    more = stage(_links(stage(tiled.distinct(), "promising"), sets), "confirmed")
+    return stage(components(stars.unionByName(more)), "components")
+
 
-    by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    named = sketched.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL")
+    with scratch(docs.sparkSession):
+        sketched = stage(sketch(docs), "sketches")
+        repeated = not sketched.groupBy("doc_id").count().where("count > 1").isEmpty()
+        if repeated:  # a doc_id counts once, with its smallest set
+            sketched = sketched.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "digest", "bands", "signature")).alias("s")).select("doc_id", "s.*")
+        classes = stage(sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+        labels = _labels(docs, sketched, classes, repeated)
+        by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+        named = sketched.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+        component = F.coalesce("component_id", "doc_id")
+        result = named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        return stage(result, "near-duplicates", keep=True)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

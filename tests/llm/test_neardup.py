@@ -80,7 +80,7 @@ def test_tiles_find_what_hubs_miss(spark, monkeypatch):
     for i in range(300, 330):
         rows.append((i, rows[rng.randrange(300)][1] + " tail"))
     monkeypatch.setattr(neardup, "TILE", 32)
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "CHUNK", 1500)
     check(spark, rows)
 
 
