@@ -250,26 +250,32 @@ def _checked(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement, "a bigint, b bigint")
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The written ``pairs`` (a, b) that the full ``sets`` (doc_id, n_shingles, shingles) confirm.
+def _by_hub(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Pairs (a, b) of a hub a and its members, in chunks of the members of each hub."""
+    sized = pairs.join(sets.select(F.col("doc_id").alias("b"), "n_shingles"), "b")
+    parts = sized.groupBy("a").agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("parts"))
+    return pairs.join(parts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("chunk"), "a", "b"), ["hub", "chunk"]
 
-    Pairs are grouped by the components of all ``pairs``, and by chunks of these.
-    """
+
+def _by_family(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Pairs (a, b) by the components of all pairs, in chunks of the members of each on either side."""
     family = components(pairs)
     sized = family.join(sets.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
     parts = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("parts"))
     placed = stage(family.join(parts, "component").select("node", "component", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("chunk")), "places")
     for x in "ab":
         pairs = pairs.join(placed.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("chunk").alias(f"chunk_{x}")), x)
-    keys = ["component", "low", "high"]
     chunks = (F.least("chunk_a", "chunk_b").alias("low"), F.greatest("chunk_a", "chunk_b").alias("high"))
-    pairs = pairs.select(F.col("component_a").alias("component"), *chunks, "a", "b")
-    pairs = stage(pairs, "grouped-pairs")
+    return pairs.select(F.col("component_a").alias("component"), *chunks, "a", "b"), ["component", "low", "high"]
+
+
+def _links(grouped: DataFrame, keys: list[str], sets: DataFrame) -> DataFrame:
+    """The pairs (keys, a, b) that the full ``sets`` (doc_id, n_shingles, shingles) confirm, written."""
+    pairs = stage(grouped, "grouped-pairs")
     needed = pairs.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
     members = needed.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
     members = members.select(*(F.col(k).alias(k) for k in keys), "node", "shingles")  # columns of its own, for the cogroup
-    grouped = pairs.groupBy(*keys).cogroup(members.groupBy(*keys))
-    return grouped.applyInPandas(_confirm, "a bigint, b bigint")
+    return stage(pairs.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(_confirm, "a bigint, b bigint"), "confirmed")
 
 
 def _loose(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -281,14 +287,14 @@ def _loose(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(loose: DataFrame, turn: int) -> DataFrame:
-    """For each member one member (a, b) of another component of one of its buckets; others in each round."""
+    """(a, b): for each member b one member a of another component of one of its buckets; others in each round."""
     chance = F.xxhash64("rep", F.lit(turn))
     of = F.struct("label", chance.alias("chance"), "rep")
     ends = loose.groupBy("bucket").agg(F.min(of).alias("lo"), F.max(of).alias("hi"))
     partner = F.when(F.col("label") == F.col("lo.label"), F.col("hi.rep")).otherwise(F.col("lo.rep"))
     met = loose.join(ends, "bucket").select("rep", partner.alias("other"))
     chosen = met.groupBy("rep").agg(F.min(F.struct(F.xxhash64("other", F.lit(turn)).alias("chance"), "other")).alias("best"))
-    return chosen.select(F.least("rep", "best.other").alias("a"), F.greatest("rep", "best.other").alias("b")).distinct()
+    return chosen.select(F.col("best.other").alias("a"), F.col("rep").alias("b"))
 
 
 def _tiles(loose: DataFrame, signed: DataFrame) -> DataFrame:
@@ -324,14 +330,16 @@ def _labels(docs: DataFrame, sketched: DataFrame, classes: DataFrame, repeated:
     pairs = meeting.where("lo <> doc_id").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"))
     stars = pairs.where("false")
     for turn in range(ROUNDS):
-        pairs = stage(_across(shared, turn), "across") if turn else pairs
-        more = stage(_links(stage(_checked(pairs, signed), "agreeing"), sets), "confirmed")
+        pairs = _across(shared, turn) if turn else pairs
+        more = _links(*_by_hub(stage(_checked(pairs, signed), "agreeing"), sets), sets)
         # the components found so far stand in for the links among their members
         labels = stage(components(stars.unionByName(more)), "components")
         stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         shared = _loose(shared, labels)
+        if shared.isEmpty():
+            return labels
     tiled = _tiles(shared, signed).groupBy("key", "lo", "hi").applyInPandas(_tile, "a bigint, b bigint")
-    more = stage(_links(stage(tiled.distinct(), "promising"), sets), "confirmed")
+    more = _links(*_by_family(stage(tiled.distinct(), "promising"), sets), sets)
     return stage(components(stars.unionByName(more)), "components")
 
 
