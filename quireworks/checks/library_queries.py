@@ -10,6 +10,7 @@ from quireworks.checks.sql import build
 from quireworks.functions import text as tx
 from quireworks.operators import library, maintenance, rollup
 from quireworks.operators.paging import RankIndex
+from quireworks.operators.postings import Postings
 from quireworks.plans import dashboard
 from quireworks.sources.deltas import DeltaTable
 from quireworks.sources.writers import append_rows
@@ -283,6 +284,15 @@ def weighted_text_search(spark, sf_dir):
     return library.weighted_search(papers, ["red", "the", "Widget", "economy"]).select("id", "score")
 
 
+@query("postings_search", ORACLES["weighted_text_search"])
+def postings_search(spark, sf_dir):
+    """The same search from a table of postings."""
+    papers = planted.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array("p_brand", "p_type").alias("authors")
+    )
+    return Postings(fresh_path(spark, "postings")).build(papers).search(spark, ["red", "the", "Widget", "economy"])
+
+
 @query("fetch_plan_anti", "SELECT c_custkey AS arxiv_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def fetch_plan_anti(spark, sf_dir):
     papers = planted.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "arxiv_id")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quireworks.checks import planted, sql
-from quireworks.checks.registry import query
+from quireworks.checks.registry import ORACLES, query
 from quireworks.checks.sql import build
 from quireworks.functions import text as tx
 
@@ -358,3 +358,34 @@ def greedy_match(spark, sf_dir):
     both = sides.where((F.size("cand") > 0) & (F.size("ref") > 0))
     scored = evaluate.greedy_match(both, "cand", "ref")
     return scored.select("pair", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("greedy_match_tiled", ORACLES["greedy_match"])
+def greedy_match_tiled(spark, sf_dir):
+    """The same from long rows, in blocks of three vectors."""
+    vectors = planted.table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 16").alias("pair"), F.expr("int((vec_id div 8) % 2)").alias("side"), F.expr("vec_id % 8").alias("pos"), F.col("embedding").alias("vector")
+    )
+    scored = evaluate.greedy_match_tiled(vectors, block=3)
+    return scored.select("pair", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def _diverse_sql(k: int) -> str:
+    """Pick after pick: the largest worth among the terms that are left."""
+    ctes = ["cands AS MATERIALIZED (SELECT vec_id // 40 AS doc_id, vec_id AS term, (vec_id % 7) / 7.0::DOUBLE AS score, embedding::DOUBLE[] AS v FROM embeddings)"]
+    ctes.append("picked_0 AS (SELECT doc_id, term, v, 0 AS pick FROM cands WHERE false)")
+    for i in range(1, k + 1):
+        near = f"coalesce((SELECT max(list_cosine_similarity(c.v, p.v)) FROM picked_{i - 1} p WHERE p.doc_id = c.doc_id), 0.0::DOUBLE)"
+        left = f"SELECT c.*, round(0.5::DOUBLE * score - 0.5::DOUBLE * {near}, 9) AS worth FROM cands c WHERE NOT EXISTS (SELECT 1 FROM picked_{i - 1} p WHERE p.doc_id = c.doc_id AND p.term = c.term)"
+        best = f"SELECT doc_id, term, v, {i} AS pick FROM ({left}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY worth DESC, term) = 1"
+        ctes.append(f"picked_{i} AS MATERIALIZED (SELECT * FROM picked_{i - 1} UNION ALL {best})")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, term, pick FROM picked_{k}"
+
+
+@query("keyword_diverse", _diverse_sql(5))
+def keyword_diverse(spark, sf_dir):
+    """Five picks of each forty terms, for score and for being unlike the picks before; vectors stand for terms."""
+    candidates = planted.table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 40").alias("doc_id"), F.col("vec_id").alias("term"), (F.col("vec_id") % 7 / F.lit(7.0)).alias("score"), F.col("embedding").alias("vector")
+    )
+    return keywords.diverse(candidates)

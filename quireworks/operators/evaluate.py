@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireworks.functions import text as tx
 from quireworks.functions import vectors as vec
+from quireworks.functions.skew import salted_join
 
 
 def _f1(p: Column, r: Column) -> Column:
@@ -64,5 +67,41 @@ def greedy_match(pairs: DataFrame, candidate: str, reference: str) -> DataFrame:
     )
 
 
+def _best_cosines(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """For each vector of two blocks its best cosine to a vector of the other block."""
+
+    def scaled(vectors: pd.Series) -> np.ndarray:
+        x = np.array(vectors.tolist(), np.float64)
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+    cosines = scaled(left["vector"]) @ scaled(right["vector"]).T
+    rows = [(0, left["pos"], cosines.max(axis=1)), (1, right["pos"], cosines.max(axis=0))]
+    return pd.concat([pd.DataFrame({"pair": key[0], "side": side, "pos": pos.to_numpy(), "best": best}) for side, pos, best in rows])
+
+
+def greedy_match_tiled(vectors: DataFrame, block: int = 512) -> DataFrame:
+    """(pair, precision, recall, f1) from long rows (pair, side, pos, vector), side 0 the candidate, 1 the reference.
+
+    As :func:`greedy_match` for texts of any length: the vectors of a pair are never in one row. Blocks of
+    ``block`` vectors meet all blocks of the other side, each two as one matrix product, and only the best
+    cosine of each vector leaves a product. A pair without vectors on one side is left out.
+    """
+    rows = vectors.select(F.col("pair").cast("bigint"), F.col("side").cast("int"), F.col("pos").cast("bigint"), F.col("vector").cast("array<double>"))
+    sizes = rows.groupBy("pair").agg(*((F.max(F.when(F.col("side") == s, F.col("pos"))) / block).cast("int").alias(f"last_{s}") for s in (0, 1)))
+    sides = []
+    for side in (0, 1):
+        own, other = F.floor(F.col("pos") / block).cast("int"), F.explode(F.sequence(F.lit(0), F.col(f"last_{1 - side}")))
+        met = salted_join(rows.where(F.col("side") == side), sizes.where("last_0 IS NOT NULL AND last_1 IS NOT NULL"), ["pair"], ["pos"])
+        met = met.select(F.col("pair").alias("pair"), own.alias("own"), other.alias("other"), F.col("pos").alias("pos"), F.col("vector").alias("vector"))
+        low, high = ("own", "other") if side == 0 else ("other", "own")
+        sides.append(met.select("pair", F.col(low).alias("low"), F.col(high).alias("high"), "pos", "vector").groupBy("pair", "low", "high"))
+    best = sides[0].cogroup(sides[1]).applyInPandas(_best_cosines, "pair bigint, side int, pos bigint, best double")
+    means = best.groupBy("pair", "side", "pos").agg(F.max("best").alias("best")).groupBy("pair").agg(
+        F.avg(F.when(F.col("side") == 0, F.col("best"))).alias("precision"), F.avg(F.when(F.col("side") == 1, F.col("best"))).alias("recall")
+    )
+    return means.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
+
+
 def quality_band(f1: Column) -> Column:
     return F.when(f1 > 0.9, "excellent").when(f1 > 0.8, "good").when(f1 > 0.7, "moderate").otherwise("low")
