@@ -50,8 +50,8 @@ from quireworks.staging import scratch, stage
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
-#: Rounds with hubs; members that are compared with each other at once; bands that split a larger bucket.
-ROUNDS, TILE, NEXT = 3, 256, 8
+#: Rounds with hubs; members of a bucket that are paired by expressions, and that a tile compares; bands that split a larger bucket.
+ROUNDS, FEW, TILE, NEXT = 3, 32, 256, 8
 #: Shingles of the sets that are confirmed together, from either side.
 CHUNK = 500_000
 #: Bytes of two minima agree if the minima do, and by chance; a pair at the threshold has fewer that agree with a probability of about 3e-7.
@@ -205,7 +205,8 @@ def _confirm(_: tuple, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     size_a, size_b = sizes[at_a], sizes[at_b]
     both = np.zeros(len(pairs), np.int64)
     possible = np.flatnonzero(100 * np.minimum(size_a, size_b) >= THRESHOLD * np.maximum(size_a, size_b))
-    values = np.unique(np.concatenate(full)) if len(possible) > 8 and sizes.sum() * len(full) <= 1 << 25 else None
+    # one product pays if most sets are in many pairs, as in a family; with a hub each is in one
+    values = np.unique(np.concatenate(full)) if len(possible) > 4 * len(full) and sizes.sum() * len(full) <= 1 << 25 else None
     if values is not None and len(values) * len(full) <= 1 << 22:
         dense = np.zeros((len(full), len(values)), np.float32)
         for i, one in enumerate(full):
@@ -297,17 +298,22 @@ def _across(loose: DataFrame, turn: int) -> DataFrame:
     return chosen.select(F.col("best.other").alias("a"), F.col("rep").alias("b"))
 
 
-def _tiles(loose: DataFrame, signed: DataFrame) -> DataFrame:
-    """(key, lo, hi, part, rep, label, signature): members that are to be compared with each other."""
-    sizes = loose.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    sized = loose.join(sizes, "bucket")
-    small = sized.where(F.col("size") <= TILE).select(F.col("bucket").alias("key"), "rep", "label")
+def _few(sized: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in buckets of at most ``FEW`` members."""
+    gathered = sized.where(F.col("size") <= FEW).groupBy("bucket").agg(F.collect_list(F.struct("rep", "label")).alias("ms"))
+    met = "flatten(transform(ms, x -> transform(filter(ms, y -> y.rep > x.rep AND y.label <> x.label), y -> struct(x.rep AS a, y.rep AS b))))"
+    return gathered.select(F.explode_outer(F.expr(met)).alias("p")).where("p IS NOT NULL").select("p.a", "p.b").distinct()
+
+
+def _tiles(sized: DataFrame, signed: DataFrame) -> DataFrame:
+    """(key, lo, hi, part, rep, label, signature): members of larger buckets that are to be compared with each other."""
+    medium = sized.where((F.col("size") > FEW) & (F.col("size") <= TILE)).select(F.col("bucket").alias("key"), "rep", "label")
     second = F.expr(f"transform(sequence(1, {NEXT}), d -> xxhash64(bucket, bands[int((array_position(bands, bucket) - 1 + d) % {BANDS})]))")
     large = sized.where(F.col("size") > TILE).join(signed.select("rep", "bands"), "rep")
     large = large.select(F.explode(second).alias("key"), "rep", "label")
     counts = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     split = large.join(counts.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "key")
-    both = small.withColumn("parts", F.lit(1)).unionByName(split).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    both = medium.withColumn("parts", F.lit(1)).unionByName(split).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     tiles = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
     return tiles.join(signed.select("rep", "signature"), "rep").select("key", "lo", "hi", "part", "rep", "label", "signature")
@@ -338,8 +344,10 @@ def _labels(docs: DataFrame, sketched: DataFrame, classes: DataFrame, repeated:
         shared = _loose(shared, labels)
         if shared.isEmpty():
             return labels
-    tiled = _tiles(shared, signed).groupBy("key", "lo", "hi").applyInPandas(_tile, "a bigint, b bigint")
-    more = _links(*_by_family(stage(tiled.distinct(), "promising"), sets), sets)
+    sized = stage(shared.join(shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket"), "sized")
+    tiled = _tiles(sized, signed).groupBy("key", "lo", "hi").applyInPandas(_tile, "a bigint, b bigint")
+    promising = stage(tiled.unionByName(_checked(_few(sized), signed)).distinct(), "promising")
+    more = _links(*_by_family(promising, sets), sets)
     return stage(components(stars.unionByName(more)), "components")
 
 
