@@ -7,19 +7,22 @@ other separators, telephone numbers without a plus. Each candidate has a few sma
 and context. Boosted trees of depth two score it, and a threshold per kind, calibrated so that at least
 ``PRECISION`` of the candidates of all documents above it are base spans, selects what is added.
 
-The trees are fitted on candidates of a bounded sample (``SAMPLE`` documents of up to ``MAX_BYTES``,
-smallest hash of the id; a candidate is positive if the base rules have the same span), or on all if the
-sample has no positive one. The features have few values, so sample and whole are counted by feature vector
-in one pass of Spark (at most 1600 rows), and the boosting itself is arithmetic over that table on the driver.
+The trees are fitted on the candidates of all documents: positive are those that the base rules have too, and
+the base spans once more as the base rules cannot see them: addresses written out, cards with dots, telephone
+numbers without the plus, each in its own context. So the trees learn which formats and contexts surround
+personal data, not the base rules; number tables, versions and dates are what is negative. The features have
+few values, so everything is counted by feature vector in one pass of Spark (at most some thousand rows), and
+the boosting itself is arithmetic over that table on the driver.
 
 Positions come from splitting: the lengths of what lies between the matches and of the matches, added up
 by a scan in blocks, so a text with many matches stays near-linear. Patterns are possessive or
 anchored, so long runs of letters or digits cost linear time and no stack. Offsets are code points.
 
 Cases: a null text counts as empty; no match gives counts of 0, an empty ``spans`` and the hash of the
-empty string; repeated rows are judged each; an empty table gives an empty result; columns of ``docs`` that
-are named like a helper (they begin with ``pii_``) are replaced. Equal spans of a base rule and a
-generator are one span. ``redact`` replaces overlapping spans together, by the label of the first.
+empty string; repeated rows are judged each; an empty table gives an empty result; ``find_spans`` leaves out
+columns of ``docs`` that are named like its own (they begin with ``pii_``), ``redact`` gives all columns back,
+whatever their names. Equal spans of a base rule and a generator are one span. ``redact`` replaces
+overlapping spans together, by the label of the first.
 """
 
 from __future__ import annotations
@@ -66,10 +69,10 @@ _CUES = {
     "card": r"card|visa|master|amex|pay|credit|debit",
     "phone": r"call|phone|tel|mobile|fax|contact|reach",
 }
-SAMPLE, MAX_BYTES, PRECISION = 20_000, 100_000, 0.9
+PRECISION = 0.9
 TREES, RATE, CONTEXT, BLOCK = 12, 0.4, 24, 256
 #: Feature names with their number of values.
-FEATURES = {"kind": 4, "digits": 5, "marks": 5, "joined_before": 2, "joined_after": 2, "cue": 2, "valid": 2}
+FEATURES = {"kind": 4, "digits": 5, "marks": 5, "joined_before": 2, "joined_after": 2, "cue": 2, "valid": 2, "mixed": 2, "written": 2}
 
 
 @dataclass(frozen=True)
@@ -161,13 +164,16 @@ def _code(kind: Column | int, start: Column, length: Column) -> Column:
     return kind.cast("bigint") * (1 << 60) + start.cast("bigint") * (1 << 30) + length.cast("bigint")
 
 
-def _base_spans(docs: DataFrame) -> DataFrame:
-    """``pii_b_<kind>``: codes of the spans of the base rules."""
+def _base_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """``pii_b_<kind>``: codes of the spans of the base rules; with ``whole`` also ``pii_w_<kind>``, the spans themselves."""
     docs = _found(docs, BASE, _BASE_HINT, "pii_b_")
     for i, kind in enumerate(KINDS):
         kept = F.col(f"pii_b_{kind}")
         if kind != "email":
             kept = F.filter(kept, lambda s: _valid(kind, s["value"]))
+        if whole:
+            docs = docs.withColumn(f"pii_w_{kind}", kept)
+            kept = F.col(f"pii_w_{kind}")
         docs = docs.withColumn(f"pii_b_{kind}", F.transform(kept, lambda s: _code(i, s["start"], F.length(s["value"]))))
     return docs
 
@@ -186,11 +192,34 @@ def _judged(kind: str) -> Callable[[Column], Column]:
             s["after"].rlike(r"^[\p{L}\p{N}]").cast("int").alias("joined_after"),
             F.lower(s["before"]).rlike(_CUES[kind]).cast("int").alias("cue"),
             _valid(kind, s["value"]).cast("int").alias("valid"),
+            (_separators(s["value"]) > 1).cast("int").alias("mixed") if kind == "card" else F.lit(0).alias("mixed"),
+            (~F.contains(s["value"], F.lit("@"))).cast("int").alias("written") if kind == "email" else F.lit(0).alias("written"),
         )
 
     return judged
 
 
+def _separators(value: Column) -> Column:
+    """How many different characters stand between the digits."""
+    return F.size(F.array_distinct(F.filter(F.split(F.regexp_replace(value, r"[0-9]", ""), ""), lambda c: c != "")))
+
+
+def _disguised(kind: str) -> Callable[[Column], Column]:
+    """What a base span becomes so that only a generator finds it; null if it has no such form."""
+
+    def changed(s: Column) -> Column:
+        value = s["value"]
+        if kind == "email":
+            value = F.regexp_replace(F.regexp_replace(value, "@", " (at) "), r"\.", " (dot) ")
+        elif kind == "card":
+            value = F.regexp_replace(value, r"[\x20-]", ".")
+        elif kind == "phone":
+            value = F.regexp_replace(value, r"^\+", "")
+        return F.when(value != s["value"], F.struct(s["start"].alias("start"), value.alias("value"), s["before"].alias("before"), s["after"].alias("after")))
+
+    return changed
+
+
 def _candidates(docs: DataFrame) -> DataFrame:
     """``pii_candidates``: (code, features) of what the generators propose."""
     docs = _found(docs, LOOSE, _LOOSE_HINT, "pii_c_")
@@ -219,9 +248,8 @@ def _split(rows: list[tuple[dict, float, float]]) -> tuple[str, int]:
     return max(cuts, key=lambda fc: _gain(rows, *fc))
 
 
-def boost(table_rows: list[tuple[dict, int, int]], everything: list[tuple[dict, int, int]] | None = None) -> Trees:
-    """Trees from (features, candidates, positives) rows, by Newton steps on log loss; thresholds from ``everything``."""
-    everything = table_rows if everything is None else everything
+def boost(table_rows: list[tuple[dict, int, int]]) -> Trees:
+    """Trees from (features, candidates, positives) rows, by Newton steps on log loss, and thresholds."""
     total, positive = sum(r[1] for r in table_rows), sum(r[2] for r in table_rows)
     if not positive:
         return Trees(-20.0, (), (math.inf,) * len(KINDS))
@@ -245,10 +273,9 @@ def boost(table_rows: list[tuple[dict, int, int]], everything: list[tuple[dict,
             tree += [feature, cut, leaf([r for r in side if r[0][feature] <= cut]), leaf([r for r in side if r[0][feature] > cut])]
         trees.append(tuple(tree))
         scores = [s + _tree_value(tree, f) for s, (f, _, _) in zip(scores, table_rows)]
-    final = [sum((_tree_value(tree, f) for tree in trees), start) for f, _, _ in everything]
     thresholds = []
     for kind in range(len(KINDS)):
-        ranked = sorted(((s, n, good) for s, (f, n, good) in zip(final, everything) if f["kind"] == kind), reverse=True)
+        ranked = sorted(((s, n, good) for s, (f, n, good) in zip(scores, table_rows) if f["kind"] == kind), reverse=True)
         best, n, good = math.inf, 0, 0
         for at, (score, more, right) in enumerate(ranked):
             n, good = n + more, good + right
@@ -266,24 +293,23 @@ def _tree_value(tree: tuple | list, features: dict) -> float:
     return c if features[f2] <= c2 else d
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, max_bytes: int = MAX_BYTES) -> Trees:
-    """Trees from a bounded sample of ``docs`` (doc_id, text), thresholds from all of them."""
-    small = F.coalesce(F.octet_length("text") <= max_bytes, F.lit(False)) & F.col("doc_id").isNotNull()
-    picked = docs.where(small).select("doc_id").distinct().select(F.xxhash64("doc_id").alias("hash")).orderBy("hash").limit(sample)
-    last = picked.agg(F.max("hash")).first()[0]
-    sampled = F.lit(False) if last is None else small & (F.xxhash64("doc_id") <= last)
-    marked = _candidates(_base_spans(docs.select("text", sampled.alias("sampled"))))
+def fit(docs: DataFrame) -> Trees:
+    """Trees and thresholds from all of ``docs`` (text)."""
+    marked = _candidates(_base_spans(docs.select("text"), whole=True))
     known = F.array_union(F.array_union("pii_b_email", "pii_b_ip"), F.array_union("pii_b_card", "pii_b_phone"))
+    marked = marked.withColumn("pii_known", known)
+
+    def labelled(c: Column, good: Column) -> Column:
+        return F.struct(*(c[f].alias(f) for f in FEATURES), good.alias("good"))
+
+    rows = [F.transform("pii_candidates", lambda c: labelled(c, F.array_contains("pii_known", c["code"])))]
+    for kind in ("email", "card", "phone"):
+        hidden = F.filter(F.transform(f"pii_w_{kind}", _disguised(kind)), lambda s: s.isNotNull())
+        rows.append(F.transform(F.transform(hidden, _judged(kind)), lambda c: labelled(c, F.lit(True))))
     # outer, then filtered: an inner explode would make Spark work out all candidates once more to see whether there are any
-    rows = marked.select("sampled", known.alias("known"), F.explode_outer("pii_candidates").alias("c")).where("c IS NOT NULL")
-    good = F.array_contains("known", F.col("c.code"))
-    counted = rows.groupBy(*(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(
-        F.count("*").alias("n"), F.count_if(good).alias("good"), F.count_if("sampled").alias("n_fit"), F.count_if(good & F.col("sampled")).alias("good_fit")
-    )
-    found = [({f: r[f] for f in FEATURES}, r) for r in counted.orderBy(*FEATURES).collect()]
-    everything = [(f, r["n"], r["good"]) for f, r in found]
-    fitted = [(f, r["n_fit"], r["good_fit"]) for f, r in found if r["n_fit"]]
-    return boost(fitted if any(r[2] for r in fitted) else everything, everything)
+    each = marked.select(F.explode_outer(F.concat(*rows)).alias("c")).where("c IS NOT NULL")
+    counted = each.groupBy(*(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(F.count(F.lit(1)).alias("n"), F.count_if("c.good").alias("good"))
+    return boost([({f: r[f] for f in FEATURES}, r["n"], r["good"]) for r in counted.orderBy(*FEATURES).collect()])
 
 
 def _selected(model: Trees) -> Column:
@@ -343,6 +369,8 @@ def summarise(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, model: Trees) -> DataFrame:
     """``docs`` with spans in ``text`` replaced by ``<EMAIL>`` and so on; a null text stays null."""
+    names = docs.columns
+    docs = docs.toDF(*(f"kept {i}" if c.startswith("pii_") else c for i, c in enumerate(names)))
     columns = docs.columns
     found = find_spans(docs, model)
     by_place = F.array_sort(
@@ -362,7 +390,7 @@ def redact(docs: DataFrame, model: Trees) -> DataFrame:
     last = F.array_max("pii_ends")
     tail = F.substr(text, (last + 1).cast("int"), F.length(text))
     redacted = F.when(F.size("pii_spans") > 0, F.concat(F.array_join(F.transform("pii_at", piece), ""), tail)).otherwise(text)
-    return found.withColumn("text", redacted).select(columns)
+    return found.withColumn("text", redacted).select(*(F.col(f"`{c}`") for c in columns)).toDF(*names)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
