@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm.common import table
-from quireworks.staging import fresh_path
+from quireworks.staging import fresh_path, stage
 
 #: Words in the lexicon, and the longest that gets into it.
-WORDS, LONGEST = 32_768, 40
+WORDS, LONGEST = 65_536, 40
 _COUNTED = 200_000
 #: Pieces between white space that an encoder keeps with their ids.
-PIECES = 200_000
+PIECES = 400_000
 _BITS = 24
 _NONE = 1 << 62
 _SPACES = regex.compile(r"\p{White_Space}+")
@@ -336,6 +336,20 @@ class Encoder:
         return " ".join([tokens[i] for i in ids if 0 <= i < len(tokens)])
 
 
+#: The encoder of a Python worker, which Spark uses for one task after the other, by the name of its lexicon.
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoder_for(vocabulary: Vocabulary, lexicon: str | None) -> Encoder:
+    """The worker's encoder with the pieces that earlier tasks met; names of lexicons are never used twice."""
+    if lexicon is None:
+        return Encoder(vocabulary, None)
+    if lexicon not in _KEPT:
+        _KEPT.clear()
+        _KEPT[lexicon] = Encoder(vocabulary, lexicon)
+    return _KEPT[lexicon]
+
+
 def _count(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counted = WordSplitter(vocabulary), Counter()
@@ -362,10 +376,24 @@ def _count(vocabulary: Vocabulary):
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, words: int = WORDS) -> list[str]:
-    """The ``words`` most frequent words of all of ``docs`` (text); ties in alphabetical order."""
+    """About the ``words`` most frequent words of all of ``docs`` (text), most frequent first, ties in alphabetical order.
+
+    A histogram of the counts, of a few thousand rows, tells from which count on there are enough words; only
+    these come to the driver. If more than ``words`` words share the last step of the histogram, it is left out.
+    """
     counted = docs.select("text").mapInArrow(_count(vocabulary), "word string, n bigint")
-    total = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in total.orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
+    step = F.floor(F.log("n") * 100).cast("int").alias("step")
+    total = stage(counted.groupBy("word").agg(F.sum("n").alias("n")).select("word", "n", step), "words")
+    steps = total.groupBy("step").count().orderBy(F.desc("step")).collect()
+    have, last = 0, None
+    for r in steps:
+        if have >= words or r["count"] > words:
+            break
+        have, last = have + r["count"], r["step"]
+    if last is None:
+        return []
+    chosen = total.where(F.col("step") >= last).select("word", "n").collect()
+    return [r["word"] for r in sorted(chosen, key=lambda r: (-r["n"], r["word"]))[:words]]
 
 
 def send_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = WORDS) -> str:
@@ -388,7 +416,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, lexicon: str | None = None)
     """(doc_id, ids) for ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, lexicon)
+        encoder = encoder_for(vocabulary, lexicon)
         for batch in batches:
             ids = pa.array(encoder.encode(_texts(batch)), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
@@ -415,7 +443,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, lexicon: str | None = None)
         return hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, lexicon)
+        encoder = encoder_for(vocabulary, lexicon)
         decimal = [str(i) for i in range(len(vocabulary.tokens))]
         for batch in batches:
             rows = [(len(ids), sha(" ".join([decimal[i] for i in ids])), sha(encoder.decode(ids))) for ids in encoder.encode(_texts(batch))]
