@@ -7,14 +7,15 @@ state, the same on every run and after a lost executor, and any number of copies
 exploded and dealt out by a hash of (seed, id, copy), each partition sorted by it: a global shuffle.
 
 A large rate is split into equal parts of at most ``PART``, drawn independently and added up, so the
-first Poisson term does not vanish. The table of rates has one row per source; the join with it is left to
-adaptive execution, which can split a hot source, as each document meets one row.
+first Poisson term does not vanish. The table of rates has one row per source; the join with it is salted by
+document, so a hot source is dealt to ``SALTS`` tasks, and adaptive execution can split it further.
 
 Cases: a null source is a source of its own, named by the empty string in ``weights``; a null text has
 size 0 and is replicated like the others of its source; a source with size 0 has rate 1; a source that
 is not in ``weights`` has weight 0 if weights are given, and without weights all sources weigh the same;
 repeated rows count each, with the same number of copies; an empty table gives an empty result. A null
-id hashes like an empty text.
+id hashes like an empty text. ``copy_no`` of the caller is replaced; all other columns come back as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireworks.functions.skew import salted_join
 from quireworks.llm.common import table, unit_hash
 
-SEED, PART = "mix-1", 16.0
+SEED, PART, SALTS = "mix-1", 16.0, 16
 #: Terms of the distribution beyond which less than 2**-53 remains for a rate of PART.
 TERMS = 96
 
@@ -35,10 +37,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
     if weights is None:
         weighed = sizes.withColumn("weight", F.lit(1.0))
     else:
-        cases = F.lit(0.0)
-        for name, weight in weights.items():
-            cases = F.when(F.col("source_key") == name, F.lit(float(weight))).otherwise(cases)
-        weighed = sizes.withColumn("weight", cases)
+        wanted = docs.sparkSession.createDataFrame([(name, float(w)) for name, w in weights.items()], "source_key string, weight double")
+        weighed = sizes.join(wanted, "source_key", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     totals = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("chars").alias("all_chars"))
     share = F.col("weight") / F.col("all_weight")
     rate = F.when(F.col("chars") > 0, share * (F.lit(float(epochs)) * F.col("all_chars")) / F.col("chars")).otherwise(F.lit(1.0))
@@ -59,19 +59,20 @@ def _cumulated(rate: Column) -> Column:
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
     """The columns of ``docs`` (doc_id, source, text, ...) with ``copy_no`` (from 1), each document by its Poisson count, shuffled."""
-    columns = docs.columns
+    columns = [c for c in docs.columns if c != "copy_no"]
     rates = source_rates(docs, weights, epochs).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
-    rates = rates.withColumn("cumulated", _cumulated(F.col("rate") / F.col("parts")))
+    rates = rates.select("source_key", "parts", _cumulated(F.col("rate") / F.col("parts")).alias("cumulated"))
+    # the caller's columns travel in one struct, so none of them can clash with a helper
+    keyed = docs.select(F.struct(*columns).alias("row"), "doc_id", F.coalesce("source", F.lit("")).alias("source_key"))
     drawn = F.transform(
         F.sequence(F.lit(1), F.col("parts")),
         lambda part: F.size(F.filter("cumulated", lambda c: c <= unit_hash(F.lit(seed), F.col("doc_id"), part))),
     )
     copies = F.aggregate(drawn, F.lit(0), lambda a, b: a + b)
-    keyed = docs.withColumn("source_key", F.coalesce("source", F.lit("")))
-    counted = keyed.join(rates, "source_key").withColumn("copies", copies).where(F.col("copies") > 0)
-    spread = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    counted = salted_join(keyed, rates, ["source_key"], ["doc_id"], salts=SALTS).withColumn("copies", copies).where(F.col("copies") > 0)
+    spread = counted.select("row", "doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
     place = unit_hash(F.lit(seed), F.lit("place"), F.col("doc_id"), F.col("copy_no"))
-    return spread.withColumn("place", place).repartition("place").sortWithinPartitions("place").select(*columns, "copy_no")
+    return spread.withColumn("place", place).repartition("place").sortWithinPartitions("place").select("row.*", "copy_no")
 
 
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from check_oracle import rows_of
-from quireworks.llm import language, quality, topk, url_filter
+from quireworks.llm import language, mixing, quality, topk, url_filter
 from quireworks.llm.queries import ORACLES, QUERIES
 
 TEXT = {"en": "the quick brown fox and the lazy dog ", "de": "der schnelle braune Fuchs und die Hündin ", "fr": "le renard brun saute où la chienne "}
@@ -105,3 +105,15 @@ def test_pairs_in_linear_time_equal_all_pairs():
     pairs = sum(model.factors[a] @ model.factors[b] * x * y for i, (a, x) in enumerate(zip(column, value)) for b, y in list(zip(column, value))[i + 1 :])
     got = quality.raw_scores(np.zeros(3, np.int64), column, value, 1, model)[0]
     assert abs(got - (0.3 + model.linear[column] @ value + pairs)) < 1e-9
+
+
+def test_mix_keeps_columns_of_any_name_and_takes_many_weights(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}" if i % 7 else None, "x" * (i % 5), i, i, i, i, i, i) for i in range(60)], "doc_id long, source string, text string, parts int, rate int, cumulated int, copies int, place int, copy_no int")
+    weights = {f"s{i}": 1.0 for i in range(2000)} | {"": 2.0, "s1": 0.0}
+    mixed = mixing.replicate(docs, weights, epochs=2.0)
+    assert sorted(mixed.columns) == sorted(docs.columns)
+    rows = mixed.collect()
+    assert rows and all(r["parts"] == r["rate"] == r["cumulated"] == r["copies"] == r["place"] == r["doc_id"] for r in rows)
+    assert not [r for r in rows if r["source"] == "s1" and r["text"]]
+    again = {(r["doc_id"], r["copy_no"]) for r in mixing.replicate(docs.select("doc_id", "source", "text"), weights, epochs=2.0).collect()}
+    assert {(r["doc_id"], r["copy_no"]) for r in rows} == again and len(rows) == len(again)
