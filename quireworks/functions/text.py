@@ -30,6 +30,7 @@ EMAILS = r"(?<!\S)\S[^\s@]*+@\S+"
 # The look-ahead turns most positions away before the costlier test for a word border.
 FIGURE_REFS = r"(?=[fteFTE])(?iU)\b(fig|figure|table|eq)\.?\s*\p{Nd}+"
 
+# Fixed value: the form of a paper's identifier.
 PAPER_ID = r"(\d{4}\.\d{4,5}(v\d+)?)"
 
 _BREAK = "\u0001"
