@@ -61,10 +61,14 @@ def test_a_long_document_is_spread(spark):
         F.lit(0).alias("line_no"), F.lit(0).alias("span_no"), F.concat(F.lit(LONG + " "), F.col("id").cast("string")).alias("text"),
         F.lit(10.0).alias("size"), F.lit("Times").alias("font"), F.lit(0.0).alias("x0"), F.expr("double(id % 4)").alias("y0"),
     )
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one task
+    # so small a table would be one task, and its page rows sent to it
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     blocks = layout.blocks_with_sections(spans)
     sizes = [r["count"] for r in blocks.groupBy(F.spark_partition_id()).count().collect()]
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for key in settings:
+        spark.conf.unset(key)
     assert len(sizes) == 4 and max(sizes) < 0.4 * sum(sizes) and sum(sizes) == pages * 4
     assert layout.section_pieces(blocks).count() == pages
     assert blocks.agg(F.max("seq"), F.count_distinct("seq")).first()[:] == (pages * 4, pages * 4)
