@@ -5,9 +5,9 @@ import glob
 from pyspark.sql import functions as F
 from settings import SF_DIR
 
-from quireworks.checks import layout_queries
+from quireworks.checks import layout_queries, planted
 from quireworks.functions.skew import tasks_for
-from quireworks.operators import keywords, summarize
+from quireworks.operators import entities, keywords, layout, summarize
 from quireworks.staging import application_dir
 
 
@@ -41,3 +41,18 @@ def test_texts_are_taken_apart_in_a_set_number_of_tasks(spark):
     before = folders(spark, "documents")
     assert layout_queries.overall_summary(spark, SF_DIR).count() > 0
     assert len(folders(spark, "documents") - before) == 1  # their length is known before they are spread
+
+
+def test_page_rows_are_worked_out_once(spark):
+    before = folders(spark, "page-rows")
+    blocks = layout.blocks_with_sections(planted.planted_spans(spark, SF_DIR))
+    assert len(folders(spark, "page-rows") - before) == 1
+    assert blocks.where("section IS NULL").count() == 0
+
+
+def test_letters_are_looked_up_only_where_there_are_any(spark):
+    docs = spark.createDataFrame([(1, "We use İmageNet and PyTorch"), (2, "We use ImageNet and Pytorch"), (3, None)], "doc_id int, text string")
+    found = entities.rank(docs)
+    assert "RLIKE" in plan_of(found)
+    names = {(r["doc_id"], r["entity"]) for r in found.collect()}
+    assert {(1, "PyTorch"), (2, "ImageNet"), (2, "Pytorch")} <= names
