@@ -8,6 +8,7 @@ from quireworks.checks import planted
 from quireworks.checks.registry import query
 from quireworks.checks.sql import build, match_section, strip, tokens
 from quireworks.functions import text as tx
+from quireworks.functions.skew import tasks_for
 from quireworks.operators import entities, keywords, layout, maintenance, summarize
 from quireworks.plans import record
 from quireworks.sources import readers, writers
@@ -456,13 +457,14 @@ def entity_pieces(spark, sf_dir):
 
 @query("stream_ingest", build("SELECT doc_id, section, section_order, text FROM sections", "sections"))
 def stream_ingest(spark, sf_dir):
-    """Spans delivered as files, taken in as a stream; every file is delivered twice."""
+    """Spans delivered as files, as many as the texts ask for, taken in as a stream in two batches; every file is delivered twice."""
     landing = fresh_path(spark, "landing")
-    spans = planted.planted_spans(spark, sf_dir).repartition(4, "doc_id").sortWithinPartitions("doc_id", "line_no")
+    files = max(4, tasks_for(planted.table(spark, sf_dir, "documents")))
+    spans = planted.planted_spans(spark, sf_dir).repartition(files, "doc_id").sortWithinPartitions("doc_id", "line_no")
     spans.write.parquet(landing)
     spans.write.mode("append").parquet(landing)
     sink = fresh_path(spark, "ingested")
-    stream = ingest.read_span_stream(spark, landing, files_per_batch=5)
+    stream = ingest.read_span_stream(spark, landing, files_per_batch=files * 5 // 4)
     ingest.ingest(stream, sink, fresh_path(spark, "ingest-state")).awaitTermination()
     docs = spark.read.schema("doc_id BIGINT, sections ARRAY<STRUCT<section: STRING, text: STRING>>").parquet(sink)
     return _long(layout.section_rows(docs), "section_order")

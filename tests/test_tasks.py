@@ -56,3 +56,11 @@ def test_letters_are_looked_up_only_where_there_are_any(spark):
     assert "RLIKE" in plan_of(found)
     names = {(r["doc_id"], r["entity"]) for r in found.collect()}
     assert {(1, "PyTorch"), (2, "ImageNet"), (2, "Pytorch")} <= names
+
+
+def test_spans_are_delivered_in_as_many_files_as_their_length_asks_for(spark):
+    before = folders(spark, "landing")
+    taken = layout_queries.stream_ingest(spark, SF_DIR)
+    assert taken.select("doc_id", "section").distinct().count() == taken.count() > 0
+    (landing,) = folders(spark, "landing") - before
+    assert len(glob.glob(f"{landing}/*.parquet")) == 2 * max(4, spark.sparkContext.defaultParallelism)
