@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.functions.lexicon import STOP_WORDS
+from quireworks.functions.skew import tasks_for
 from quireworks.operators.library import title_tokens
+from quireworks.staging import stage
 
 
 @dataclass(frozen=True)
@@ -27,10 +29,16 @@ class Postings:
     def build(
         self, papers: DataFrame, title: str = "title", authors: str = "authors", weights: tuple[float, float] = (1.0, 0.4), key: str = "id"
     ) -> Postings:
-        """Words of title and authors with their weights added up; stop words are left out."""
+        """Words of title and authors with their weights added up; stop words are left out.
+
+        The papers are spread by id before they are taken apart, over as many tasks as their length asks for, so
+        their words are weighed in place. The weighed words are written, as they are read twice.
+        """
+        tasks = tasks_for(papers.select(F.concat_ws(" ", title, F.array_join(authors, " ")).alias("text")))
         parts = [F.transform(title_tokens(c), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in ((F.col(title), weights[0]), (F.array_join(authors, " "), weights[1]))]
-        words = papers.select(F.col(key).cast("bigint").alias("id"), F.explode(F.concat(*parts)).alias("p")).where(~F.col("p.term").isin(list(STOP_WORDS)))
-        weighed = words.groupBy("p.term", "id").agg(F.round(F.sum("p.w"), 6).alias("weight"))
+        spread = papers.withColumn("id", F.col(key).cast("bigint")).select("id", title, authors).repartition(tasks, "id")
+        words = spread.select("id", F.explode(F.concat(*parts)).alias("p")).where(~F.col("p.term").isin(list(STOP_WORDS)))
+        weighed = stage(words.groupBy("p.term", "id").agg(F.round(F.sum("p.w"), 6).alias("weight")), "weighed-words")
         many = weighed.select("id").distinct().agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / self.block)).alias("n")).scalar()
         blocks = (
             weighed.withColumn("part", F.pmod(F.xxhash64("id"), many))

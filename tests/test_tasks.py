@@ -8,7 +8,8 @@ from settings import SF_DIR
 from quireworks.checks import layout_queries, planted
 from quireworks.functions.skew import tasks_for
 from quireworks.operators import entities, keywords, layout, summarize
-from quireworks.staging import application_dir
+from quireworks.operators.postings import Postings
+from quireworks.staging import application_dir, fresh_path
 
 
 def plan_of(df):
@@ -64,3 +65,11 @@ def test_spans_are_delivered_in_as_many_files_as_their_length_asks_for(spark):
     assert taken.select("doc_id", "section").distinct().count() == taken.count() > 0
     (landing,) = folders(spark, "landing") - before
     assert len(glob.glob(f"{landing}/*.parquet")) == 2 * max(4, spark.sparkContext.defaultParallelism)
+
+
+def test_papers_are_spread_before_their_words_are_weighed(spark):
+    papers = spark.createDataFrame([(1, "Red widget red", ["economy"]), (2, "blue", ["red"]), (3, None, None), (None, "red", None)], "id int, title string, authors array<string>")
+    before = folders(spark, "weighed-words")
+    found = Postings(fresh_path(spark, "postings")).build(papers).search(spark, ["red", "economy"])
+    assert [(r["id"], r["score"]) for r in found.where("id IS NOT NULL").collect()] == [(1, 2.4), (2, 0.4)]
+    assert len(folders(spark, "weighed-words") - before) == 1
