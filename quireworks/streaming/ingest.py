@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireworks.functions.skew import buckets_for
 from quireworks.operators import entities, layout
 from quireworks.sources import schemas
 from quireworks.staging import scratch, stage
@@ -62,7 +63,8 @@ def sort_out(spans: DataFrame, entries: Callable[[DataFrame], DataFrame]) -> tup
 
 def process_batch(taken: DataFrame, mode: str = "strict") -> DataFrame:
     """Sections and entities of the documents in ``taken`` (spans with ``content``)."""
-    docs = layout.with_full_text(layout.document_sections(layout.blocks_with_sections(taken.drop("content"), mode)))
+    blocks = layout.blocks_with_sections(taken.drop("content"), mode, tasks=buckets_for(taken))  # written already
+    docs = layout.with_full_text(layout.document_sections(blocks))
     found = entities.with_entities(docs, "full_text").select(
         "doc_id", "sections", "sections_found", entities.entity_names().alias("entities")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from settings import SF_DIR
 
 from quireworks.checks import layout_queries, planted
-from quireworks.functions.skew import tasks_for
+from quireworks.functions.skew import buckets_for, tasks_for
 from quireworks.operators import entities, keywords, layout, summarize
 from quireworks.operators.postings import Postings
 from quireworks.staging import application_dir, fresh_path
@@ -73,3 +73,43 @@ def test_papers_are_spread_before_their_words_are_weighed(spark):
     found = Postings(fresh_path(spark, "postings")).build(papers).search(spark, ["red", "economy"])
     assert [(r["id"], r["score"]) for r in found.where("id IS NOT NULL").collect()] == [(1, 2.4), (2, 0.4)]
     assert len(folders(spark, "weighed-words") - before) == 1
+
+
+def test_number_of_buckets_follows_the_length(spark):
+    texts = copies(spark)
+    length = len(texts.first()["text"])
+    assert buckets_for(texts, chars=length) == 200
+    assert buckets_for(texts, chars=1) == 200 * length  # no more than there are characters
+    assert buckets_for(texts.where("doc_id < 0")) == max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def test_pages_are_dealt_by_their_length_not_by_the_session(spark):
+    spans = planted.planted_spans(spark, SF_DIR)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        at_least = spark.sparkContext.defaultParallelism
+        buckets = []
+        for tasks in (23, None):
+            known = folders(spark, "blocks")
+            blocks = layout.blocks_with_sections(spans, tasks=tasks)
+            (written,) = folders(spark, "blocks") - known
+            buckets.append(len(glob.glob(f"{written}/*.parquet")))
+            assert "SelectedBucketsCount: " in plan_of(blocks)  # few page rows do not make the blocks move
+        assert buckets == [23, at_least]  # a file each; two before
+        docs = layout.document_sections(blocks)
+        assert "REPARTITION_BY_NUM" in plan_of(docs) and "REPARTITION_BY_COL" not in plan_of(docs)
+        found = docs.select("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found) == len(set(found)) == spans.select("doc_id").distinct().count()
+
+
+def test_a_scan_over_many_pages_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_PAGES", 10)
+    pages = spark.range(100).selectExpr("id % 7 AS doc_id", "cast(id AS int) AS page", "1L AS n_blocks", "if(id % 5 = 0, 'results', NULL) AS closing")
+    carried = layout.page_carry(pages)
+    assert "doc_id#" in plan_of(carried) and ", 10), REPARTITION_BY_NUM" in plan_of(carried)
+    rows = {(r["doc_id"], r["page"]): r for r in carried.collect()}
+    assert len(rows) == 100 and rows[0, 7]["page_offset"] == 1 and rows[0, 7]["open_section"] == "results"
+    assert rows[1, 1]["page_offset"] == 0 and rows[1, 1]["open_section"] == "introduction"
