@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quireworks.functions.skew import salted_join
 from quireworks.llm.common import table, unit_hash
+from quireworks.staging import stage
 
 SEED, PART, SALTS = "mix-1", 16.0, 16
 #: Terms of the distribution beyond which less than 2**-53 remains for a rate of PART.
@@ -32,17 +33,18 @@ TERMS = 96
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
-    """(source_key, rate) for ``docs`` (source, text); weights are relative to each other."""
+    """(source_key, rate) for ``docs`` (source, text), whose lengths are read when this is called; weights are relative to each other."""
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source_key")).agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("double").alias("chars"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.lit(1.0))
     else:
         wanted = docs.sparkSession.createDataFrame([(name, float(w)) for name, w in weights.items()], "source_key string, weight double")
         weighed = sizes.join(wanted, "source_key", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    totals = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("chars").alias("all_chars"))
-    share = F.col("weight") / F.col("all_weight")
-    rate = F.when(F.col("chars") > 0, share * (F.lit(float(epochs)) * F.col("all_chars")) / F.col("chars")).otherwise(F.lit(1.0))
-    return weighed.join(totals).select("source_key", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    weighed = stage(weighed, "source-weights")  # a row per source; the totals need no join with them
+    all_weight, all_chars = (weighed.agg(F.sum(c)).scalar() for c in ("weight", "chars"))
+    share = F.col("weight") / all_weight
+    rate = F.when(F.col("chars") > 0, share * (F.lit(float(epochs)) * all_chars) / F.col("chars")).otherwise(F.lit(1.0))
+    return weighed.select("source_key", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def _cumulated(rate: Column) -> Column:

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,21 +77,17 @@ def best_in_block(query: np.ndarray, own: int, ids: np.ndarray, postings: list[t
 
 
 def _score(k: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids, block = _unpack(row.ids, row.vectors, row.width)
-                rows = [np.flatnonzero(block[:, t]) for t in range(row.width)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                ids, block = _unpack(row["ids"], row["vectors"], row["width"])
+                rows = [np.flatnonzero(block[:, t]) for t in range(row["width"])]
                 postings = [(r, np.ascontiguousarray(block[r, t])) for t, r in enumerate(rows)]
-                asked, queries = _unpack(row.q_ids, row.q_vectors, row.q_width)
+                asked, queries = _unpack(row["q_ids"], row["q_vectors"], row["q_width"])
                 found = [best_in_block(q, own, ids, postings, k) for own, q in zip(asked, queries)]
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(asked, [len(f[0]) for f in found]),
-                        "vec_id": np.concatenate([f[0] for f in found]),
-                        "score": np.concatenate([f[1] for f in found]),
-                    }
-                )
+                columns = (np.repeat(asked, [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -107,7 +104,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     blocks = blocks.withColumn("q_block", numbered(n_asked))
     asked = asked.toDF("q_block", "q_ids", "q_vectors", "q_width").withColumn("block", numbered(n_blocks))
     pairs = blocks.join(asked, ["block", "q_block"])
-    found = pairs.mapInPandas(_score(k), "query_id bigint, vec_id bigint, score bigint")
+    found = pairs.mapInArrow(_score(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
