@@ -37,6 +37,8 @@ from quireworks.llm.common import held_out, slices, table, text_bytes
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 12
 PER_LANGUAGE, SAMPLE_ROWS = 400, 400 * 64
 LOW, SHARE = 0.02, 0.25
+#: Texts counted together at most: each takes a row of ``DIMENSIONS`` however short it is.
+ROWS_TOGETHER = 128
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -133,9 +135,11 @@ def _long_counts(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) ->
 def _counted(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """Counts of consecutive rows [i, j) of texts."""
     data, offsets = text_bytes(pc.utf8_lower(text))
-    for i, j in slices(offsets, 1 << 18):
-        part = offsets[i : j + 1]
-        yield i, j, _long_counts(data, part) if j == i + 1 else counts(data, part)
+    for first, last in slices(offsets, 1 << 18):
+        for i in range(first, last, ROWS_TOGETHER):
+            j = min(last, i + ROWS_TOGETHER)
+            part = offsets[i : j + 1]
+            yield i, j, _long_counts(data, part) if j == i + 1 else counts(data, part)
 
 
 def _packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,11 @@ def test_mix_keeps_columns_of_any_name_and_takes_many_weights(spark):
     assert not [r for r in rows if r["source"] == "s1" and r["text"]]
     again = {(r["doc_id"], r["copy_no"]) for r in mixing.replicate(docs.select("doc_id", "source", "text"), weights, epochs=2.0).collect()}
     assert {(r["doc_id"], r["copy_no"]) for r in rows} == again and len(rows) == len(again)
+
+
+def test_short_texts_are_counted_few_at_a_time():
+    texts = pa.array([f"ab{chr(97 + i % 26)}" for i in range(1000)])
+    parts = list(language._counted(texts))
+    assert max(j - i for i, j, _ in parts) <= language.ROWS_TOGETHER and [i for i, _, _ in parts[1:]] == [j for _, j, _ in parts[:-1]]
+    alone = np.concatenate([x for i in range(1000) for _, _, x in language._counted(texts.slice(i, 1))])
+    assert np.array_equal(np.concatenate([x for _, _, x in parts]), alone)
