@@ -36,6 +36,8 @@ from quireworks.staging import fresh_path, stage
 
 #: Documents of its language that a term must be in; terms of a model; shares a task compares at once; terms reported.
 LEAST_DOCS, MODEL_TERMS, BLOCK_CELLS, TOP = 10, 2_000_000, 50_000, 10
+#: Bytes of text whose terms are told apart together; the terms take some twenty times that room for a while.
+TEXT_BYTES = 2 << 20
 #: CountVectorizer takes this many terms at most: all of a model.
 ALL_TERMS = 2**31 - 1
 SCALE = 1_000_000_000
@@ -46,12 +48,12 @@ _IN_TERM[0x41:0x5B] = _IN_TERM[0x61:0x7B] = _IN_TERM[0x80:] = True
 
 
 def terms_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.DictionaryArray]]:
-    """For some MB of consecutive texts: the first row, the rows' numbers of terms, and the terms.
+    """For about two MB of consecutive texts: the first row, the rows' numbers of terms, and the terms.
 
     A term is a run of letters A to Z and characters beyond ASCII; only A to Z are made small.
     """
     data, offsets = text_bytes(pc.ascii_lower(texts))
-    for first, last in slices(offsets, 8 << 20):
+    for first, last in slices(offsets, TEXT_BYTES):
         part, rows = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         inside = _IN_TERM[part]
         cut = np.zeros(len(part) + 1, bool)  # a run ends at a row's end
@@ -66,7 +68,7 @@ def terms_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.DictionaryAr
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, term) once for some MB of text."""
+    """(lang, term) once for about two MB of text."""
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
         for first, counts, terms in terms_of(batch.column("text")):

@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from quireworks.llm import divergence
@@ -81,3 +82,10 @@ def test_shares_of_huge_counts_are_exact(spark):
     n, total, kept = 9 * 10**14, 10**15, 10**6
     found = spark.range(1).selectExpr(f"{n}L AS n", f"{total}L AS total", f"{kept}L AS kept").selectExpr(divergence._share("n", "total")).first()[0]
     assert found == 1 + 10**9 * (n + 2) // (total + 2 * kept)
+
+
+def test_terms_are_told_apart_two_megabytes_at_a_time():
+    texts = pa.array(["one two Three " * 20_000] * 12)  # 280 kB each
+    parts = list(divergence.terms_of(texts))
+    assert [(first, len(counts)) for first, counts, _ in parts] == [(0, 7), (7, 5)]
+    assert all((counts == 60_000).all() and set(terms.dictionary.to_pylist()) == {"one", "two", "three"} for _, counts, terms in parts)
