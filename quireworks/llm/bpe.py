@@ -4,7 +4,7 @@ The most frequent words of the corpus (counted over all of it) are merged once a
 minimal acyclic transducer: equal suffixes share states, and the numbers on the arcs of a word add up
 to its place in a table of id sequences. The arrays are written to one file, which every executor fetches
 once and maps into memory. A batch's distinct words walk the automaton together, one byte per step;
-words that are not in it are merged exactly, so the lexicon decides only the speed. No word goes across
+words that are not in it are merged exactly, many at a time, so the lexicon decides only the speed. No word goes across
 white space, so texts are taken apart at white space first and each distinct piece is split into words once.
 
 Text is prepared as the vocabulary file says: NFC, white space to one blank, lower case (letter by
@@ -42,8 +42,8 @@ from quireworks.staging import fresh_path, stage
 #: Words in the lexicon, and the longest that gets into it.
 WORDS, LONGEST = 65_536, 40
 _COUNTED = 200_000
-#: Pieces between white space that an encoder keeps with their ids.
-PIECES = 400_000
+#: Pieces between white space that an encoder keeps with their ids; words that are merged together.
+PIECES, TOGETHER = 400_000, 4096
 _BITS = 24
 _NONE = 1 << 62
 _SPACES = regex.compile(r"\p{White_Space}+")
@@ -66,6 +66,8 @@ class Vocabulary:
     final: list[int] = field(default_factory=list)
     pairs: dict[int, int] = field(default_factory=dict)
     id_of: list[int] = field(default_factory=list)
+    #: The same as arrays, the pairs in ascending order.
+    arrays: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         letters = byte_letters()
@@ -74,6 +76,8 @@ class Vocabulary:
         self.inner, self.final = [number[x] for x in letters], [number[x] for x in ends]
         self.pairs = {number[a] << _BITS | number[b]: rank << _BITS | number[a + b] for (a, b), rank in self.ranks.items()}
         self.id_of = [self.ids.get(x, -1) for x in number]
+        self.arrays = {name: np.array(getattr(self, name), np.int64) for name in ("inner", "final", "id_of")}
+        self.arrays["pair"], self.arrays["becomes"] = np.array(sorted(self.pairs.items()), np.int64).reshape(-1, 2).T.copy()
         everything = {**self.ids, **self.special}
         self.tokens = [""] * (max(everything.values(), default=-1) + 1)
         for token, i in everything.items():
@@ -143,6 +147,71 @@ def _merge_by_heap(symbols: list[int], pairs: dict[int, int]) -> list[int]:
     return [n for n in symbols if n >= 0]
 
 
+def merge_words(words: list[str], vocabulary: Vocabulary) -> list[list[int]]:
+    """The ids of each word, as :func:`merge_word`; words of up to ``LONGEST`` bytes take their merges together, one per step."""
+    raw = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    out: list[list[int]] = [[]] * len(words)
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        out[i] = merge_word(words[i], vocabulary)
+    by_size = np.argsort(sizes, kind="stable")
+    by_size = by_size[(sizes[by_size] > 0) & (sizes[by_size] <= LONGEST)]
+    for at in range(0, len(by_size), TOGETHER):
+        chosen = by_size[at : at + TOGETHER]
+        ids, ends = _merge_together(b"".join([raw[i] for i in chosen]), sizes[chosen], vocabulary.arrays)
+        for i, start, end in zip(chosen.tolist(), [0, *ends], ends):
+            out[i] = ids[start:end]
+    return out
+
+
+def _merge_together(data: bytes, sizes: np.ndarray, arrays: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
+    """The ids of all words of ``data``, which are ``sizes`` long, and where each word's ids end.
+
+    A row holds the symbols of a word, each at the place of its first byte, with the places ``before`` and
+    ``after``; ``waiting`` has what the pair that starts there becomes, so its least first place is merged next.
+    """
+    pair, becomes = arrays["pair"], arrays["becomes"]
+
+    def found(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(pair):
+            return np.full(len(a), _NONE)
+        key = a << _BITS | b
+        at = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+        return np.where(pair[at] == key, becomes[at], _NONE)
+
+    n, width = len(sizes), int(sizes.max()) + 1
+    places = np.arange(width)
+    alive = places < sizes[:, None]
+    letters = np.frombuffer(data, np.uint8)
+    symbols = np.zeros((n, width), np.int64)
+    symbols[alive] = arrays["inner"][letters]
+    symbols[np.arange(n), sizes - 1] = arrays["final"][letters[np.cumsum(sizes) - 1]]
+    waiting = np.full((n, width), _NONE)
+    paired = alive[:, 1:]
+    waiting[:, :-1][paired] = found(symbols[:, :-1][paired], symbols[:, 1:][paired])
+    before, after = np.tile(places - 1, (n, 1)), np.tile(places + 1, (n, 1))
+    rows = np.arange(n)
+    while len(rows):
+        i = waiting[rows].argmin(axis=1)
+        least = waiting[rows, i]
+        left = least < _NONE
+        rows, i, new = rows[left], i[left], least[left] & ((1 << _BITS) - 1)
+        j = after[rows, i]
+        k = after[rows, j]
+        symbols[rows, i], after[rows, i] = new, k
+        alive[rows, j], waiting[rows, j], waiting[rows, i] = False, _NONE, _NONE
+        more = np.flatnonzero(k < sizes[rows])
+        at = rows[more], k[more]
+        before[at] = i[more]
+        waiting[rows[more], i[more]] = found(new[more], symbols[at])
+        p = before[rows, i]
+        less = np.flatnonzero(p >= 0)
+        at = rows[less], p[less]
+        waiting[at] = found(symbols[at], new[less])
+    ids = np.where(alive, arrays["id_of"][symbols], -1)
+    return ids[ids >= 0].tolist(), np.cumsum((ids >= 0).sum(axis=1)).tolist()
+
+
 class WordSplitter:
     """Prepares a text and splits it into words; special tokens come out as they are."""
 
@@ -318,11 +387,12 @@ class Encoder:
         words = [w for w in distinct if isinstance(w, str)]
         known: dict = {w: [self.vocabulary.special[w[0]]] for w in distinct if not isinstance(w, str)}
         numbers = look_up(self.lexicon, words) if self.lexicon else np.full(len(words), -1)
-        for word, number in zip(words, numbers.tolist()):
-            if number < 0:
-                known[word] = merge_word(word, self.vocabulary)
-            else:
-                known[word] = self.lexicon["ids"][self.lexicon["start"][number] : self.lexicon["start"][number + 1]].tolist()
+        missing = [w for w, number in zip(words, numbers.tolist()) if number < 0]
+        known.update(zip(missing, merge_words(missing, self.vocabulary)))
+        if len(missing) < len(words):
+            there, start = np.flatnonzero(numbers >= 0), self.lexicon["start"]
+            for i, lo, hi in zip(there.tolist(), start[numbers[there]].tolist(), start[numbers[there] + 1].tolist()):
+                known[words[i]] = self.lexicon["ids"][lo:hi].tolist()
         for piece, part in zip(fresh, parts):
             self.known[piece] = tuple(chain.from_iterable(map(known.__getitem__, part)))
         for row in group:
@@ -398,7 +468,8 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, words: int = WORDS)
 
 def send_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = WORDS) -> str:
     """Compile the lexicon of ``docs``, write it to the shared folder and have the executors fetch it; returns its file name."""
-    entries = {w: merge_word(w, vocabulary) for w in frequent_words(docs, vocabulary, words)}
+    frequent = frequent_words(docs, vocabulary, words)
+    entries = dict(zip(frequent, merge_words(frequent, vocabulary)))
     spark = docs.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh_path(spark, "lexicon") + ".bin")
     file = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)

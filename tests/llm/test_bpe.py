@@ -59,6 +59,15 @@ def test_both_ways_of_merging_are_equal(vocabulary):
             assert bpe._merge_by_scan(list(symbols), vocabulary.pairs) == bpe._merge_by_heap(list(symbols), vocabulary.pairs)
 
 
+def test_words_merged_together_are_as_merged_alone(vocabulary):
+    rng = np.random.default_rng(4)
+    words = ["", "é", "日本語", "a", "x" * 41, "aaaa" * 10, "\x00", "İstanbul", *("".join(rng.choice(list("aaaehinorsté"), rng.integers(1, 45))) for _ in range(6000))]
+    assert bpe.merge_words(words, vocabulary) == [bpe.merge_word(w, vocabulary) for w in words]
+    assert bpe.merge_words([], vocabulary) == []
+    bare = bpe.Vocabulary({"a": 0, "b</w>": 1}, {}, {}, vocabulary.pattern, "</w>")
+    assert bpe.merge_words(["ab", "ba", "b"], bare) == [[0, 1], [], [1]] == [bpe.merge_word(w, bare) for w in ("ab", "ba", "b")]
+
+
 def test_query_on_whole_table(spark, sf_dir):
     from quireworks.llm.common import table
 
