@@ -6,6 +6,11 @@ exact. As a vocabulary lives on the driver and is sent to the tasks, the terms o
 hash to as many models as keep each near ``MODEL_TERMS`` terms; how many terms there are is estimated over
 all documents first (HyperLogLog). A document's vector is then in parts, one for each model.
 
+A model is fitted on the documents, each with its distinct terms, as it is the documents of a term that decide.
+Counts come from what the documents of a source have together in about two MB of text, a document of its own
+for every power of two: it has the terms whose count there has that bit. So a term is looked up a few times
+and not as often as it occurs, and the vectors' sums by their weights are the exact counts.
+
 The vectors are written and read back as what they consist of (indices, values), added up per source, and
 turned into smoothed shares, whole numbers of a billionth. Two sources are compared over blocks of terms:
 a block's rows are the shares of the terms that occur, all others have the share of a count of zero. So no
@@ -41,7 +46,7 @@ TEXT_BYTES = 2 << 20
 #: CountVectorizer takes this many terms at most: all of a model.
 ALL_TERMS = 2**31 - 1
 SCALE = 1_000_000_000
-_VECTOR = "source string, parts struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+_VECTOR = "source string, weight bigint, parts struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
 _IN_TERM = np.zeros(256, bool)
 _IN_TERM[0x41:0x5B] = _IN_TERM[0x61:0x7B] = _IN_TERM[0x80:] = True
@@ -78,35 +83,67 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), terms.dictionary.take(pa.array(term))], ["lang", "term"])
 
 
+def _lists(term: np.ndarray, dictionary: pa.Array, *keys: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Where runs of equal ``keys`` begin, and the terms of each run."""
+    new = np.zeros(len(term), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    begins = np.flatnonzero(new)
+    words = dictionary.cast(pa.string()).take(pa.array(term))
+    return begins, pa.ListArray.from_arrays(pa.array(np.concatenate([begins, [len(term)]]).astype(np.int32)), words)
+
+
 def _dealt(models: dict[str, tuple[int, int, int]]):
-    """(model, lang_no, source, terms): the terms of each document for each model of its language."""
+    """(model, weight, lang_no, source, terms) for each model of a language.
+
+    With weight 0 the distinct terms of a document. With others those that the documents of a source have
+    together in about two MB of text: a term is in the rows whose weights add up to its count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chosen = np.array([models[x] for x in batch.column("lang").to_pylist()], np.int64).reshape(-1, 3)
+            sources = batch.column("source").dictionary_encode()
+            group = chosen[:, 0] * max(len(sources.dictionary), 1) + np.asarray(sources.indices, np.int64)
+            _, member, group = np.unique(group, return_index=True, return_inverse=True)  # a row of each group
             for first, counts, terms in terms_of(batch.column("text")):
-                hashes = np.fromiter((zlib.crc32(t.encode()) for t in terms.dictionary.to_pylist()), np.int64, len(terms.dictionary))
-                row = np.repeat(np.arange(len(counts)) + first, counts)
-                model = chosen[row, 1] + hashes[np.asarray(terms.indices, np.int64)] % chosen[row, 2]
+                if not len(terms):
+                    continue
+                size = len(terms.dictionary)
+                hashes = np.zeros(size, np.int64)
                 if (chosen[:, 2] > 1).any():  # otherwise the terms of a document are together
+                    hashes = np.fromiter((zlib.crc32(t.encode()) for t in terms.dictionary.to_pylist()), np.int64, size)
+                row = np.repeat(np.arange(len(counts)) + first, counts)
+                pairs, often = np.unique(row * size + np.asarray(terms.indices, np.int64), return_counts=True)
+                row, term = np.divmod(pairs, size)
+                together, which = np.unique(group[row] * size + term, return_inverse=True)
+                often = np.bincount(which, often, len(together)).astype(np.int64)
+                owner, added = np.divmod(together, size)
+                layers = [(np.zeros(len(row), np.int64), row, term)]
+                for bit in range(int(often.max()).bit_length()):
+                    there = np.flatnonzero(often >> bit & 1)
+                    layers.append((np.full(len(there), 1 << bit), member[owner[there]], added[there]))
+                for weight, row, term in layers:
+                    model = chosen[row, 1] + hashes[term] % chosen[row, 2]
                     order = np.lexsort((model, row))
-                    row, model, terms = row[order], model[order], terms.take(pa.array(order))
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(model) != 0)])) if len(row) else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(row)]]).astype(np.int32)), terms.cast(pa.string()))
-                owner = row[new]
-                columns = [pa.array(model[new], pa.int32()), pa.array(chosen[owner, 0], pa.int32()), batch.column("source").take(pa.array(owner)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["model", "lang_no", "source", "terms"])
+                    row, model, term = row[order], model[order], term[order]
+                    begins, lists = _lists(term, terms.dictionary, row, model)
+                    at = row[begins]
+                    columns = [pa.array(model[begins], pa.int32()), pa.array(weight[: len(begins)]), pa.array(chosen[at, 0], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, batch.column("source").take(pa.array(at)), lists], ["model", "weight", "lang_no", "source", "terms"])
 
     return run
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(source, place, n): the sums of a batch of sparse vectors (source, indices, values)."""
+    """(source, place, n): the sums of a batch of sparse vectors (source, weight, indices, values), as often as their weights say."""
     for batch in batches:
         sources, indices, values = batch.column("source").dictionary_encode(), batch.column("indices"), batch.column("values")
-        code = np.repeat(np.asarray(sources.indices, np.int64), np.asarray(indices.value_lengths(), np.int64))
+        lengths = np.asarray(indices.value_lengths(), np.int64)
+        code, weight = (np.repeat(np.asarray(x, np.int64), lengths) for x in (sources.indices, batch.column("weight")))
         keys, which = np.unique(code << 32 | np.asarray(indices.flatten(), np.int64), return_inverse=True)
-        n = np.bincount(which, np.asarray(values.flatten()), len(keys)).astype(np.int64)
+        n = np.bincount(which, np.asarray(values.flatten()) * weight, len(keys)).astype(np.int64)
         columns = [sources.dictionary.take(pa.array(keys >> 32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(n)]
         yield pa.RecordBatch.from_arrays(columns, ["source", "place", "n"])
 
@@ -128,23 +165,24 @@ def group_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, model_terms: int
     spark = docs.sparkSession
     plan = plan_models(docs, model_terms)
     langs = spark.createDataFrame([(number, lang) for lang, (number, _, _) in plan.items()], "lang_no int, lang string")
-    dealt = docs.mapInArrow(_dealt(plan), "model int, lang_no int, source string, terms array<string>")
+    dealt = docs.mapInArrow(_dealt(plan), "model int, weight bigint, lang_no int, source string, terms array<string>")
     terms, vectors = fresh_path(spark, "terms"), fresh_path(spark, "vectors")
-    dealt.write.option("compression", "zstd").partitionBy("model").parquet(terms)
-    written = spark.read.schema("lang_no int, source string, terms array<string>, model int").parquet(terms)
+    dealt = dealt.withColumn("use", F.when(F.col("weight") == 0, "fit").otherwise("count"))
+    dealt.write.option("compression", "zstd").partitionBy("model", "use").parquet(terms)
+    written = spark.read.schema("weight bigint, lang_no int, source string, terms array<string>, model int, use string").parquet(terms)
     counted = None
     for model, lang_no in sorted(tuple(r) for r in written.groupBy("model").agg(F.first("lang_no")).collect()):
-        rows = written.where(F.col("model") == model)
+        rows, summed = (written.where((F.col("model") == model) & (F.col("use") == use)) for use in ("fit", "count"))
         try:
             fitted = CountVectorizer(inputCol="terms", outputCol="parts", minDF=least_docs, vocabSize=ALL_TERMS).fit(rows)
         except IllegalArgumentException as nothing:  # no term is in enough documents
             if "vocabulary size" not in str(nothing):
                 raise
             continue
-        fitted.transform(rows).select("source", "parts").write.parquet(f"{vectors}/{model}")
+        fitted.transform(summed).select("source", "weight", "parts").write.parquet(f"{vectors}/{model}")
         fitted.save(f"{vectors}/{model}-terms")
         vocabulary = spark.read.parquet(f"{vectors}/{model}-terms/data").select(F.posexplode("vocabulary").alias("place", "term"))
-        exact = spark.read.schema(_VECTOR).parquet(f"{vectors}/{model}").select("source", "parts.indices", "parts.values")
+        exact = spark.read.schema(_VECTOR).parquet(f"{vectors}/{model}").select("source", "weight", "parts.indices", "parts.values")
         sums = exact.mapInArrow(_sums, "source string, place int, n bigint").groupBy("source", "place").agg(F.sum("n").alias("n"))
         part = sums.join(vocabulary, "place").select(F.lit(lang_no).cast("int").alias("lang_no"), "source", "term", "n")
         counted = part if counted is None else counted.unionByName(part)

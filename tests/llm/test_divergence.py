@@ -84,6 +84,22 @@ def test_shares_of_huge_counts_are_exact(spark):
     assert found == 1 + 10**9 * (n + 2) // (total + 2 * kept)
 
 
+@pytest.mark.parametrize("share", [1, 3])
+def test_terms_go_to_models_once_a_document(share):
+    rows = [("b a a", "x"), ("a b c a a", "x"), ("a " * 70_000, "y"), (None, "y"), ("q", "x")]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t for t, _ in rows], pa.string()), "lang": pa.array(["l"] * 4 + ["m"]), "source": pa.array([s for _, s in rows])})
+    plan = {"l": (0, 0, share), "m": (1, share, 1)}
+    out = [r for part in divergence._dealt(plan)([batch]) for r in part.to_pylist()]
+    assert sum(len(r["terms"]) for r in out if r["weight"] == 0) == 7  # a and b, a to c, a, q
+    assert Counter(t for r in out if r["weight"] == 0 and r["lang_no"] == 0 for t in r["terms"]) == {"a": 3, "b": 2, "c": 1}
+    counted = Counter()
+    for r in out:
+        assert len(set(r["terms"])) == len(r["terms"]) and (r["model"] == share) == (r["lang_no"] == 1)
+        counted.update({(r["lang_no"], r["source"], t): r["weight"] for t in r["terms"]})
+    assert +counted == {(0, "x", "a"): 5, (0, "x", "b"): 2, (0, "x", "c"): 1, (0, "y", "a"): 70_000, (1, "x", "q"): 1}
+    assert sum(len(r["terms"]) for r in out) < 20
+
+
 def test_terms_are_told_apart_two_megabytes_at_a_time():
     texts = pa.array(["one two Three " * 20_000] * 12)  # 280 kB each
     parts = list(divergence.terms_of(texts))
