@@ -12,11 +12,11 @@ everybody:
    is paired with a member of another one.
 2. What is left are buckets whose members are still in more than one component. Large ones are split by a
    second band: two members are compared if they share, besides the bucket, one of the ``NEXT`` bands after
-   its own. What is larger than ``TILE`` even then is compared in tiles. Only members of different
-   components are compared, by signature.
-
-Confirmation sends each set where it is needed: the pairs are grouped by the components that they would make,
-split into chunks of bounded size, so a set travels once for most of its pairs.
+   its own. What is larger than ``TILE`` even then is compared in tiles. Members of different components whose
+   signatures agree are near; no list of near pairs is made, only a forest that joins what they connect.
+3. What the forests join is a family, which holds every near pair. Its members are sent, with their sets, to
+   chunks of bounded size; there the near pairs of different components are confirmed, and of the links
+   those that join two components are given out, so rows grow with the members, not with their pairs.
 
 So nearly every pair that shares a bucket has been compared, or is in one component already. A pair with
 similarity 0.75 shares a band with probability p = 0.75**4; it shares no bucket with probability (1 - p)**40
@@ -44,14 +44,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import mix, slices, table, text_bytes
+from quireworks.llm.common import arrow_rows, mix, slices, table, text_bytes
 from quireworks.staging import scratch, stage
 
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
-#: Rounds with hubs; members of a bucket that are paired by expressions, and that a tile compares; bands that split a larger bucket.
-ROUNDS, FEW, TILE, NEXT = 3, 32, 256, 8
+#: Rounds with hubs; members of a bucket that is compared together with others, and that a tile compares; bands that split a larger bucket.
+ROUNDS, FEW, TILE, NEXT = 3, 32, 1024, 8
+#: Members of small buckets that are compared by one call; documents that a Python worker is sent at once.
+TOGETHER, BATCH = 8192, 2000
 #: Shingles of the sets that are confirmed together, from either side.
 CHUNK = 500_000
 #: Bytes of two minima agree if the minima do, and by chance; a pair at the threshold has fewer that agree with a probability of about 3e-7.
@@ -177,24 +179,70 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["doc_id", "shingles"])
 
 
-def _tile(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) of a tile, of different components, whose signatures agree often enough."""
-    rows = frame.drop_duplicates("rep").sort_values("rep")
-    ids, labels, side = (rows[c].to_numpy() for c in ("rep", "label", "part"))
+def _forest(labels: np.ndarray, side: np.ndarray | None, x: np.ndarray) -> np.ndarray:
+    """Pairs of places that join all whose signatures ``x`` agree often enough, of different labels (and sides)."""
+    left, found = np.arange(len(labels)), [np.zeros((0, 2), np.int64)]
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = labels[left] != labels[i]
+            if side is not None:
+                near &= side[left] != side[i]
+            near[near] = (x[left[near]] == x[i]).sum(axis=1) >= AGREE
+            if near.any():
+                found.append(np.stack([np.full(near.sum(), i), left[near]], axis=1))
+                queue.extend(left[near])
+                left = left[~near]
+    return np.concatenate(found)
+
+
+def _near(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) that join the near members of each bucket of a tile, at most one for each member."""
+    rows = frame.sort_values(["bucket", "rep"])
+    ids, labels, side, bucket = (rows[c].to_numpy() for c in ("rep", "label", "part", "bucket"))
     x = _bytes_of(rows["signature"])
-    apart = frame["lo"].iloc[0] != frame["hi"].iloc[0]
     found = [np.zeros((0, 2), np.int64)]
-    for i in range(len(ids)):
-        other = labels != labels[i]
-        other[: i + 1] = False
-        if apart:
-            other &= side != side[i]
-        j = np.flatnonzero(other)
-        j = j[(x[j] == x[i]).sum(axis=1) >= AGREE]
-        found.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
+    for one in np.split(np.arange(len(ids)), np.flatnonzero(bucket[1:] != bucket[:-1]) + 1):
+        found.append(ids[one][_forest(labels[one], side[one] if key[1] != key[2] else None, x[one])])
     return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
 
+def _settle(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that the full sets confirm, one for every two components of a chunk that they join."""
+    rows = frame.sort_values("rep")
+    ids, labels, side = (rows[c].to_numpy() for c in ("rep", "label", "chunk"))
+    labels, x = labels.copy(), _bytes_of(rows["signature"])
+    sizes = np.array([len(s) // 8 for s in rows["shingles"]], np.int64)
+    ends = np.cumsum(sizes)
+    _, codes, often = np.unique(np.frombuffer(b"".join(rows["shingles"]), np.uint64), return_inverse=True, return_counts=True)
+    several = (often > 1)[codes]  # what is in one set only is in no intersection
+    places = np.concatenate([[0], np.cumsum(several)])
+    starts, ends, codes = places[ends - sizes], places[ends], codes[several]
+    mark, found = np.zeros(len(often), bool), []
+    for i in range(len(ids)):
+        near = labels != labels[i]
+        near[: i + 1] = False
+        if key[1] != key[2]:
+            near &= side != side[i]
+        near &= 100 * np.minimum(sizes, sizes[i]) >= THRESHOLD * np.maximum(sizes, sizes[i])
+        near[near] = (x[near] == x[i]).sum(axis=1) >= AGREE
+        others = np.flatnonzero(near)
+        if not len(others):
+            continue
+        own = codes[starts[i] : ends[i]]
+        mark[own] = True
+        shared = np.concatenate([[0], np.cumsum(mark[np.concatenate([codes[starts[j] : ends[j]] for j in others])])])
+        mark[own] = False
+        edges = np.concatenate([[0], np.cumsum(ends[others] - starts[others])])
+        both = shared[edges[1:]] - shared[edges[:-1]]
+        linked = others[100 * both >= THRESHOLD * (sizes[i] + sizes[others] - both)]
+        joined, first = np.unique(labels[linked], return_index=True)
+        found += [(ids[i], ids[j]) for j in linked[first]]
+        labels[np.isin(labels, joined)] = labels[i]
+    return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
 def _confirm(_: tuple, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     """The pairs whose full sets have 100 * intersection >= THRESHOLD * union."""
     nodes = sets["node"].to_numpy(np.int64)
@@ -205,16 +253,8 @@ def _confirm(_: tuple, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     size_a, size_b = sizes[at_a], sizes[at_b]
     both = np.zeros(len(pairs), np.int64)
     possible = np.flatnonzero(100 * np.minimum(size_a, size_b) >= THRESHOLD * np.maximum(size_a, size_b))
-    # one product pays if most sets are in many pairs, as in a family; with a hub each is in one
-    values = np.unique(np.concatenate(full)) if len(possible) > 4 * len(full) and sizes.sum() * len(full) <= 1 << 25 else None
-    if values is not None and len(values) * len(full) <= 1 << 22:
-        dense = np.zeros((len(full), len(values)), np.float32)
-        for i, one in enumerate(full):
-            dense[i, np.searchsorted(values, one)] = 1
-        both[possible] = (dense @ dense.T)[at_a[possible], at_b[possible]].astype(np.int64)
-    else:
-        for k in possible:
-            both[k] = len(np.intersect1d(full[at_a[k]], full[at_b[k]], assume_unique=True))
+    for k in possible:
+        both[k] = len(np.intersect1d(full[at_a[k]], full[at_b[k]], assume_unique=True))
     good = 100 * both >= THRESHOLD * (size_a + size_b - both)
     return pairs.loc[good, ["a", "b"]]
 
@@ -258,16 +298,16 @@ def _by_hub(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
     return pairs.join(parts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("chunk"), "a", "b"), ["hub", "chunk"]
 
 
-def _by_family(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Pairs (a, b) by the components of all pairs, in chunks of the members of each on either side."""
-    family = components(pairs)
+def _families(near: DataFrame, shared: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(component, low, high, rep, label, chunk, signature, shingles): members of each component of ``near``, in chunks on either side."""
+    family = components(near)
     sized = family.join(sets.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
     parts = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("parts"))
-    placed = stage(family.join(parts, "component").select("node", "component", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("chunk")), "places")
-    for x in "ab":
-        pairs = pairs.join(placed.select(F.col("node").alias(x), F.col("component").alias(f"component_{x}"), F.col("chunk").alias(f"chunk_{x}")), x)
-    chunks = (F.least("chunk_a", "chunk_b").alias("low"), F.greatest("chunk_a", "chunk_b").alias("high"))
-    return pairs.select(F.col("component_a").alias("component"), *chunks, "a", "b"), ["component", "low", "high"]
+    placed = family.join(parts, "component").select("component", F.col("node").alias("rep"), "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("chunk"))
+    placed = placed.join(shared.groupBy("rep").agg(F.min("label").alias("label")), "rep")
+    placed = stage(placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "places")
+    members = placed.join(signed.select("rep", "signature"), "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    return members.select("component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "rep", "label", "chunk", "signature", "shingles")
 
 
 def _links(grouped: DataFrame, keys: list[str], sets: DataFrame) -> DataFrame:
@@ -298,25 +338,25 @@ def _across(loose: DataFrame, turn: int) -> DataFrame:
     return chosen.select(F.col("best.other").alias("a"), F.col("rep").alias("b"))
 
 
-def _few(sized: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in buckets of at most ``FEW`` members."""
-    gathered = sized.where(F.col("size") <= FEW).groupBy("bucket").agg(F.collect_list(F.struct("rep", "label")).alias("ms"))
-    met = "flatten(transform(ms, x -> transform(filter(ms, y -> y.rep > x.rep AND y.label <> x.label), y -> struct(x.rep AS a, y.rep AS b))))"
-    return gathered.select(F.explode_outer(F.expr(met)).alias("p")).where("p IS NOT NULL").select("p.a", "p.b").distinct()
-
-
 def _tiles(sized: DataFrame, signed: DataFrame) -> DataFrame:
-    """(key, lo, hi, part, rep, label, signature): members of larger buckets that are to be compared with each other."""
-    medium = sized.where((F.col("size") > FEW) & (F.col("size") <= TILE)).select(F.col("bucket").alias("key"), "rep", "label")
+    """(key, lo, hi, bucket, part, rep, label, signature): members of buckets that are to be compared with each other.
+
+    Small buckets have a key together; of a larger one, every two parts have a tile.
+    """
+    groups = sized.count() // TOGETHER + 1
+    plain = sized.where(F.col("size") <= TILE)
+    key = F.when(F.col("size") <= FEW, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.col("bucket"))
+    plain = plain.select(key.alias("key"), "bucket", "rep", "label", F.lit(1).alias("parts"))
     second = F.expr(f"transform(sequence(1, {NEXT}), d -> xxhash64(bucket, bands[int((array_position(bands, bucket) - 1 + d) % {BANDS})]))")
     large = sized.where(F.col("size") > TILE).join(signed.select("rep", "bands"), "rep")
     large = large.select(F.explode(second).alias("key"), "rep", "label")
     counts = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     split = large.join(counts.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "key")
-    both = medium.withColumn("parts", F.lit(1)).unionByName(split).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    split = split.select("key", F.col("key").alias("bucket"), "rep", "label", "parts")
+    both = plain.unionByName(split).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     tiles = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    return tiles.join(signed.select("rep", "signature"), "rep").select("key", "lo", "hi", "part", "rep", "label", "signature")
+    return tiles.join(signed.select("rep", "signature"), "rep").select("key", "lo", "hi", "bucket", "part", "rep", "label", "signature")
 
 
 def _labels(docs: DataFrame, sketched: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
@@ -345,16 +385,16 @@ def _labels(docs: DataFrame, sketched: DataFrame, classes: DataFrame, repeated:
         if shared.isEmpty():
             return labels
     sized = stage(shared.join(shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket"), "sized")
-    tiled = _tiles(sized, signed).groupBy("key", "lo", "hi").applyInPandas(_tile, "a bigint, b bigint")
-    promising = stage(tiled.unionByName(_checked(_few(sized), signed)).distinct(), "promising")
-    more = _links(*_by_family(promising, sets), sets)
+    near = _tiles(sized, signed).groupBy("key", "lo", "hi").applyInPandas(_near, "a bigint, b bigint")
+    members = _families(near.distinct(), sized, signed, sets)
+    more = stage(members.groupBy("component", "low", "high").applyInPandas(_settle, "a bigint, b bigint"), "confirmed")
     return stage(components(stars.unionByName(more)), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL")
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), arrow_rows(docs.sparkSession, BATCH):
         sketched = stage(sketch(docs), "sketches")
         repeated = not sketched.groupBy("doc_id").count().where("count > 1").isEmpty()
         if repeated:  # a doc_id counts once, with its smallest set

@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+
 from quireworks.llm import neardup
-from quireworks.llm.common import table
+from quireworks.llm.common import table, text_bytes
 
 
 def shingles(text) -> frozenset:
@@ -84,6 +88,67 @@ def test_tiles_find_what_hubs_miss(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_alike_but_not_linked_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.sample(words, 100)
+    rows = [(i, " ".join(passage + rng.sample(words, 30))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " tail") for i in range(20)]
+    written, stage = {}, neardup.stage
+
+    def counted(df, name, keep=False):
+        out = stage(df, name, keep)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stage", counted)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == brute(rows) and spark.conf.get(key) == before
+    # a member is in a bucket of each band at most; all pairs of the group would be 51,040
+    assert max(written.values()) <= neardup.BANDS * len(rows), written
+
+
+def test_families_are_settled_as_by_brute_force():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.sample(words, 100)
+    texts = [" ".join(passage + rng.sample(words, 30)) for _ in range(120)] + ["one two"]
+    texts += [texts[i] + " tail" for i in range(40)] + [texts[0] + " tail", "one two three"]
+    data, offsets = text_bytes(pa.array(texts))
+    sets = neardup.shingle_sets(data, offsets)
+    minima = neardup.signatures(sets).astype(np.uint8)
+    frame = pd.DataFrame({"rep": range(len(texts)), "label": range(len(texts)), "signature": [m.tobytes() for m in minima], "shingles": [s.tobytes() for s in sets]})
+    frame.loc[7, "label"] = 3  # known to be in one component
+
+    def joined(found: pd.DataFrame) -> list[int]:
+        label = frame["label"].tolist()
+        for a, b in found.itertuples(index=False):
+            label = [label[a] if x == label[b] else x for x in label]
+        return [label.index(x) for x in label]
+
+    want = {i: c for i, (_, c) in brute(list(enumerate(texts))).items()}
+    want = {i: want[3] if c == want[7] else c for i, c in want.items()}
+    for parts in (1, 3):  # in one chunk, and in chunks of which every two meet
+        frame["chunk"] = frame["rep"] % parts
+        frame["part"], frame["bucket"] = frame["chunk"], 5
+        near, links = [], []
+        for lo in range(parts):
+            for hi in range(lo, parts):
+                there = frame[frame["chunk"].isin([lo, hi])].sample(frac=1, random_state=1)
+                near.append(neardup._near((5, lo, hi), there))
+                links.append(neardup._settle((0, lo, hi), there))
+                assert len(near[-1]) < len(there) and len(links[-1]) < len(there)
+        near, links = pd.concat(near), pd.concat(links)
+        assert joined(links) == [want[i] for i in range(len(texts))]
+        family = joined(near)
+        assert all(family[a] == family[b] for a, b in links.itertuples(index=False)) and len(set(family)) < 10
+    several = pd.concat([frame.assign(bucket=1), frame.head(60).assign(bucket=2)])
+    assert len(neardup._near((5, 0, 0), several)) <= len(several) - 2
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "z"), (3, "q")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
