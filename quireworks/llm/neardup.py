@@ -12,7 +12,8 @@ everybody:
    is paired with a member of another one.
 2. What is left are buckets whose members are still in more than one component. Large ones are split by a
    second band: two members are compared if they share, besides the bucket, one of the ``NEXT`` bands after
-   its own. What is larger than ``TILE`` even then is compared in tiles. Members of different components whose
+   its own. What is larger than ``TILE`` even then is compared in tiles. A part of a bucket is one packed row, so
+   tiles add rows with the square of a bucket's parts, not of its members. Members of different components whose
    signatures agree are near; no list of near pairs is made, only a forest that joins what they connect.
 3. What the forests join is a family, which holds every near pair. Its members are sent, with their sets, to
    chunks of bounded size; there the near pairs of different components are confirmed, and of the links
@@ -51,7 +52,7 @@ WORDS, THRESHOLD = 5, 75
 BANDS, ROWS = 40, 4
 HASHES = BANDS * ROWS
 #: Rounds with hubs; members of a bucket that is compared together with others, and that a tile compares; bands that split a larger bucket.
-ROUNDS, FEW, TILE, NEXT = 3, 32, 1024, 8
+ROUNDS, FEW, TILE, NEXT = 3, 32, 2048, 8
 #: Members of small buckets that are compared by one call; documents that a Python worker is sent at once.
 TOGETHER, BATCH = 8192, 2000
 #: Shingles of the sets that are confirmed together, from either side.
@@ -208,6 +209,15 @@ def _near(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
 
+def _near_packed(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of ``_near``, each once, from packed parts of buckets."""
+    sizes = [len(r) for r in parts["reps"]]
+    frame = pd.DataFrame({c: np.repeat(parts[c].to_numpy(), sizes) for c in ("bucket", "part")})
+    for c in ("rep", "label", "signature"):
+        frame[c] = np.concatenate(parts[f"{c}s"].tolist())
+    return _near(key, frame).drop_duplicates()
+
+
 def _settle(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Links (a, b) that the full sets confirm, one for every two components of a chunk that they join."""
     rows = frame.sort_values("rep")
@@ -339,24 +349,29 @@ def _across(loose: DataFrame, turn: int) -> DataFrame:
 
 
 def _tiles(sized: DataFrame, signed: DataFrame) -> DataFrame:
-    """(key, lo, hi, bucket, part, rep, label, signature): members of buckets that are to be compared with each other.
+    """(key, lo, hi, bucket, part, reps, labels, signatures): members of buckets that are to be compared with each other, a row per part.
 
-    Small buckets have a key together; of a larger one, every two parts have a tile.
+    Small buckets have a key together; of a larger one, every two parts have a tile. A member meets its
+    signature once, however many buckets it is in.
     """
     groups = sized.count() // TOGETHER + 1
     plain = sized.where(F.col("size") <= TILE)
     key = F.when(F.col("size") <= FEW, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.col("bucket"))
     plain = plain.select(key.alias("key"), "bucket", "rep", "label", F.lit(1).alias("parts"))
-    second = F.expr(f"transform(sequence(1, {NEXT}), d -> xxhash64(bucket, bands[int((array_position(bands, bucket) - 1 + d) % {BANDS})]))")
-    large = sized.where(F.col("size") > TILE).join(signed.select("rep", "bands"), "rep")
-    large = large.select(F.explode(second).alias("key"), "rep", "label")
+    second = f"transform(sequence(1, {NEXT}), d -> xxhash64(bucket, bands[int((array_position(bands, bucket) - 1 + d) % {BANDS})]))"
+    large = sized.where(F.col("size") > TILE).groupBy("rep", "label").agg(F.collect_list("bucket").alias("buckets")).join(signed.select("rep", "bands"), "rep")
+    large = large.select(F.explode(F.expr(f"flatten(transform(buckets, bucket -> {second}))")).alias("key"), "rep", "label")
     counts = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     split = large.join(counts.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "key")
     split = split.select("key", F.col("key").alias("bucket"), "rep", "label", "parts")
-    both = plain.unionByName(split).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    tiles = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    places = plain.unionByName(split).groupBy("rep", "label").agg(F.collect_list(F.struct("key", "bucket", "parts")).alias("places"))
+    members = places.join(signed.select("rep", "signature"), "rep").select(F.explode("places").alias("place"), F.struct("rep", "label", "signature").alias("member"))
+    members = members.select("place.*", F.pmod(F.xxhash64("member.rep"), "place.parts").cast("int").alias("part"), "member")
+    packed = members.groupBy("key", "bucket", "parts", "part").agg(F.collect_list("member").alias("members"))
+    tiles = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-    return tiles.join(signed.select("rep", "signature"), "rep").select("key", "lo", "hi", "bucket", "part", "rep", "label", "signature")
+    lists = (F.col(f"members.{c}").alias(f"{c}s") for c in ("rep", "label", "signature"))
+    return tiles.select("key", "lo", "hi", "bucket", "part", *lists)
 
 
 def _labels(docs: DataFrame, sketched: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
@@ -385,7 +400,7 @@ def _labels(docs: DataFrame, sketched: DataFrame, classes: DataFrame, repeated:
         if shared.isEmpty():
             return labels
     sized = stage(shared.join(shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket"), "sized")
-    near = _tiles(sized, signed).groupBy("key", "lo", "hi").applyInPandas(_near, "a bigint, b bigint")
+    near = _tiles(sized, signed).groupBy("key", "lo", "hi").applyInPandas(_near_packed, "a bigint, b bigint")
     members = _families(near.distinct(), sized, signed, sets)
     more = stage(members.groupBy("component", "low", "high").applyInPandas(_settle, "a bigint, b bigint"), "confirmed")
     return stage(components(stars.unionByName(more)), "components")

@@ -149,6 +149,26 @@ def test_families_are_settled_as_by_brute_force():
     assert len(neardup._near((5, 0, 0), several)) <= len(several) - 2
 
 
+def test_tiles_have_a_row_for_each_part_of_a_bucket(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.sample(words, 100)
+    rows = [(i, " ".join(passage + rng.sample(words, 30))) for i in range(300)]
+    made, tiles = [], neardup._tiles
+
+    def counted(sized, signed):
+        out = tiles(sized, signed)
+        assert all(len(r["reps"]) == len(r["labels"]) == len(r["signatures"]) for r in out.collect())
+        made.append((out.count(), sized.select("bucket").distinct().count(), sized.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "_tiles", counted)
+    check(spark, rows)
+    for got, buckets, members in made:
+        assert got == buckets < members / 5
+    assert made
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "z"), (3, "q")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
