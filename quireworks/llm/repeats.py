@@ -349,16 +349,23 @@ class RunIndex:
         for k in range(7):
             alive = alive & (np.arange(n) + k < stop)
             key = (key << 9) | np.where(alive, padded[k : k + n], 0)
-        length = 7
-        while True:
-            order = np.argsort(key, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]])) + 1
+        # ``rank``: the first slot of those that are equal so far; only they are sorted again, within their slots
+        order, rank, slots, length = np.arange(n), np.zeros(n, np.int64), np.arange(n), 7
+        while len(slots):
+            by = np.argsort(key)
+            order[slots] = order[slots][by]
+            key = key[by]
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[order[slots]] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
+            slots = slots[~(fresh & np.append(fresh[1:], True))]
+            tied = order[slots]
             if length > 2 * SIDE + GRAM:
-                return order
-            ahead = np.arange(n) + length
-            key = rank * (n + 2) + np.where(ahead < stop, rank[np.minimum(ahead, n - 1)], 0)
+                order[slots] = np.sort(rank[tied] * n + tied) % n
+                break
+            ahead = tied + length
+            key = rank[tied] * (n + 2) + np.where(ahead < stop[tied], rank[np.minimum(ahead, n - 1)] + 1, 0)
             length *= 2
+        return order
 
     @staticmethod
     def _shared(flat: np.ndarray, one: np.ndarray, other: np.ndarray, width: int) -> np.ndarray:
@@ -481,21 +488,21 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (doc_id, packed, lo, hi): the text's length, what goes, and what stays."""
+    squeezed = zstandard.ZstdDecompressor()
     for batch in batches:
         for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
-            rows = []
-            for packed, lo, hi in zip(*(part.column(c) for c in ("packed", "lo", "hi"))):
-                data = zstandard.decompress(packed.as_py())
-                kept, at, gone, spans = [], 0, 0, 0
-                if lo.is_valid:
-                    lo, hi = np.array(lo.as_py(), np.int64), np.array(hi.as_py(), np.int64)
-                    for a, b in _merged(np.zeros(len(lo)), lo, hi)[["lo", "hi"]].itertuples(index=False):
-                        kept.append(data[at:a])
-                        at, gone, spans = b, gone + b - a, spans + 1
-                kept.append(data[at:])
-                rows.append((len(data), gone, spans, b"".join(kept)))
-            n, gone, spans, kept = zip(*rows)
-            columns = [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(kept, pa.binary())]
+            row = np.repeat(np.arange(part.num_rows), part.column("lo").value_lengths().fill_null(0).to_numpy())
+            marks = _merged(row, *(part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("lo", "hi")))
+            lo, hi = marks["lo"].to_numpy(), marks["hi"].to_numpy()
+            cut = np.searchsorted(marks["doc_id"].to_numpy(), np.arange(part.num_rows + 1))
+            gone = np.diff(np.concatenate([[0], np.cumsum(hi - lo)])[cut])
+            sizes, kept = [], []
+            for i, packed in enumerate(part.column("packed").to_pylist()):
+                data = squeezed.decompress(packed)
+                a, b = cut[i], cut[i + 1]
+                sizes.append(len(data))
+                kept.append(b"".join(data[x:y] for x, y in zip([0, *hi[a:b].tolist()], [*lo[a:b].tolist(), len(data)])) if a < b else data)
+            columns = [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, np.diff(cut))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 

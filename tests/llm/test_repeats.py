@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from quireworks.llm import repeats
 from quireworks.llm.common import table
@@ -96,3 +98,35 @@ def test_query_on_whole_table(spark, sf_dir):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_suffixes_are_sorted_by_content_and_place():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 81, 60)
+    texts = rng.integers(0, 3, (60, 80)).astype(np.uint8)
+    texts[20:40], lengths[20:40] = texts[:20], lengths[:20]  # equal to the end
+    texts[40:50, 5:] = texts[:10, :75]
+    whole = [texts[i, :n].astype(np.uint16) + 1 for i, n in enumerate(lengths)]
+    flat = np.concatenate([np.append(t, 0) for t in whole]).astype(np.uint16)
+    stop = np.repeat(np.cumsum(lengths + 1), lengths + 1)
+    want = sorted(range(len(flat)), key=lambda i: (flat[i : stop[i]].tolist(), i))
+    assert repeats.RunIndex._sorted(flat, stop).tolist() == want
+
+
+def test_what_goes_is_merged_for_many_texts_at_once(monkeypatch):
+    rng, rows = random.Random(3), []
+    for i in range(450):
+        text = bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 60, 300])))
+        marks = sorted((a, min(len(text), a + rng.randrange(1, 80))) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(0, 4) if text else 0)))
+        rng.shuffle(marks)
+        rows.append((i, text, marks))
+    called, merged = [], repeats._merged
+    monkeypatch.setattr(repeats, "_merged", lambda *x: called.append(1) or merged(*x))
+    lists = ([[m[k] for m in marks] if marks else None for _, _, marks in rows] for k in (0, 1))
+    columns = [pa.array([r[0] for r in rows]), pa.array([zstandard.compress(r[1]) for r in rows]), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
+    got = [row for b in repeats._remove([pa.RecordBatch.from_arrays(columns, ["doc_id", "packed", "lo", "hi"])]) for row in zip(*(c.to_pylist() for c in b.columns))]
+    want = []
+    for i, text, marks in rows:
+        gone = {k for a, b in marks for k in range(a, b)}
+        want.append((i, len(text), len(gone), sum(k - 1 not in gone for k in gone), bytes(c for k, c in enumerate(text) if k not in gone)))
+    assert got == want and len(called) <= 3  # not once a text
