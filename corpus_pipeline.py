@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireworks.llm import bpe, language, mixing, neardup, pii
-from quireworks.llm.common import held_out, table
+from quireworks.llm.common import arrow_rows, held_out, table
 from quireworks.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that a Python worker is sent at once: the stages share the workers' memory, so those that send texts write under this bound.
+ROWS = 1000
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the classifier rejects go."""
-    model = language.fit(docs.where(~held_out(F.col("doc_id"), language.FOLDS, 0)).select("doc_id", "text", "lang"))
-    return language.identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
+    with arrow_rows(spark, ROWS):
+        model = language.fit(docs.where(~held_out(F.col("doc_id"), language.FOLDS, 0)).select("doc_id", "text", "lang"))
+        return stage(language.identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS), "known-language")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token digests of each text."""
     vocabulary = bpe.load_vocabulary(bpe.word_bpe_path())
-    return bpe.digests(docs.select("doc_id", "text"), vocabulary, bpe.send_lexicon(docs.select("text"), vocabulary))
+    with arrow_rows(spark, ROWS):
+        return stage(bpe.digests(docs.select("doc_id", "text"), vocabulary, bpe.send_lexicon(docs.select("text"), vocabulary)), "token-digests")
 
 
 STAGES = [

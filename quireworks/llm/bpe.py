@@ -36,7 +36,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import table
+from quireworks.llm.common import KEPT, table
 from quireworks.staging import fresh_path, stage
 
 #: Words in the lexicon, and the longest that gets into it.
@@ -406,18 +406,15 @@ class Encoder:
         return " ".join([tokens[i] for i in ids if 0 <= i < len(tokens)])
 
 
-#: The encoder of a Python worker, which Spark uses for one task after the other, by the name of its lexicon.
-_KEPT: dict[str, Encoder] = {}
-
-
 def encoder_for(vocabulary: Vocabulary, lexicon: str | None) -> Encoder:
     """The worker's encoder with the pieces that earlier tasks met; names of lexicons are never used twice."""
     if lexicon is None:
         return Encoder(vocabulary, None)
-    if lexicon not in _KEPT:
-        _KEPT.clear()
-        _KEPT[lexicon] = Encoder(vocabulary, lexicon)
-    return _KEPT[lexicon]
+    kept = KEPT.setdefault("bpe", {})
+    if lexicon not in kept:
+        kept.clear()
+        kept[lexicon] = Encoder(vocabulary, lexicon)
+    return kept[lexicon]
 
 
 def _count(vocabulary: Vocabulary):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: What a Python worker keeps, by operator: Spark uses it for one task after the other, also of other stages.
+KEPT: dict[str, dict] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +45,16 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def make_room(operator: str) -> None:
+    """In a task: let go of what other operators have kept in this Python worker, and give free memory back."""
+    for other in KEPT.keys() - {operator}:
+        del KEPT[other]
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the offsets of its rows; null counts as empty."""
     column = pc.fill_null(column, "")

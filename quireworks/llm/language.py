@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quireworks.llm.common import held_out, slices, table, text_bytes
+from quireworks.llm.common import held_out, make_room, slices, table, text_bytes
 
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 12
 PER_LANGUAGE, SAMPLE_ROWS = 400, 400 * 64
@@ -143,6 +143,7 @@ def _counted(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def _packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room("language")
     for batch in batches:
         packed = [zstandard.compress(row.tobytes(), 1) for _, _, x in _counted(batch.column("text")) for row in x]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "packed"])
@@ -152,6 +153,7 @@ def _low_cosines(labelled: DataFrame, model: Centroids) -> np.ndarray:
     """For each language, the cosine with its own centroids that all but LOW of its labelled documents reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("language")
         number = {name: i for i, name in enumerate(model.names)}
         for batch in batches:
             lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
@@ -170,6 +172,7 @@ def _low_cosines(labelled: DataFrame, model: Centroids) -> np.ndarray:
 
 def _identify(model: Centroids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("language")
         names, needed = np.array([*model.names, UNKNOWN], object), np.append(model.min_score, 0.0)
         for batch in batches:
             text = pc.fill_null(batch.column(batch.schema.get_field_index("text")), "")

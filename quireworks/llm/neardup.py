@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireworks.llm.common import arrow_rows, mix, slices, table, text_bytes
+from quireworks.llm.common import arrow_rows, make_room, mix, slices, table, text_bytes
 from quireworks.staging import scratch, stage
 
 WORDS, THRESHOLD = 5, 75
@@ -139,6 +139,7 @@ def _band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room("neardup")
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         ids = batch.column("doc_id")
@@ -173,6 +174,7 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room("neardup")
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         for i, j in slices(offsets, 1 << 22):

@@ -1,7 +1,10 @@
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quireworks.llm import mixing
+from quireworks.llm import common, mixing
 from quireworks.llm.common import table
 from tests.llm.test_neardup import brute
 from tests.llm.test_pii import base
@@ -47,3 +50,19 @@ def test_mix_reaches_target_weights(spark):
     again = mixing.replicate(docs.repartition(7), {"a": 1, "b": 2, "": 1}).groupBy("source").count().collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, mix), key=str)
     assert mixing.replicate(docs, {"b": 1}).where("source IS NULL OR source = 'a'").count() == 0
+
+
+def test_workers_are_sent_few_rows_and_keep_nothing_of_other_operators(spark, monkeypatch):
+    def looked_at(batches):
+        for batch in batches:
+            yield batch.append_column("rejected", pa.array([batch.num_rows > corpus_pipeline.ROWS] * batch.num_rows))
+
+    monkeypatch.setattr(corpus_pipeline.language, "identify", lambda docs, model: docs.mapInArrow(looked_at, docs.withColumn("rejected", F.lit(False)).schema))
+    rows = [(i, "some words", "en", "web", 10) for i in range(3 * corpus_pipeline.ROWS)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    assert corpus_pipeline.known_language(spark, docs, "").count() == len(rows) and spark.conf.get(key) == before
+    monkeypatch.setattr(common, "KEPT", {"bpe": {"file": object()}, "language": {"x": 1}})
+    common.make_room("language")
+    assert common.KEPT == {"language": {"x": 1}}
