@@ -42,6 +42,38 @@ def test_topk_ties_and_bad_vectors(spark):
     assert topk.top_k(vectors.limit(0), vectors).count() == 0 and topk.top_k(vectors, vectors.limit(0)).count() == 0
 
 
+def test_topk_blocks_and_tiles_equal_brute_force(spark, monkeypatch):
+    """Many blocks and tiles, ties, repeated ids, sparse terms, shorter vectors, sums for each kind of number."""
+    rng = np.random.default_rng(8)
+    for name, value in {"BLOCK_ROWS": 60, "TILE_QUERIES": 7, "TILE_ROWS": 16, "LEAST_ROWS": 50}.items():
+        monkeypatch.setattr(topk, name, value)
+    for scale in (1, 300, 10**6, 2**29):
+        v = rng.integers(-scale, scale + 1, (300, 8))
+        v[:, ::3] *= rng.random((300, 3)) < 0.05
+        rows = [(int(i), x[: 8 - i % 3].tolist()) for i, x in zip(rng.integers(0, 250, 300), v)]
+        vectors = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>")
+        asked = {}
+        for i, x in rows:
+            if i % 4 == 0:
+                asked[i] = min(asked.get(i, x), x)
+        expected = []
+        for i, x in asked.items():
+            best = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in rows if j != i)[:3]
+            expected += [(i, rank, j, -minus) for rank, (minus, j) in enumerate(best, 1)]
+        got = topk.top_k(vectors, vectors.where("vec_id % 4 = 0"), 3).collect()
+        assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_topk_moves_little_and_scores_in_products(spark):
+    """Blocks are packed narrow, and pairs of blocks grow with the square of a table's blocks, not of its thousands of rows."""
+    v = np.random.default_rng(9).integers(-200, 200, (20_000, 16))
+    assert topk.exact_kind(v, v) is np.float32 and topk.exact_kind(v * 2**12, v * 2**12) is np.float64 and topk.exact_kind(v * 2**22, v * 2**22) is np.int64
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "v": v.tolist()})).repartition(4)
+    blocks, n = topk._blocks(vectors)
+    row = blocks.first()
+    assert n == 1 and len(row["vectors"]) == 2 * v.size and topk._unpack(*row[1:])[1].tolist() == v.tolist()
+
+
 def test_language_on_edge_cases(spark):
     rows = [(i, TEXT[lang] * (1 + i % 5), lang) for i, lang in enumerate(["en", "de", "fr"] * 10)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
