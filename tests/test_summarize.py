@@ -2,9 +2,11 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quireworks.functions import centre
 from quireworks.functions import text as tx
 from quireworks.operators import evaluate, keywords, summarize
 from quireworks.staging import stage
@@ -202,3 +204,48 @@ def test_diverse_terms_by_brute_force(spark):
             expected.add((d, picked[-1][0], len(picked)))
     found = keywords.diverse(spark.createDataFrame(rows, "doc_id long, term string, score double, vector array<double>"), trade=0.6)
     assert {tuple(r) for r in found.collect()} == expected
+
+
+ODD = (
+    "Größe und Straße sind gleich. ΣΑΣ ends here. Ein Satz mit 漢字 und x y z steht auch noch hier! A. b. c. "
+    "İstanbul'da başka bir cümle daha var ki uzun olsun. The same words words words come again and again, 0.91 of them. "
+    "𝔘nicode letters 𝔘𝔫𝔦 beyond the plane are words as well, and ² or Ⅷ too. [1, 2] See Fig. 3 of a.b@example.com at http://x.y/z now. "
+)
+
+
+def test_sections_are_ranked_in_their_rows_as_sentence_by_sentence(spark, monkeypatch):
+    """Scores from Arrow batches and picks inside the row equal the windows over rows of words; no word is a row."""
+    rng = random.Random(7)
+    given = [(i, rng.choice(["results", "introduction"]), 0, " ".join([make_text(rng, rng.randint(1, 60)), ODD * (i % 3), make_text(rng, 5)])) for i in range(40)]
+    given += [(100, "results", 0, "word " * 60), (101, "results", 0, "[1] (2)"), (102, "results", 1, ODD * 3), (102, "introduction", 0, "A b. " * 40), (None, "results", 0, ODD * 2)]
+    rows = section_rows(spark, *given)
+    keys = ["doc_id", "section", "section_order"]
+    cleaned = rows.withColumn("text", tx.clean_text(F.col("text"))).withColumn("is_short", tx.word_count(F.col("text")) < 50)
+    scored = summarize.score_sentences(cleaned, keys)
+    picked = summarize.within_budget(summarize.select_top(scored, 0.4, keys), summarize.section_budget(F.col("section")), keys)
+    expected = summarize.in_source_order(picked, [*keys, "is_short"])
+    expected = expected.withColumn("summary", F.when(F.col("is_short"), F.col("summary")).otherwise(tx.clean_summary(F.col("summary"))))
+    for size in (centre.SLICE_BYTES, 1):
+        monkeypatch.setattr(centre, "SLICE_BYTES", size)
+        found = summarize.summarize_sections(rows)
+        assert sorted(map(str, found.select(*keys, "is_short", "summary").collect())) == sorted(map(str, expected.collect()))
+    assert "posexplode" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_batch_are_the_tokens(spark):
+    lines = [ODD.lower(), "", "a", "é", "éé _ __", "x1 ²² ⅷa 𝔘𝔫", "漢 漢字漢", " ab cd", "ab"]
+    data = "".join(lines).encode()
+    offsets = [0]
+    for line in lines:
+        offsets.append(offsets[-1] + len(line.encode()))
+    sentence, word, n = centre.words_of(np.frombuffer(data, np.uint8), np.array(offsets))
+    tokens = [r["t"] for r in spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, s string").orderBy("i").select(tx.tokens(F.col("s")).alias("t")).collect()]
+    assert [list(sentence).count(i) for i in range(len(lines))] == [len(t) for t in tokens]
+    flat = [t for ts in tokens for t in ts]
+    assert n == len(set(flat)) and [flat.index(t) for t in flat] == [list(word).index(w) for w in word]
+
+
+@pytest.mark.parametrize("text", [None, "", " ", "a", " a", "a ", "a b", "a  b", "a\tb", "a\nb c", "a b", "a\u0085b\x1cc", "é ö ü", " ", "a 　 b", "x\x0by\rz"])
+def test_word_count_whatever_the_spaces(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(tx.word_count(F.col("t")).alias("n"), tx.cleaned_word_count(tx.clean_text(F.col("t"))).alias("m")).first()
+    assert got["n"] == got["m"] == len((text or "").split())
